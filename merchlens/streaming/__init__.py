@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference is a set of batch reports over warehouse tables: no query in
+it uses watermarks, event-time windows, state or late data (SURVEY 2.6), so
+this package holds no streaming operators. Every report is a DataFrame
+function and runs unchanged on the ``foreachBatch`` micro-batches of a
+Structured Streaming query if a caller wants to refresh it incrementally.
+"""
