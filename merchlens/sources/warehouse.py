@@ -10,7 +10,7 @@ and pushes filters through these projections to the parquet scans.
 Mapping, in one line each:
 
 * ``customer``  -> shops; ``c_custkey div 4`` groups shops into merchants.
-* ``supplier``  -> partners and the apps they publish.
+* ``supplier``  -> apps and marketing channels; merchant groups double as partners.
 * ``orders``    -> shop-day GMV facts, CRM leads, opportunities.
 * ``lineitem``  -> transaction-level GMV facts (joined to ``orders`` for the
   shop), app installs, campaign members, opportunities per campaign,
@@ -39,7 +39,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 SHOPS_PER_MERCHANT = 4      # c_custkey div 4 -> merchant
 CUSTOMERS_PER_SUPPLIER = 15  # TPC-H cardinality ratio: partner of a shop
-SHOPS_PER_PARTNER = 16       # merchant div 4 -> partner of a merchant
 
 
 def money(c: str | Column) -> Column:
@@ -194,8 +193,7 @@ class Warehouse:
             F.concat(F.lit("MSM "), F.col("first_segment")).alias("current_merchant_success_manager"),
             F.when(F.col("max_balance") < 9000, "Standard").otherwise("Plus").alias("merchant_type"),
             F.when(active, "Active").otherwise("Inactive").alias("current_merchant_active_status"),
-            F.expr(f"merchant_id div {SHOPS_PER_PARTNER // SHOPS_PER_MERCHANT}")
-             .alias("currently_associated_platform_partner_id"),
+            F.col("merchant_id").alias("currently_associated_platform_partner_id"),
             F.when(F.col("first_segment") == "AUTOMOBILE", "Direct")
              .otherwise("Development Shop Referral").alias("currently_associated_referral_type"),
         )
@@ -233,20 +231,19 @@ class Warehouse:
 
     # --------------------------------------------------------------- partners, apps
     def partners(self) -> DataFrame:
-        s = self.raw("supplier")
-        ctry = F.broadcast(self.countries.select(
-            F.col("n_nationkey").alias("s_nationkey"), "country_code", "country_name",
-            "commercial_region_code"))
-        key = F.col("s_suppkey").cast("string")
-        return s.join(ctry, "s_nationkey").select(
-            F.col("s_suppkey").alias("platform_partner_id"),
-            F.col("s_name").alias("partner_name"),
-            F.concat(F.col("s_name"), F.lit(" Studio")).alias("partner_company_name"),
+        """Partner dimension: every merchant group is also registered as a partner
+        (its development agency), under the merchant's id and in its country."""
+        m = self.merchants()
+        key = F.col("merchant_id").cast("string")
+        return m.select(
+            F.col("merchant_id").alias("platform_partner_id"),
+            F.concat(F.lit("Partner "), key).alias("partner_name"),
+            F.concat(F.lit("Partner "), key, F.lit(" Studio")).alias("partner_company_name"),
             F.concat(F.lit("https://partner-"), key, F.lit(".dev")).alias("partner_url"),
             F.col("country_code").alias("partner_country"),
             F.col("country_name").alias("partner_country_name"),
             F.concat(F.lit("PM "), F.col("country_code")).alias("current_partner_manager"),
-            F.col("commercial_region_code").alias("current_commercial_region_code"))
+            F.col("geographic_region_code").alias("current_commercial_region_code"))
 
     def api_clients(self) -> DataFrame:
         s = self.raw("supplier")
