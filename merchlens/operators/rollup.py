@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import complete_months, lit_date, lit_ts, month_start
+from ..sources.warehouse import literal_table
 from .cohort import cohort_semi_join
 
 
@@ -45,7 +46,7 @@ def plan_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
         T.StructField("captured", T.LongType(), False),
     ])
     data = [(_date(d), *vals) for d, *vals in rows]
-    return spark.createDataFrame(data, schema)
+    return literal_table(spark, data, schema)
 
 
 def month_spine(dates: DataFrame, years: Sequence[str], date_col: str = "date",

@@ -58,6 +58,18 @@ def idiv(c: str, n: int) -> Column:
     return F.expr(f"{c} div {n}")
 
 
+def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small fixed table as literal rows.
+
+    Built from literals (not ``createDataFrame``, whose RDD-backed scan has no
+    size estimate), so Catalyst knows it is tiny and can size-check joins
+    against it and against anything derived from it.
+    """
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 class Warehouse:
     """Lazily derived warehouse tables over one folder of test parquet files."""
 
@@ -79,7 +91,7 @@ class Warehouse:
             T.StructField("commercial_region_code", T.StringType(), False),
             T.StructField("commercial_subregion_code", T.StringType(), False),
         ])
-        fixed = self.spark.createDataFrame(COUNTRIES, schema)
+        fixed = literal_table(self.spark, COUNTRIES, schema)
         # 25 fixed rows: broadcasting is bounded by construction.
         return self.raw("nation").select("n_nationkey").join(F.broadcast(fixed), "n_nationkey")
 
@@ -301,7 +313,7 @@ class Warehouse:
             T.StructField("payment_gateway_name", T.StringType(), False),
             T.StructField("payment_gateway_category", T.StringType(), False),
         ])
-        return self.spark.createDataFrame(GATEWAYS, schema)
+        return literal_table(self.spark, GATEWAYS, schema)
 
     def fulfillments(self) -> DataFrame:
         return (self.raw("lineitem").filter(F.col("l_returnflag") == "A")
