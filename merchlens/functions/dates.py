@@ -17,6 +17,18 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _is_iso_date(value) -> bool:
+    return isinstance(value, str) and len(value) == 10 and value[4] == "-" and value[7] == "-" \
+        and value.replace("-", "").isdigit()
+
+
+def _date_or_col(value: str | Column | dt.date) -> Column:
+    """A date given as a literal (``date`` or ``'YYYY-MM-DD'``) or a column (name or ``Column``)."""
+    if isinstance(value, dt.date) or _is_iso_date(value):
+        return lit_date(value)
+    return _col(value)
+
+
 def lit_date(value: str | dt.date) -> Column:
     """A DATE literal from ``'YYYY-MM-DD'`` or a ``datetime.date``."""
     if isinstance(value, str):
@@ -54,14 +66,13 @@ def month_boundaries_between(start: str | Column, end: str | Column | dt.date) -
     counts whole months, so year/month arithmetic is used instead.
     """
     s = _col(start)
-    e = lit_date(end) if isinstance(end, (str, dt.date)) else _col(end)
-    return (F.year(e) * 12 + F.month(e)) - (F.year(s) * 12 + F.month(s))
+    e = _date_or_col(end)
+    return ((F.year(e) * 12 + F.month(e)) - (F.year(s) * 12 + F.month(s))).cast("bigint")
 
 
 def days_between(start: str | Column, end: str | Column | dt.date) -> Column:
     """``DATE_DIFF(end, start, DAY)`` on the date parts."""
-    e = lit_date(end) if isinstance(end, (str, dt.date)) else _col(end)
-    return F.datediff(e, _col(start).cast("date"))
+    return F.datediff(_date_or_col(end), _col(start).cast("date"))
 
 
 def seconds_of_day(c: str | Column) -> Column:
