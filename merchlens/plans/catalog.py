@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import lit_date
+from ..functions.dates import days_between, lit_date, month_boundaries_between
 from ..operators import campaign as camp
-from ..operators import cohort, funnel, rollup
+from ..operators import cohort, enrich, funnel, rollup
 from ..sources.constants import DEFAULT_AS_OF
 from ..sources.warehouse import Warehouse
 from . import reports
@@ -196,6 +196,90 @@ def q_activity_semi_join(spark, sf_dir):
                                      F.col("reported_at") >= F.lit("2022-01-01").cast("timestamp_ntz"))
 
 
+def q_cohort_semi_join(spark, sf_dir):
+    """(merchant, shop) pairs of the active merchants of India (two-hop cohort)."""
+    w = _wh(spark, sf_dir)
+    active = w.merchants().filter((F.col("country_code") == "IN") & F.col("is_active")).select("_merchant_key")
+    return cohort.cohort_semi_join(w.shop_merchant_lookup(), active, "_merchant_key").distinct()
+
+
+def q_star_enrich(spark, sf_dir):
+    """Every shop-merchant pair with shop, merchant and migration attributes."""
+    w = _wh(spark, sf_dir)
+    return enrich.star_enrich(w.shop_merchant_lookup(), [
+        (w.shops(), "shop_id", ["shop_name", "shop_country_code", "current_plan_name"]),
+        (w.merchants(), "_merchant_key", ["merchant_name", "current_msm_name"]),
+        (w.migration(), "shop_id", ["is_on_c1", "migration_experience_type"]),
+    ])
+
+
+def q_party_fallback(spark, sf_dir):
+    """Each app's partner, or its developer shop's merchant when it has no partner."""
+    w = _wh(spark, sf_dir)
+    apps = w.api_clients().select("api_client_id", "partner_id", "application_developer_shop_id")
+    partners = w.partners().select(F.col("platform_partner_id").alias("partner_id"), "platform_partner_id",
+                                   "partner_name")
+    dev = w.shops().select(F.col("shop_id").alias("application_developer_shop_id"),
+                           F.col("current_merchant_name").alias("developer_merchant_name"))
+    out = apps.join(partners, "partner_id", "left").join(dev, "application_developer_shop_id", "left")
+    return enrich.party_fallback(out, "platform_partner_id", "application_developer_shop_id", "partner_name",
+                                 "developer_merchant_name").select(
+        "api_client_id", "is_api_developed_by_a_shop", "partner_shop_id", "partner_merchant_name")
+
+
+def _stacked(w: Warehouse) -> DataFrame:
+    funnel_part = rollup.funnel_rollup(w.funnel_rollup_daily(), w.sources(), w.touchpoints(), w.marketing_channels())
+    value_part = funnel.attributed_value_split(w.opportunity_dim(), w.attribution_facts(), w.touchpoints(),
+                                              w.marketing_channels())
+    return funnel_part, value_part
+
+
+def q_union_measures(spark, sf_dir):
+    """Funnel and value rows stacked with SQL UNION (distinct)."""
+    a, b = _stacked(_wh(spark, sf_dir))
+    return rollup.union_measures(a, b, distinct=True)
+
+
+def q_label_unknown(spark, sf_dir):
+    """The stacked funnel rows with the full country name (or the unknown label)."""
+    w = _wh(spark, sf_dir)
+    a, b = _stacked(w)
+    return enrich.label_unknown(rollup.union_measures(a, b, distinct=False), w.country_dimension())
+
+
+def q_net_new_history(spark, sf_dir):
+    """Every lead with the time of its earliest history row."""
+    w = _wh(spark, sf_dir)
+    return camp.net_new_history(w.leads().select("id", "status", "company"), w.leads_history())
+
+
+def q_campaign_selector(spark, sf_dir):
+    """Campaigns created since 2022 whose name occurs in the APAC funnel mart."""
+    w = _wh(spark, sf_dir)
+    return camp.campaign_selector(w.campaigns(), _kpi_names(w))
+
+
+def q_threshold_after_agg(spark, sf_dir):
+    """Shops whose 2022 on-platform channel GMV exceeds the threshold."""
+    w = _wh(spark, sf_dir)
+    facts = w.channel_gmv_monthly().filter(F.col("is_platform_gmv") & rollup.year_in(F.col("month_begin_date"), [2022]))
+    totals = rollup.shop_totals_since(facts, "shop_id", {"sum_gmv": "channel_gmv_usd"})
+    return rollup.threshold_after_agg(totals, "sum_gmv", TEST_PARAMS["min_annual_gmv"])
+
+
+def q_calendar_age_filter(spark, sf_dir):
+    """State transitions at least 180 days before the reporting date."""
+    w = _wh(spark, sf_dir)
+    return w.state_facts().filter(days_between("transition_at", DEFAULT_AS_OF) >= 180)
+
+
+def q_age_in_months(spark, sf_dir):
+    """Every merchant's age in calendar months at the reporting date."""
+    m = _wh(spark, sf_dir).merchants()
+    return m.select("merchant_id", "first_contract_start_date",
+                    month_boundaries_between("first_contract_start_date", DEFAULT_AS_OF).alias("age_in_months"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "regional_app_gmv_monthly": q_regional_app_gmv_monthly,
     "plan_vs_actual_monthly": q_plan_vs_actual_monthly,
@@ -225,4 +309,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stage_pivot": q_stage_pivot,
     "campaign_members_mql": q_campaign_members_mql,
     "activity_semi_join": q_activity_semi_join,
+    "cohort_semi_join": q_cohort_semi_join,
+    "star_enrich": q_star_enrich,
+    "party_fallback": q_party_fallback,
+    "union_measures": q_union_measures,
+    "label_unknown": q_label_unknown,
+    "net_new_history": q_net_new_history,
+    "campaign_selector": q_campaign_selector,
+    "threshold_after_agg": q_threshold_after_agg,
+    "calendar_age_filter": q_calendar_age_filter,
+    "age_in_months": q_age_in_months,
 }
