@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import lit_ts, period_flags
 from .enrich import label_unknown
-from .rollup import (ALL_MEASURES, FUNNEL_DIMS, MART_DECIMAL, VALUE_MEASURES, FUNNEL_MEASURES,
-                     funnel_rollup, regrain, union_measures)
+from .rollup import (ALL_MEASURES, FUNNEL_DIMS, FUNNEL_MEASURES, MART_DECIMAL, ROW_COUNT, ROW_DEALS,
+                     ROW_VALUE, VALUE_MEASURES, funnel_rows, regrain)
 
 # Scale factor applied to attributed contract value to count "deals won".
 # ``x / 2000`` is written as ``x * 0.0005``: the same value, and a product
@@ -18,25 +18,20 @@ from .rollup import (ALL_MEASURES, FUNNEL_DIMS, MART_DECIMAL, VALUE_MEASURES, FU
 DEALS_PER_VALUE = "0.0005"
 
 
-def attributed_value_split(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
-                           channels: DataFrame, *, since: str | dt.datetime = "2019-02-01") -> DataFrame:
-    """Per day and reporting dimensions, won contract value split by attribution weight.
-
-    Closed opportunities from ``since`` on are joined to their attribution
-    rows, touchpoints and channels (inner joins). ``net_new_monthly_contract_value``
-    is the sum over won rows of value x weight; ``net_new_deals_won`` is the same
-    divided by 2000. The eight funnel measures are zero.
-
-    Decimal rule (S5): the value is DECIMAL(18,2) and the weight DECIMAL(9,6),
-    so the product needs no precision loss; totals are cast to DECIMAL(38,7).
-    """
+def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame, channels: DataFrame,
+               *, since: str | dt.datetime = "2019-02-01") -> DataFrame:
+    """Closed opportunities from ``since`` on, joined to attribution rows,
+    touchpoints and channels: the 20 reporting columns and the ten measures
+    at row level (attributed value of won rows; the eight counts are zero)."""
     if isinstance(since, str):
         since = dt.datetime.fromisoformat(since)
     pod = opps.filter(F.col("is_closed") & (F.col("opportunity_closed_date") >= lit_ts(since)))
     joined = (pod.join(attribution, "_plus_opportunity_key")
               .join(touchpoints, "_revenue_touchpoint_attribution_key")
               .join(channels, "_plus_marketing_channel_key"))
-    dims = [
+    value = F.col("monthly_contract_value").cast("decimal(18,2)") * F.col("count_w_shaped").cast("decimal(9,6)")
+    deals = value * F.lit(DEALS_PER_VALUE).cast("decimal(5,4)")
+    return joined.select(
         F.date_trunc("day", "opportunity_closed_date").cast("timestamp_ntz").alias("event_date"),
         F.col("cost_center"),
         F.col("cost_center_track"),
@@ -57,17 +52,26 @@ def attributed_value_split(opps: DataFrame, attribution: DataFrame, touchpoints:
         F.col("marketing_channel_path"),
         F.col("cost_center").alias("lead_acquisition_path"),
         F.col("cost_center_track").alias("lead_acquisition_sub_path"),
-    ]
-    value = F.col("monthly_contract_value").cast("decimal(18,2)") * F.col("count_w_shaped")
-    zero = F.lit(0).cast(MART_DECIMAL)
-    aggs = [zero.alias(m) for m in FUNNEL_MEASURES]
-    aggs += [
-        F.sum(F.when(F.col("is_won"), value).otherwise(F.lit(0))).cast(MART_DECIMAL)
-         .alias("net_new_monthly_contract_value"),
-        F.sum(F.when(F.col("is_won"), value * F.lit(DEALS_PER_VALUE).cast("decimal(5,4)"))
-              .otherwise(F.lit(0))).cast(MART_DECIMAL).alias("net_new_deals_won"),
-    ]
-    return joined.groupBy(*dims).agg(*aggs)
+        *[F.lit(0).cast(ROW_COUNT).alias(m) for m in FUNNEL_MEASURES],
+        F.when(F.col("is_won"), value).otherwise(F.lit(0)).cast(ROW_VALUE).alias("net_new_monthly_contract_value"),
+        F.when(F.col("is_won"), deals).otherwise(F.lit(0)).cast(ROW_DEALS).alias("net_new_deals_won"),
+    )
+
+
+def attributed_value_split(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
+                           channels: DataFrame, *, since: str | dt.datetime = "2019-02-01") -> DataFrame:
+    """Per day and reporting dimensions, won contract value split by attribution weight.
+
+    Closed opportunities from ``since`` on are joined to their attribution
+    rows, touchpoints and channels (inner joins). ``net_new_monthly_contract_value``
+    is the sum over won rows of value x weight; ``net_new_deals_won`` is the same
+    divided by 2000. The eight funnel measures are zero.
+
+    Decimal rule (S5): the value is DECIMAL(18,2) and the weight DECIMAL(9,6),
+    so the product needs no precision loss; totals are cast to DECIMAL(38,7).
+    """
+    rows = value_rows(opps, attribution, touchpoints, channels, since=since)
+    return regrain(rows, FUNNEL_DIMS, ALL_MEASURES)
 
 
 # (output, minuend, subtrahend), in the reference's order.
@@ -95,7 +99,8 @@ def kpi_mart(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
              as_of: str | dt.datetime, since: str | dt.datetime = "2019-07-01",
              value_since: str | dt.datetime = "2019-02-01") -> DataFrame:
     """The funnel mart — O15 and O14 stacked, labelled, re-grained, with
-    conversion columns and period flags, events from ``since`` on.
+    conversion columns and period flags, events from ``since`` on (equal to
+    the stage-by-stage composition; see the comment below).
 
     The date filter is on a grouping column, so Catalyst pushes it below the
     re-grain and into both stacked inputs.
@@ -106,9 +111,13 @@ def kpi_mart(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
         as_of = dt.datetime.fromisoformat(as_of)
     elif isinstance(as_of, dt.date) and not isinstance(as_of, dt.datetime):
         as_of = dt.datetime.combine(as_of, dt.time())
-    funnel = funnel_rollup(rollup, sources, touchpoints, channels)
-    value = attributed_value_split(opps, attribution, touchpoints, channels, since=value_since)
-    stacked = union_measures(funnel, value, distinct=False)
+    # One aggregation instead of three: the reference sums each input to its
+    # grain, stacks the two results and sums again. Sums are associative and
+    # the stacked inputs zero each other's measures (S7), so summing the
+    # stacked row-level inputs once gives the same mart with one shuffle.
+    funnel = funnel_rows(rollup, sources, touchpoints, channels)
+    value = value_rows(opps, attribution, touchpoints, channels, since=value_since)
+    stacked = funnel.unionByName(value)
     labelled = label_unknown(stacked, countries)
     dims = FUNNEL_DIMS[:6] + ["country"] + FUNNEL_DIMS[6:]
     mart = regrain(labelled, dims, ALL_MEASURES)

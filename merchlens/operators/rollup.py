@@ -165,17 +165,31 @@ ALL_MEASURES = FUNNEL_MEASURES + VALUE_MEASURES
 MART_DECIMAL = "decimal(38,7)"
 
 
-def funnel_rollup(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
-                  channels: DataFrame) -> DataFrame:
-    """Re-aggregate the daily funnel rollup to the 20 reporting columns.
+# Row-level measure types before aggregation: counts are BIGINT, attributed
+# value is DECIMAL(18,2) x DECIMAL(9,6), deals add a DECIMAL(5,4) factor.
+ROW_COUNT = "bigint"
+ROW_VALUE = "decimal(28,8)"
+ROW_DEALS = "decimal(34,12)"
 
-    Eight measures come from the rollup; the two value measures are zero.
-    Measures are DECIMAL(38,7) so that the result stacks with O14's.
-    """
+
+def funnel_rows(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
+                channels: DataFrame) -> DataFrame:
+    """Rollup rows joined to their reporting dimensions: the 20 reporting columns
+    and the ten measures at row level (the two value measures are zero)."""
     joined = (rollup.join(sources, "_source_key")
               .join(touchpoints, "_revenue_touchpoint_attribution_key")
               .join(channels, "_plus_marketing_channel_key"))
-    dims = [
+    sources_of = {
+        "net_new_sessions": "total_sessions",
+        "net_new_leads": "net_new_leads",
+        "net_new_qualified_leads": "qualified_leads",
+        "net_new_prequalified": "prequalified_opportunity_transitions",
+        "net_new_interested": "total_interested_opportunity_transitions",
+        "net_new_closed_won": "total_closed_won_opportunities",
+        "net_new_closed_lost": "total_closed_lost_opportunities",
+        "net_new_created_opportunities": "created_opportunities",
+    }
+    return joined.select(
         F.col("date").cast("timestamp_ntz").alias("event_date"),
         F.col("lead_acquisition_path").alias("cost_center"),
         F.col("lead_acquisition_sub_path").alias("cost_center_track"),
@@ -194,24 +208,22 @@ def funnel_rollup(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
         F.col("marketing_channel"),
         F.col("adjusted_marketing_channel_path"),
         F.col("marketing_channel_path"),
-        F.col("lead_acquisition_path").alias("lead_acquisition_path_dup"),
-        F.col("lead_acquisition_sub_path").alias("lead_acquisition_sub_path_dup"),
-    ]
-    sources_of = {
-        "net_new_sessions": "total_sessions",
-        "net_new_leads": "net_new_leads",
-        "net_new_qualified_leads": "qualified_leads",
-        "net_new_prequalified": "prequalified_opportunity_transitions",
-        "net_new_interested": "total_interested_opportunity_transitions",
-        "net_new_closed_won": "total_closed_won_opportunities",
-        "net_new_closed_lost": "total_closed_lost_opportunities",
-        "net_new_created_opportunities": "created_opportunities",
-    }
-    aggs = [F.sum(src).cast(MART_DECIMAL).alias(name) for name, src in sources_of.items()]
-    aggs += [F.lit(0).cast(MART_DECIMAL).alias(name) for name in VALUE_MEASURES]
-    out = joined.groupBy(*dims).agg(*aggs)
-    return out.withColumnsRenamed({"lead_acquisition_path_dup": "lead_acquisition_path",
-                                   "lead_acquisition_sub_path_dup": "lead_acquisition_sub_path"})
+        F.col("lead_acquisition_path"),
+        F.col("lead_acquisition_sub_path"),
+        *[F.col(src).cast(ROW_COUNT).alias(name) for name, src in sources_of.items()],
+        F.lit(0).cast(ROW_VALUE).alias("net_new_monthly_contract_value"),
+        F.lit(0).cast(ROW_DEALS).alias("net_new_deals_won"),
+    )
+
+
+def funnel_rollup(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
+                  channels: DataFrame) -> DataFrame:
+    """Re-aggregate the daily funnel rollup to the 20 reporting columns.
+
+    Eight measures come from the rollup; the two value measures are zero.
+    Measures are DECIMAL(38,7) so that the result stacks with O14's.
+    """
+    return regrain(funnel_rows(rollup, sources, touchpoints, channels), FUNNEL_DIMS, ALL_MEASURES)
 
 
 def union_measures(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
