@@ -36,6 +36,9 @@ from pyspark.sql import types as T
 from .constants import COUNTRIES, GATEWAYS, YEAR_SHIFT
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Fact tables and the key their rows are spread on when a scan is too narrow.
+FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+_SCAN_SPLITS: dict[str, int] = {}
 
 SHOPS_PER_MERCHANT = 4      # c_custkey div 4 -> merchant
 CUSTOMERS_PER_SUPPLIER = 15  # TPC-H cardinality ratio: partner of a shop
@@ -58,6 +61,26 @@ def idiv(c: str, n: int) -> Column:
     return F.expr(f"{c} div {n}")
 
 
+def spread_narrow_scan(df: DataFrame, path: str, key: str, parallelism: int) -> DataFrame:
+    """Spread a fact scan over all cores when its files give fewer splits than cores.
+
+    Parquet splits at row-group boundaries, so a table stored as one or a few
+    large row groups is read by that many tasks, and all work up to the first
+    shuffle (joins to broadcast dimensions, partial aggregation) runs on those
+    few cores. Such a scan is hash-partitioned on its key to ``parallelism``
+    partitions (no sort, unlike a round-robin repartition). A large table has
+    far more splits than cores and is returned unchanged, so at scale this
+    adds no shuffle. Column pruning and filters still reach the scan. The
+    split count is looked up once per path and session.
+    """
+    splits = _SCAN_SPLITS.get(path)
+    if splits is None:
+        splits = _SCAN_SPLITS[path] = df.rdd.getNumPartitions()
+    if splits < parallelism:
+        return df.repartition(parallelism, key)
+    return df
+
+
 def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     """A small fixed table as literal rows.
 
@@ -78,7 +101,11 @@ class Warehouse:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        if name in FACT_KEYS:
+            df = spread_narrow_scan(df, path, FACT_KEYS[name], self.spark.sparkContext.defaultParallelism)
+        return df
 
     # ------------------------------------------------------------------ geography
     @cached_property
