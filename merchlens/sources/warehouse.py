@@ -36,6 +36,20 @@ from pyspark.sql import types as T
 from .constants import COUNTRIES, GATEWAYS, YEAR_SHIFT
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Declared schemas of the source tables: no schema-inference job per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 # Fact tables and the key their rows are spread on when a scan is too narrow.
 FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
 _SCAN_SPLITS: dict[str, int] = {}
@@ -61,6 +75,22 @@ def idiv(c: str, n: int) -> Column:
     return F.expr(f"{c} div {n}")
 
 
+_COUNTRY_ATTRS = {"code": 1, "name": 2, "region": 3, "subregion": 4}
+
+
+def country_of(nation_col: str, attr: str) -> Column:
+    """Country attribute of a nation key, looked up in a literal map.
+
+    A 25-entry lookup written as an expression instead of a join: no shuffle
+    or broadcast, and the frame keeps the size estimate of its scan (a join
+    would be estimated as the product of both sides' sizes and would stop the
+    frame from ever qualifying for a broadcast). Unknown keys give null.
+    """
+    i = _COUNTRY_ATTRS[attr]
+    pairs = [x for row in COUNTRIES for x in (F.lit(row[0]), F.lit(row[i]))]
+    return F.try_element_at(F.create_map(*pairs), F.col(nation_col))
+
+
 def spread_narrow_scan(df: DataFrame, path: str, key: str, parallelism: int) -> DataFrame:
     """Spread a fact scan over all cores when its files give fewer splits than cores.
 
@@ -102,7 +132,7 @@ class Warehouse:
 
     def raw(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(path)
         if name in FACT_KEYS:
             df = spread_narrow_scan(df, path, FACT_KEYS[name], self.spark.sparkContext.defaultParallelism)
         return df
@@ -133,13 +163,11 @@ class Warehouse:
     # ---------------------------------------------------------------------- shops
     def shops(self) -> DataFrame:
         c = self.raw("customer")
-        ctry = F.broadcast(self.countries.select(
-            F.col("n_nationkey").alias("c_nationkey"), "country_code"))
         key = F.col("c_custkey").cast("string")
         partner = idiv("c_custkey", CUSTOMERS_PER_SUPPLIER)
         has_partner = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
         bal = F.col("c_acctbal")
-        return c.join(ctry, "c_nationkey").select(
+        return c.select(
             (F.col("c_custkey") + 1).alias("_shop_key"),
             F.col("c_custkey").alias("shop_id"),
             F.col("c_name").alias("shop_name"),
@@ -147,7 +175,7 @@ class Warehouse:
             F.concat(F.lit("shop-"), key, F.lit(".store.example")).alias("shop_permanent_domain"),
             F.concat(F.lit("https://shop-"), key, F.lit(".com")).alias("shop_storefront_url"),
             F.concat(F.lit("Company "), key).alias("shop_company_name"),
-            F.col("country_code").alias("shop_country_code"),
+            country_of("c_nationkey", "code").alias("shop_country_code"),
             idiv("c_custkey", SHOPS_PER_MERCHANT).alias("current_merchant_id"),
             F.concat(F.lit("Merchant "), idiv("c_custkey", SHOPS_PER_MERCHANT).cast("string"))
              .alias("current_merchant_name"),
@@ -208,19 +236,18 @@ class Warehouse:
                   F.min("c_acctbal").alias("min_balance"),
                   F.max("c_acctbal").alias("max_balance"),
                   F.min("c_mktsegment").alias("first_segment")))
-        ctry = F.broadcast(self.countries)
         active = F.col("total_balance") > 0
-        return m.join(ctry, "n_nationkey").select(
+        return m.select(
             (F.col("merchant_id") + 1).alias("_merchant_key"),
             "merchant_id",
             F.concat(F.lit("Merchant "), F.col("merchant_id").cast("string")).alias("merchant_name"),
             "current_primary_shop_id",
             F.col("current_primary_shop_id").alias("current_merchant_primary_shop_id"),
             F.when(F.col("n_shops") > 1, F.col("n_shops")).alias("current_shop_count"),
-            "country_code",
-            "country_name",
-            F.col("country_name").alias("merchant_country_name"),
-            F.col("commercial_region_code").alias("geographic_region_code"),
+            country_of("n_nationkey", "code").alias("country_code"),
+            country_of("n_nationkey", "name").alias("country_name"),
+            country_of("n_nationkey", "name").alias("merchant_country_name"),
+            country_of("n_nationkey", "region").alias("geographic_region_code"),
             active.alias("is_active"),
             (F.col("min_balance") > -500).alias("is_included_in_historical_reporting"),
             F.when(F.col("total_balance") < 5000, "1: <5K")
@@ -489,9 +516,8 @@ class Warehouse:
     def opportunity_dim(self) -> DataFrame:
         o = self.raw("orders")
         c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
-        ctry = F.broadcast(self.countries.select(
-            F.col("n_nationkey").alias("c_nationkey"), "country_code", "commercial_region_code"))
-        return o.join(c, "o_custkey").join(ctry, "c_nationkey").select(
+        region = country_of("c_nationkey", "region")
+        return o.join(c, "o_custkey").select(
             F.col("o_orderkey").alias("_plus_opportunity_key"),
             shifted("o_orderdate").alias("opportunity_closed_date"),
             (F.col("o_orderstatus") != "O").alias("is_closed"),
@@ -501,10 +527,10 @@ class Warehouse:
              .otherwise("Marketing").alias("cost_center"),
             F.col("o_orderpriority").alias("cost_center_track"),
             F.col("c_mktsegment").alias("market_segment"),
-            F.col("commercial_region_code").alias("inferred_region"),
-            F.col("country_code").alias("inferred_country_code"),
+            region.alias("inferred_region"),
+            country_of("c_nationkey", "code").alias("inferred_country_code"),
             F.when(F.col("o_totalprice") >= 250000, "Large").otherwise("Core").alias("deal_type_category"),
-            F.col("commercial_region_code").alias("sales_region"),
+            region.alias("sales_region"),
             F.when(F.col("o_orderstatus") == "F", "New").otherwise("Upgrade").alias("upgrade_type"),
             F.concat(F.lit("src-"), F.col("c_mktsegment")).alias("attributed_source"))
 
@@ -550,12 +576,11 @@ class Warehouse:
     def funnel_rollup_daily(self) -> DataFrame:
         s = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         n = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-        ctry = F.broadcast(self.countries.select(
-            F.col("n_nationkey").alias("s_nationkey"), "country_code", "commercial_region_code"))
+        region = country_of("s_nationkey", "region")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
         one = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
+        # nation: one row per nation (25 in TPC-H, a few hundred at most), broadcast.
         return (self.raw("lineitem").join(s, "l_suppkey").join(F.broadcast(n), "s_nationkey")
-                .join(ctry, "s_nationkey")
                 .select(
                     shifted_date("l_shipdate").alias("date"),
                     F.col("n_regionkey").alias("_source_key"),
@@ -563,10 +588,10 @@ class Warehouse:
                     F.col("l_suppkey").alias("_plus_marketing_channel_key"),
                     F.when(rf == "A", "Enterprise").when(rf == "R", "Mid-Market")
                      .otherwise("SMB").alias("segment_for_quota"),
-                    F.col("commercial_region_code").alias("merchant_region"),
-                    "country_code",
+                    region.alias("merchant_region"),
+                    country_of("s_nationkey", "code").alias("country_code"),
                     F.when(F.col("l_quantity") >= 25, "Large").otherwise("Core").alias("deal_type"),
-                    F.col("commercial_region_code").alias("sales_region"),
+                    region.alias("sales_region"),
                     F.when(ls == "F", "New").otherwise("Upgrade").alias("upgrade_type"),
                     F.col("l_quantity").cast("bigint").alias("total_sessions"),
                     F.lit(1).cast("bigint").alias("net_new_leads"),
