@@ -29,10 +29,6 @@ TEST_PARAMS = {
 }
 
 
-def _wh(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(spark, sf_dir)
-
-
 def _mart_inputs(w: Warehouse) -> dict:
     return dict(opps=w.opportunity_dim(), attribution=w.attribution_facts(), touchpoints=w.touchpoints(),
                 channels=w.marketing_channels(), rollup=w.funnel_rollup_daily(), sources=w.sources())
@@ -43,169 +39,146 @@ def _kpi_names(w: Warehouse) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- reports
-def q_regional_app_gmv_monthly(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_regional_app_gmv_monthly(w: Warehouse):
     return reports.regional_app_gmv_monthly(w.app_gmv_daily(), w.shops(), w.merchants(),
                                             w.api_clients(), w.partners())
 
 
-def q_plan_vs_actual_monthly(spark, sf_dir):
-    w = _wh(spark, sf_dir)
-    return reports.plan_vs_actual_monthly(spark, w.calendar(), w.fulfillments(), w.gmv_facts(),
+def q_plan_vs_actual_monthly(w: Warehouse):
+    return reports.plan_vs_actual_monthly(w.spark, w.calendar(), w.fulfillments(), w.gmv_facts(),
                                           w.gateways(), w.shops(), w.channel_gmv_daily(), w.app_gmv_daily())
 
 
-def q_merchant_tracker(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_merchant_tracker(w: Warehouse):
     return reports.merchant_tracker(w.shop_merchant_lookup(), w.merchants(), w.shops(), w.checkout_daily(),
                                     w.app_gmv_daily(), w.shop_daily_gmv(), w.migration())
 
 
-def q_campaign_scorecard(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_campaign_scorecard(w: Warehouse):
     return reports.campaign_scorecard(w.campaigns(), w.campaign_members(), w.leads(), w.leads_history(),
                                       w.opportunities(), kpi_names=_kpi_names(w))
 
 
-def q_campaign_leads_extract(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_campaign_leads_extract(w: Warehouse):
     return reports.campaign_leads_extract(w.campaigns(), w.campaign_members(), w.leads(), w.leads_history(),
                                           w.opportunities(), kpi_names=_kpi_names(w))
 
 
-def q_checkout_duration_by_event(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_checkout_duration_by_event(w: Warehouse):
     return reports.checkout_duration_by_event(w.checkout_events(), w.checkout_facts())
 
 
-def q_merchant_age_band_summary(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_merchant_age_band_summary(w: Warehouse):
     return reports.merchant_age_band_summary(w.merchants(), w.region_map(), w.merchant_daily())
 
 
-def q_regional_merchant_list(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_regional_merchant_list(w: Warehouse):
     return reports.regional_merchant_list(w.shops(), w.channel_gmv_daily(), w.gmv_facts())
 
 
-def q_account_upgrade_targets(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_account_upgrade_targets(w: Warehouse):
     return reports.account_upgrade_targets(w.channel_gmv_monthly(), w.shops(), w.account_lookup(),
                                            w.accounts(), min_gmv=TEST_PARAMS["min_annual_gmv"])
 
 
-def q_partner_outbound_list(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_partner_outbound_list(w: Warehouse):
     return reports.partner_outbound_list(w.state_facts(), w.merchants(), w.region_map(), w.partners(),
                                          w.shops(), w.shop_state_daily(), w.outbound_list())
 
 
-def q_churn_risk_list(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_churn_risk_list(w: Warehouse):
     return reports.churn_risk_list(w.merchants(), w.shops())
 
 
-def q_vendor_line_items(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_vendor_line_items(w: Warehouse):
     return reports.vendor_line_items(w.line_items(), w.gmv_facts(), w.products(), w.installs(), w.gateways(),
                                      vendor=TEST_PARAMS["vendor"], api_client_id=TEST_PARAMS["api_client_id"])
 
 
 # -------------------------------------------------------------------------- stages
-def q_kpi_mart(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_kpi_mart(w: Warehouse):
     return funnel.kpi_mart(**_mart_inputs(w), countries=w.country_dimension(), as_of=DEFAULT_AS_OF)
 
 
-def q_kpi_campaign_names(spark, sf_dir):
-    return _kpi_names(_wh(spark, sf_dir))
+def q_kpi_campaign_names(w: Warehouse):
+    return _kpi_names(w)
 
 
-def q_attributed_value_split(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_attributed_value_split(w: Warehouse):
     return funnel.attributed_value_split(w.opportunity_dim(), w.attribution_facts(), w.touchpoints(),
                                          w.marketing_channels())
 
 
-def q_funnel_rollup(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_funnel_rollup(w: Warehouse):
     return rollup.funnel_rollup(w.funnel_rollup_daily(), w.sources(), w.touchpoints(), w.marketing_channels())
 
 
-def q_gateway_gmv_monthly(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_gateway_gmv_monthly(w: Warehouse):
     return rollup.gateway_gmv_monthly(w.gmv_facts(), w.gateways(), w.shops(), w.fulfillments(),
                                       country_codes=["IN"], gateway_names=reports.COD_GATEWAY_NAMES,
                                       since="2021-12-31", as_of=DEFAULT_AS_OF)
 
 
-def q_channel_gmv_monthly(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_channel_gmv_monthly(w: Warehouse):
     return rollup.channel_gmv_monthly(w.channel_gmv_daily(), w.shops(), country_code="IN",
                                       years=[2022, 2023], as_of=DEFAULT_AS_OF)
 
 
-def q_app_gmv_monthly(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_app_gmv_monthly(w: Warehouse):
     return rollup.app_gmv_monthly(w.app_gmv_daily(), w.shops(), country_codes=["IN"],
                                   since="2021-12-31", as_of=DEFAULT_AS_OF)
 
 
-def q_month_spine(spark, sf_dir):
-    return rollup.month_spine(_wh(spark, sf_dir).calendar(), ["2022", "2023"])
+def q_month_spine(w: Warehouse):
+    return rollup.month_spine(w.calendar(), ["2022", "2023"])
 
 
-def q_fulfilled_orders(spark, sf_dir):
-    return cohort.fulfilled_orders(_wh(spark, sf_dir).fulfillments())
+def q_fulfilled_orders(w: Warehouse):
+    return cohort.fulfilled_orders(w.fulfillments())
 
 
-def q_app_install_shops(spark, sf_dir):
-    return cohort.app_install_shops(_wh(spark, sf_dir).installs(), TEST_PARAMS["api_client_id"])
+def q_app_install_shops(w: Warehouse):
+    return cohort.app_install_shops(w.installs(), TEST_PARAMS["api_client_id"])
 
 
-def q_order_rollup(spark, sf_dir):
-    return rollup.order_rollup(_wh(spark, sf_dir).gmv_facts(), after_year=2021)
+def q_order_rollup(w: Warehouse):
+    return rollup.order_rollup(w.gmv_facts(), after_year=2021)
 
 
-def q_trailing_year_totals(spark, sf_dir):
-    return rollup.trailing_year_totals(_wh(spark, sf_dir).merchant_daily(), "_merchant_key", "gmv",
+def q_trailing_year_totals(w: Warehouse):
+    return rollup.trailing_year_totals(w.merchant_daily(), "_merchant_key", "gmv",
                                        as_of=DEFAULT_AS_OF)
 
 
-def q_shop_totals_since(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_shop_totals_since(w: Warehouse):
     return rollup.shop_totals_since(w.shop_daily_gmv(), "shop_id",
                                     {"platform_gmv_annualized": "daily_gmv_amount_usd"},
                                     F.col("date") > lit_date("2022-03-29"))
 
 
-def q_stage_pivot(spark, sf_dir):
-    return camp.stage_pivot(_wh(spark, sf_dir).opportunities())
+def q_stage_pivot(w: Warehouse):
+    return camp.stage_pivot(w.opportunities())
 
 
-def q_campaign_members_mql(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_campaign_members_mql(w: Warehouse):
     selected = camp.campaign_selector(w.campaigns(), _kpi_names(w))
     return camp.campaign_members_mql(selected, w.campaign_members(), w.leads(), w.leads_history())
 
 
-def q_activity_semi_join(spark, sf_dir):
-    w = _wh(spark, sf_dir)
+def q_activity_semi_join(w: Warehouse):
     return cohort.activity_semi_join(w.shops().select("_shop_key", "shop_id", "shop_country_code"),
                                      w.gmv_facts(), "_shop_key",
                                      F.col("reported_at") >= F.lit("2022-01-01").cast("timestamp_ntz"))
 
 
-def q_cohort_semi_join(spark, sf_dir):
+def q_cohort_semi_join(w: Warehouse):
     """(merchant, shop) pairs of the active merchants of India (two-hop cohort)."""
-    w = _wh(spark, sf_dir)
     active = w.merchants().filter((F.col("country_code") == "IN") & F.col("is_active")).select("_merchant_key")
     return cohort.cohort_semi_join(w.shop_merchant_lookup(), active, "_merchant_key").distinct()
 
 
-def q_star_enrich(spark, sf_dir):
+def q_star_enrich(w: Warehouse):
     """Every shop-merchant pair with shop, merchant and migration attributes."""
-    w = _wh(spark, sf_dir)
     return enrich.star_enrich(w.shop_merchant_lookup(), [
         (w.shops(), "shop_id", ["shop_name", "shop_country_code", "current_plan_name"]),
         (w.merchants(), "_merchant_key", ["merchant_name", "current_msm_name"]),
@@ -213,9 +186,8 @@ def q_star_enrich(spark, sf_dir):
     ])
 
 
-def q_party_fallback(spark, sf_dir):
+def q_party_fallback(w: Warehouse):
     """Each app's partner, or its developer shop's merchant when it has no partner."""
-    w = _wh(spark, sf_dir)
     apps = w.api_clients().select("api_client_id", "partner_id", "application_developer_shop_id")
     partners = w.partners().select(F.col("platform_partner_id").alias("partner_id"), "platform_partner_id",
                                    "partner_name")
@@ -234,53 +206,48 @@ def _stacked(w: Warehouse) -> DataFrame:
     return funnel_part, value_part
 
 
-def q_union_measures(spark, sf_dir):
+def q_union_measures(w: Warehouse):
     """Funnel and value rows stacked with SQL UNION (distinct)."""
-    a, b = _stacked(_wh(spark, sf_dir))
+    a, b = _stacked(w)
     return rollup.union_measures(a, b, distinct=True)
 
 
-def q_label_unknown(spark, sf_dir):
+def q_label_unknown(w: Warehouse):
     """The stacked funnel rows with the full country name (or the unknown label)."""
-    w = _wh(spark, sf_dir)
     a, b = _stacked(w)
     return enrich.label_unknown(rollup.union_measures(a, b, distinct=False), w.country_dimension())
 
 
-def q_net_new_history(spark, sf_dir):
+def q_net_new_history(w: Warehouse):
     """Every lead with the time of its earliest history row."""
-    w = _wh(spark, sf_dir)
     return camp.net_new_history(w.leads().select("id", "status", "company"), w.leads_history())
 
 
-def q_campaign_selector(spark, sf_dir):
+def q_campaign_selector(w: Warehouse):
     """Campaigns created since 2022 whose name occurs in the APAC funnel mart."""
-    w = _wh(spark, sf_dir)
     return camp.campaign_selector(w.campaigns(), _kpi_names(w))
 
 
-def q_threshold_after_agg(spark, sf_dir):
+def q_threshold_after_agg(w: Warehouse):
     """Shops whose 2022 on-platform channel GMV exceeds the threshold."""
-    w = _wh(spark, sf_dir)
     facts = w.channel_gmv_monthly().filter(F.col("is_platform_gmv") & rollup.year_in(F.col("month_begin_date"), [2022]))
     totals = rollup.shop_totals_since(facts, "shop_id", {"sum_gmv": "channel_gmv_usd"})
     return rollup.threshold_after_agg(totals, "sum_gmv", TEST_PARAMS["min_annual_gmv"])
 
 
-def q_calendar_age_filter(spark, sf_dir):
+def q_calendar_age_filter(w: Warehouse):
     """State transitions at least 180 days before the reporting date."""
-    w = _wh(spark, sf_dir)
     return w.state_facts().filter(days_between("transition_at", DEFAULT_AS_OF) >= 180)
 
 
-def q_age_in_months(spark, sf_dir):
+def q_age_in_months(w: Warehouse):
     """Every merchant's age in calendar months at the reporting date."""
-    m = _wh(spark, sf_dir).merchants()
+    m = w.merchants()
     return m.select("merchant_id", "first_contract_start_date",
                     month_boundaries_between("first_contract_start_date", DEFAULT_AS_OF).alias("age_in_months"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "regional_app_gmv_monthly": q_regional_app_gmv_monthly,
     "plan_vs_actual_monthly": q_plan_vs_actual_monthly,
     "merchant_tracker": q_merchant_tracker,
@@ -320,3 +287,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calendar_age_filter": q_calendar_age_filter,
     "age_in_months": q_age_in_months,
 }
+
+
+def _runner(build: Callable[[Warehouse], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(Warehouse(spark, sf_dir))
+    run.__name__ = build.__name__
+    run.__doc__ = build.__doc__
+    return run
+
+
+# The driver contract: (spark, sf_dir) -> DataFrame over the whole tables in sf_dir.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _runner(b) for n, b in BUILDERS.items()}
