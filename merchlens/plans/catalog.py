@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import days_between, lit_date, month_boundaries_between
+import datetime as dt
+
+from ..functions.dates import (complete_months, days_between, lit_date, month_boundaries_between,
+                               month_start, period_flags)
 from ..operators import campaign as camp
 from ..operators import cohort, enrich, funnel, rollup
 from ..sources.constants import DEFAULT_AS_OF
@@ -247,6 +250,33 @@ def q_age_in_months(w: Warehouse):
                     month_boundaries_between("first_contract_start_date", DEFAULT_AS_OF).alias("age_in_months"))
 
 
+def q_regrain(w: Warehouse):
+    """The labelled funnel and value rows summed to the 21 mart dimensions."""
+    a, b = _stacked(w)
+    labelled = enrich.label_unknown(rollup.union_measures(a, b, distinct=False), w.country_dimension())
+    dims = rollup.FUNNEL_DIMS[:6] + ["country"] + rollup.FUNNEL_DIMS[6:]
+    return rollup.regrain(labelled, dims, rollup.ALL_MEASURES)
+
+
+def q_non_conversion_columns(w: Warehouse):
+    """The funnel rollup with its ten stage-difference columns."""
+    return funnel.non_conversion_columns(
+        rollup.funnel_rollup(w.funnel_rollup_daily(), w.sources(), w.touchpoints(), w.marketing_channels()))
+
+
+def q_period_flags(w: Warehouse):
+    """month/quarter/year-to-date flags of every funnel event day."""
+    days = w.funnel_rollup_daily().select(F.col("date").cast("timestamp_ntz").alias("event_date")).distinct()
+    return days.withColumns(period_flags("event_date", dt.datetime.combine(DEFAULT_AS_OF, dt.time())))
+
+
+def q_complete_months(w: Warehouse):
+    """Channel GMV per month, complete months before the reporting month only."""
+    facts = w.channel_gmv_daily().filter(complete_months("month", DEFAULT_AS_OF))
+    return facts.groupBy(month_start("month").alias("reported_date")).agg(
+        F.sum("channel_gmv_usd").alias("channel_gmv_usd"))
+
+
 BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "regional_app_gmv_monthly": q_regional_app_gmv_monthly,
     "plan_vs_actual_monthly": q_plan_vs_actual_monthly,
@@ -286,6 +316,10 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "threshold_after_agg": q_threshold_after_agg,
     "calendar_age_filter": q_calendar_age_filter,
     "age_in_months": q_age_in_months,
+    "regrain": q_regrain,
+    "non_conversion_columns": q_non_conversion_columns,
+    "period_flags": q_period_flags,
+    "complete_months": q_complete_months,
 }
 
 

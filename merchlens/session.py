@@ -22,6 +22,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join partition even when that needs an extra shuffle:
+    # a key holding a large share of the rows must not end up in one task.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
