@@ -91,7 +91,7 @@ def country_of(nation_col: str, attr: str) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col(nation_col))
 
 
-def spread_narrow_scan(df: DataFrame, path: str, key: str, parallelism: int) -> DataFrame:
+def spread_narrow_scan(df: DataFrame, path: str, key: str) -> DataFrame:
     """Spread a fact scan over all cores when its files give fewer splits than cores.
 
     Parquet splits at row-group boundaries, so a table stored as one or a few
@@ -103,9 +103,13 @@ def spread_narrow_scan(df: DataFrame, path: str, key: str, parallelism: int) ->
     adds no shuffle. Column pruning and filters still reach the scan. The
     split count is looked up once per path and session.
     """
-    splits = _SCAN_SPLITS.get(path)
-    if splits is None:
-        splits = _SCAN_SPLITS[path] = df.rdd.getNumPartitions()
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        splits = _SCAN_SPLITS.get(path)
+        if splits is None:
+            splits = _SCAN_SPLITS[path] = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext (e.g. a Spark Connect session): leave the scan as is
+        return df
     if splits < parallelism:
         return df.repartition(parallelism, key)
     return df
@@ -134,7 +138,7 @@ class Warehouse:
         path = f"{self.sf_dir}/{name}.parquet"
         df = self.spark.read.schema(SCHEMAS[name]).parquet(path)
         if name in FACT_KEYS:
-            df = spread_narrow_scan(df, path, FACT_KEYS[name], self.spark.sparkContext.defaultParallelism)
+            df = spread_narrow_scan(df, path, FACT_KEYS[name])
         return df
 
     # ------------------------------------------------------------------ geography
