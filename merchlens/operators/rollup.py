@@ -69,7 +69,8 @@ def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, f
 
     The reference writes the gateway and shop lookups as left joins filtered
     in WHERE, i.e. inner joins; they are inner joins on key-only projections
-    here. The gateway list is a handful of fixed rows and is broadcast.
+    here. Join strategies are left to Spark's size check: the filtered gateway
+    list is a handful of rows and is broadcast on that evidence.
     """
     after = lit_ts(dt.datetime.combine(_date(since) + dt.timedelta(days=1), dt.time()))
     facts = gmv.filter(
@@ -80,7 +81,7 @@ def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, f
         & (F.col("reported_at") < lit_ts(dt.datetime.combine(_date(as_of).replace(day=1), dt.time()))))
     gw = gateways.filter(F.col("payment_gateway_name").isin(list(gateway_names))).select("_payment_gateway_key")
     shop_keys = shops.filter(F.col("shop_country_code").isin(list(country_codes))).select("_shop_key")
-    facts = (facts.join(F.broadcast(gw), "_payment_gateway_key")
+    facts = (facts.join(gw, "_payment_gateway_key")
              .join(shop_keys, "_shop_key")
              .join(fulfillments.select("order_id"), "order_id", "left_semi"))
     return (facts.groupBy(month_start("reported_at").alias("reported_date"))

@@ -583,8 +583,7 @@ class Warehouse:
         region = country_of("s_nationkey", "region")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
         one = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
-        # nation: one row per nation (25 in TPC-H, a few hundred at most), broadcast.
-        return (self.raw("lineitem").join(s, "l_suppkey").join(F.broadcast(n), "s_nationkey")
+        return (self.raw("lineitem").join(s, "l_suppkey").join(n, "s_nationkey")
                 .select(
                     shifted_date("l_shipdate").alias("date"),
                     F.col("n_regionkey").alias("_source_key"),
