@@ -237,3 +237,80 @@ def test_schema_types_are_stable(spark):
     assert types["reported_at"] == "date" and types["brokered_projection"] == "bigint"
     assert types["transaction_amount_usd"].startswith("decimal(")
     assert isinstance(df.schema["date_calculated"].dataType, T.DateType)
+
+
+def test_s4_counts_non_null_and_repeated_region_rows_multiply(spark):
+    merchants = spark.createDataFrame(
+        [(1, "IN", "India", "APAC", True, True, "1: <5K", dt.date(2024, 1, 31), None),
+         (2, "IN", "India", "APAC", True, True, "1: <5K", dt.date(2024, 1, 31), 3)],
+        "_merchant_key long, country_code string, country_name string, geographic_region_code string, "
+        "is_active boolean, is_included_in_historical_reporting boolean, latest_annualized_gmv_band string, "
+        "first_contract_start_date date, current_shop_count long")
+    region_map = spark.createDataFrame([("IN", "South Asia"), ("IN", "South Asia")],
+                                       "country_code string, commercial_subregion_code string")
+    daily = spark.createDataFrame([(1, dt.date(2025, 1, 1), Decimal("10.00"))],
+                                  "_merchant_key long, date date, gmv decimal(18,2)")
+    rows = {r["_merchant_key"]: r for r in reports.merchant_age_band_summary(
+        merchants, region_map, daily, as_of="2025-06-15").collect()}
+    assert rows[1]["merchant_count"] == 2 and rows[1]["shop_count"] == 0      # repeated map row, null count
+    assert rows[2]["merchant_count"] == 2 and rows[2]["shop_count"] == 2
+    assert rows[1]["platform_gmv"] == Decimal("20.00")                        # multiplied as written
+    assert rows[1]["age_in_months"] == 17
+
+
+def test_s10_duplicate_output_columns_emitted_once(spark):
+    from merchlens.plans.catalog import QUERIES
+    for name in ("vendor_line_items", "campaign_leads_extract"):
+        cols = QUERIES[name](spark, SF_SMALL).columns
+        assert len(cols) == len(set(cols)), name
+
+
+def test_s12_annualized_is_a_plain_sum(spark):
+    daily = spark.createDataFrame([(1, dt.date(2022, 3, 29), 5), (1, dt.date(2022, 3, 30), 7),
+                                   (1, dt.date(2023, 1, 1), 11)], "shop_id long, date date, n long")
+    out = rollup.shop_totals_since(daily, "shop_id", {"n_annualized": "n"},
+                                   F.col("date") > D.lit_date("2022-03-29")).collect()
+    assert out[0]["n_annualized"] == 18
+
+
+def test_s13_snapshot_window_has_no_lower_bound_on_future_rows(spark):
+    """Q10 counts snapshots dated after the reporting date (only an upper bound on age)."""
+    as_of = dt.date(2025, 6, 15)
+    facts = spark.createDataFrame([(1, 1, TS(2020, 1, 1), 1, 0)],
+                                  "_merchant_key long, _commercial_region_mapping_key long, "
+                                  "transition_at timestamp_ntz, activation_count int, plus_upgrade_count int")
+    merchants = spark.createDataFrame(
+        [(1, 100, "M", "Japan", 7, 10, "Development Shop Referral", "Standard", "Active")],
+        "_merchant_key long, merchant_id long, merchant_name string, merchant_country_name string, "
+        "currently_associated_platform_partner_id long, current_merchant_primary_shop_id long, "
+        "currently_associated_referral_type string, merchant_type string, current_merchant_active_status string")
+    region_map = spark.createDataFrame([(1, "APAC")], "_commercial_region_mapping_key long, commercial_region_code string")
+    partners = spark.createDataFrame([(7, "P", "Japan", "PM", "APAC", "JP")],
+                                     "platform_partner_id long, partner_name string, partner_country_name string, "
+                                     "current_partner_manager string, current_commercial_region_code string, "
+                                     "partner_country string")
+    shops = spark.createDataFrame([(10, True, "Is Using Platform Payments")],
+                                  "shop_id long, eligible_for_platform_payments boolean, using_platform_payments string")
+    snap = spark.createDataFrame(
+        [(10, TS(2024, 1, 1), Decimal("40000.00"), Decimal("1.00")),      # older than 365 days: out
+         (10, TS(2025, 1, 1), Decimal("30000.00"), Decimal("1.00")),      # inside the window
+         (10, TS(2027, 1, 1), Decimal("25000.50"), Decimal("1.00"))],     # future: counted (S13)
+        "shop_id long, datetime timestamp_ntz, daily_gmv_usd decimal(18,2), "
+        "daily_gross_platform_payments_revenue_amount_usd decimal(18,2)")
+    outbound = spark.createDataFrame([(100, 2)], "merchant_id long, collaborators long").select(
+        "merchant_id", "collaborators", *[F.lit(None).cast("string").alias(c) for c in (
+            "became_customer_at", "first_sale_at", "current_plan_name", "shop_internal_dashboard_url",
+            "shop_permanent_domain", "primary_industry", "apps_score", "top_apps_installed",
+            "last_30d_online_gmv", "last_90d_online_gmv", "last_180d_online_gmv")])
+    out = reports.partner_outbound_list(facts, merchants, region_map, partners, shops, snap, outbound,
+                                        as_of=as_of).collect()
+    assert len(out) == 1
+    assert out[0]["GMV_L12M"] == 55001          # 55,000.50 rounds half away from zero (S1)
+    assert out[0]["Payments_Revenue_L12M"] == 2
+
+
+def test_q01_both_fallback_branches_occur(spark):
+    from merchlens.plans.catalog import QUERIES
+    flags = {r[0] for r in QUERIES["regional_app_gmv_monthly"](spark, "/root/testdata/sf0.01")
+             .select("is_api_developed_by_a_shop").distinct().collect()}
+    assert flags == {True, False}
