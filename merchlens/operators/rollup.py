@@ -25,6 +25,26 @@ def _date(value: str | dt.date) -> dt.date:
     return dt.date.fromisoformat(value) if isinstance(value, str) else value
 
 
+def money_total(c: str) -> Column:
+    """Sum of a DECIMAL money column as DECIMAL(38, scale).
+
+    Spark widens a decimal sum by 10 digits; money totals are carried at the
+    full 38 digits (same scale) so that a sum over any number of rows fits
+    and the type does not depend on the input's precision.
+    """
+    return F.sum(c).cast("decimal(38,2)")
+
+
+def _sum_like(df: DataFrame, c: str | Column) -> Column:
+    """``sum`` that keeps integers integral and carries decimals at 38 digits."""
+    if isinstance(c, str):
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, T.DecimalType):
+            return F.sum(c).cast(T.DecimalType(38, dtype.scale))
+        return F.sum(c)
+    return F.sum(c)
+
+
 def year_in(c: Column, years: Sequence[int]) -> Column:
     """``EXTRACT(year FROM c) IN years`` plus an equivalent range on the raw column.
 
@@ -85,7 +105,7 @@ def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, f
              .join(shop_keys, "_shop_key")
              .join(fulfillments.select("order_id"), "order_id", "left_semi"))
     return (facts.groupBy(month_start("reported_at").alias("reported_date"))
-            .agg(F.sum("transaction_amount_usd").alias("transaction_amount_usd")))
+            .agg(money_total("transaction_amount_usd").alias("transaction_amount_usd")))
 
 
 def channel_gmv_monthly(channel_gmv: DataFrame, shops: DataFrame, *, country_code: str,
@@ -98,7 +118,7 @@ def channel_gmv_monthly(channel_gmv: DataFrame, shops: DataFrame, *, country_cod
         & complete_months("month", as_of))
     facts = cohort_semi_join(facts, shop_keys, "_shop_key")
     return (facts.groupBy(month_start("month").alias("reported_date"))
-            .agg(F.sum("channel_gmv_usd").alias("brokered_gmv")))
+            .agg(money_total("channel_gmv_usd").alias("brokered_gmv")))
 
 
 def app_gmv_monthly(app_gmv: DataFrame, shops: DataFrame, *, country_codes: Sequence[str],
@@ -108,7 +128,7 @@ def app_gmv_monthly(app_gmv: DataFrame, shops: DataFrame, *, country_codes: Sequ
     shop_keys = shops.filter(F.col("shop_country_code").isin(list(country_codes))).select("_shop_key")
     facts = app_gmv.filter((F.col("date") > lit_date(since)) & complete_months("date", as_of))
     facts = facts.join(shop_keys, "_shop_key")
-    return facts.groupBy(month_start("date").alias("reported_date")).agg(F.sum(measure).alias(measure))
+    return facts.groupBy(month_start("date").alias("reported_date")).agg(_sum_like(facts, measure).alias(measure))
 
 
 def shop_totals_since(daily: DataFrame, key: str, measures: Mapping[str, str | Column],
@@ -121,7 +141,7 @@ def shop_totals_since(daily: DataFrame, key: str, measures: Mapping[str, str | C
     facts = daily if date_condition is None else daily.filter(date_condition)
     if cohort is not None:
         facts = cohort_semi_join(facts, cohort, key)
-    aggs = [F.sum(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in measures.items()]
+    aggs = [_sum_like(facts, c).alias(name) for name, c in measures.items()]
     return facts.groupBy(key).agg(*aggs)
 
 
@@ -130,7 +150,7 @@ def trailing_year_totals(daily: DataFrame, key: str, measure: str, *, as_of: str
     """Per-key sum over ``date > as_of - 1 year`` (Feb 29 clamps to Feb 28)."""
     start = F.add_months(lit_date(as_of), -12)
     return (daily.filter(F.col(date_col) > start)
-            .groupBy(key).agg(F.sum(measure).alias(out)))
+            .groupBy(key).agg(_sum_like(daily, measure).alias(out)))
 
 
 def threshold_after_agg(df: DataFrame, measure: str | Column, minimum, strict: bool = True) -> DataFrame:
@@ -145,7 +165,7 @@ def order_rollup(gmv_facts: DataFrame, *, after_year: int) -> DataFrame:
     return (gmv_facts.filter(F.col("reported_at") >= lit_ts(dt.datetime(after_year + 1, 1, 1)))
             .groupBy("order_id")
             .agg(F.min("_payment_gateway_key").alias("payment_gateway_key"),
-                 F.sum("gmv_adjustment_usd").alias("order_gmv")))
+                 _sum_like(gmv_facts, "gmv_adjustment_usd").alias("order_gmv")))
 
 
 # --------------------------------------------------------------------------- funnel

@@ -274,7 +274,7 @@ def q_complete_months(w: Warehouse):
     """Channel GMV per month, complete months before the reporting month only."""
     facts = w.channel_gmv_daily().filter(complete_months("month", DEFAULT_AS_OF))
     return facts.groupBy(month_start("month").alias("reported_date")).agg(
-        F.sum("channel_gmv_usd").alias("channel_gmv_usd"))
+        rollup.money_total("channel_gmv_usd").alias("channel_gmv_usd"))
 
 
 BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
