@@ -20,7 +20,6 @@ from ..functions.dates import (lit_date, lit_ts, month_boundaries_between, month
 from ..operators.campaign import campaign_members_mql, campaign_selector, stage_pivot
 from ..operators.cohort import activity_semi_join, app_install_shops, cohort_semi_join
 from ..operators.enrich import display_projection, party_fallback, star_enrich
-from ..operators.funnel import kpi_campaign_names
 from ..operators.rollup import (app_gmv_monthly, channel_gmv_monthly, gateway_gmv_monthly,
                                 month_spine, order_rollup, plan_table, shop_totals_since,
                                 threshold_after_agg, trailing_year_totals, year_in)
