@@ -113,10 +113,13 @@ def plan_vs_actual_monthly(spark: SparkSession, dates: DataFrame, fulfillments:
                               gateway_names=gateway_names, since=since, as_of=as_of, cap=cap)
     brokered = channel_gmv_monthly(channel_gmv, shops, country_code=country, years=fact_years, as_of=as_of)
     hijacked = app_gmv_monthly(daily_gmv, shops, country_codes=[country], since=since, as_of=as_of)
-    actuals = (cod.join(brokered, "reported_date", "left")
-               .join(hijacked, "reported_date", "left"))
-    months = spine.join(actuals, spine["date_calculated"] == actuals["reported_date"], "left")
-    return plan.join(months, plan["reported_at"] == months["reported_date"], "left")
+    # Every frame below holds at most one row per calendar month of a bounded
+    # period (the plan years, or since..as_of), so broadcasting them is safe
+    # whatever the size of the facts they were aggregated from.
+    actuals = (cod.join(F.broadcast(brokered), "reported_date", "left")
+               .join(F.broadcast(hijacked), "reported_date", "left"))
+    months = spine.join(F.broadcast(actuals), spine["date_calculated"] == actuals["reported_date"], "left")
+    return plan.join(F.broadcast(months), plan["reported_at"] == months["reported_date"], "left")
 
 
 # ----------------------------------------------------------------------------- Q03
