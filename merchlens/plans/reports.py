@@ -55,22 +55,27 @@ def regional_app_gmv_monthly(daily_gmv: DataFrame, shops: DataFrame, merchants:
     """Q01: GMV per app x shop x month for shops of ``countries``, with merchant,
     app and partner attributes and the partner-or-developer-shop fallback.
 
-    Plan: filter the daily facts (date and shop cohort) and aggregate them to
-    (shop, app, month) *before* the dimension joins, so the joins see one row
-    per group instead of one per day; then enrich and sum to the 24 report
-    columns (a cheap final aggregation that keeps the result exact even if
-    two keys share all attributes).
+    Plan: filter the daily facts by date and aggregate them to (shop, app,
+    month) *before* any join, so the joins see one row per group instead of
+    one per day; an inner join to the cohort's shop attributes applies the
+    country filter (the reference's left join filtered in WHERE); then enrich
+    and sum to the 24 report columns (a cheap final aggregation that keeps the
+    result exact even if two keys share all attributes).
     """
     shop_cols = ["current_funnel_state", "current_merchant_active_status", "current_merchant_deal_type",
                  "current_mrr_band_ranked_range", "shop_id", "shop_name", "shop_permanent_domain",
                  "shop_storefront_url", "shop_country_code", "current_merchant_id"]
     cohort = shops.filter(F.col("shop_country_code").isin(list(countries)))
-    facts = daily_gmv.filter(F.col("date") > lit_date(since)).drop("shop_id")
-    facts = cohort_semi_join(facts, cohort.select("_shop_key"), "_shop_key")
+    facts = daily_gmv.filter(F.col("date") > lit_date(since))
+    # Aggregate first: partial aggregation compresses the daily rows before the
+    # only shuffle of the facts. The inner join to the cohort's attributes then
+    # both filters to the cohort and enriches; a semi join ahead of the
+    # aggregation would shuffle every raw fact row whenever the cohort is too
+    # large to broadcast.
     pre = (facts.groupBy("_shop_key", "_api_client_key", "api_client_id", month_start("date").alias("month"))
            .agg(*[F.sum(m).alias(m) for m in Q01_MEASURES]))
-    enriched = star_enrich(pre, [
-        (cohort, "_shop_key", shop_cols),
+    enriched = pre.join(cohort.select("_shop_key", *shop_cols), "_shop_key")
+    enriched = star_enrich(enriched, [
         (api_clients, "_api_client_key", ["app_name", "app_type", "name", "channel_provider_name",
                                           "handle", "app_handle", "partner_id",
                                           "application_developer_shop_id"]),
