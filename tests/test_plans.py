@@ -37,8 +37,8 @@ def test_filters_and_pruning_reach_the_scan(spark):
 def test_outbound_list_never_pairs_facts_with_snapshots(spark):
     """Q10 joins one pre-aggregated snapshot row per shop, never fact x snapshot pairs."""
     text = plan_text(QUERIES["partner_outbound_list"](spark, SF_SMALL))
-    assert "HashAggregate" in text
-    assert text.count("o_orderdate") >= 1
+    # the snapshot is aggregated per shop (the join key) before it is joined
+    assert "HashAggregate(keys=[current_merchant_primary_shop_id" in text
 
 
 def test_mart_regrain_is_not_partitioned_by_country(spark):
