@@ -135,33 +135,39 @@ def kpi_campaign_names(*, opps: DataFrame, attribution: DataFrame, touchpoints:
     Same set as ``kpi_mart(...).filter(sales_region).select(ad_campaign_name).distinct()``:
     stacking, labelling (a left join), re-graining and adding columns neither
     add nor remove names, so the set is the union of the names that reach each
-    stacked input. Computing it from the joined inputs skips the two wide
-    aggregations that only the measures need (S8).
+    stacked input. Computing it from the inputs' distinct touchpoint keys
+    skips the wide joins and aggregations that only the measures need (S8).
     """
     if isinstance(since, str):
         since = dt.datetime.fromisoformat(since)
     if isinstance(value_since, str):
         value_since = dt.datetime.fromisoformat(value_since)
-    tp = touchpoints.select("_revenue_touchpoint_attribution_key", "ad_campaign_name")
-    ch = channels.select("_plus_marketing_channel_key")
-    funnel = (rollup.filter((F.col("sales_region") == sales_region)
-                            & (F.col("date").cast("timestamp_ntz") >= lit_ts(since)))
-              .select("_source_key", "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key")
-              .join(sources.select("_source_key"), "_source_key")
-              .join(tp, "_revenue_touchpoint_attribution_key")
-              .join(ch, "_plus_marketing_channel_key")
-              .select("ad_campaign_name"))
+    tp_key, ch_key = "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key"
+    tp = touchpoints.select(tp_key, "ad_campaign_name")
+    ch = channels.select(ch_key)
+    # The source and channel joins only test that a row's keys exist; the
+    # name depends on the touchpoint key alone. So each input is reduced to its
+    # distinct touchpoint keys (narrow integer keys, combined map-side) before
+    # the names are looked up.
+    # a DATE is at or after the timestamp ``since`` from the first whole day on
+    first_day = since.date() if since.time() == dt.time() else since.date() + dt.timedelta(days=1)
+    funnel_keys = (rollup.filter((F.col("sales_region") == sales_region)
+                                 & (F.col("date") >= F.lit(first_day)))
+                   .select("_source_key", tp_key, ch_key)
+                   .join(sources.select("_source_key"), "_source_key", "left_semi")
+                   .join(ch, ch_key, "left_semi")
+                   .select(tp_key))
     start = max(since, value_since)
     pod = (opps.filter(F.col("is_closed") & (F.col("sales_region") == sales_region)
                        & (F.col("opportunity_closed_date") >= lit_ts(value_since))
                        & (F.date_trunc("day", "opportunity_closed_date") >= lit_ts(start)))
            .select("_plus_opportunity_key"))
-    value = (pod.join(attribution.select("_plus_opportunity_key", "_revenue_touchpoint_attribution_key",
-                                         "_plus_marketing_channel_key"), "_plus_opportunity_key")
-             .join(tp, "_revenue_touchpoint_attribution_key")
-             .join(ch, "_plus_marketing_channel_key")
-             .select("ad_campaign_name"))
-    return funnel.unionByName(value).distinct()
+    value_keys = (attribution.select("_plus_opportunity_key", tp_key, ch_key)
+                  .join(pod, "_plus_opportunity_key", "left_semi")
+                  .join(ch, ch_key, "left_semi")
+                  .select(tp_key))
+    keys = funnel_keys.unionByName(value_keys).distinct()
+    return keys.join(tp, tp_key).select("ad_campaign_name").distinct()
 
 
 __all__ = ["attributed_value_split", "non_conversion_columns", "kpi_mart", "kpi_campaign_names",
