@@ -75,3 +75,24 @@ def refresh_reports(spark: SparkSession, sf_dir: str, out_dir: str | None = None
         catalog.BUILDERS[name](wh).write.mode("overwrite").parquet(path)
         written[name] = path
     return written
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m merchlens.plans.refresh SF_DIR [--out DIR] [NAME ...]``"""
+    import argparse
+    import json
+
+    from ..session import get_session
+
+    parser = argparse.ArgumentParser(description="Write registered reports as parquet, sharing adapter tables.")
+    parser.add_argument("sf_dir", help="folder holding the source parquet tables")
+    parser.add_argument("names", nargs="*", help="registered query names (default: all)")
+    parser.add_argument("--out", help="output folder (default: under spark.checkpoint.dir)")
+    parser.add_argument("--master", help="Spark master, e.g. local[8] (default: from the environment)")
+    args = parser.parse_args(argv)
+    spark = get_session(args.master)
+    print(json.dumps(refresh_reports(spark, args.sf_dir, args.out, args.names or None), indent=1))
+
+
+if __name__ == "__main__":
+    main()
