@@ -4,9 +4,9 @@ Campaign members are the large side here. The plan: select campaigns first
 (date filter + semi join on the mart's campaign names), join their members,
 attach each member's lead and a per-lead "first history" timestamp (one row
 per lead, so no member x history pairs are ever formed), then count distinct
-values per campaign. Spark plans the three distinct counts as one Expand plus
-two aggregations keyed by (campaign, value), which spreads a hot campaign's
-values over many tasks.
+values per campaign: members and qualified companies are each de-duplicated
+per (campaign, value) first, which spreads a hot campaign's values over many
+tasks and shuffles each member row once instead of three times.
 """
 
 from __future__ import annotations
@@ -70,11 +70,25 @@ def campaign_members_mql(campaigns: DataFrame, members: DataFrame, leads: DataFr
     has_earlier = F.col("first_history_at") < F.col("created_date")
     is_qualified = F.col("status") == qualified
     net_new = is_qualified & ~F.coalesce(has_earlier, F.lit(False))
-    return (joined.filter(keep)
-            .groupBy(F.to_date("created_date").alias("created_date"), "campaign_id", "name")
-            .agg(F.count_distinct("lead_or_contact_id").alias("members"),
-                 F.count_distinct(F.when(is_qualified, F.col("company"))).alias("MQL"),
-                 F.count_distinct(F.when(net_new, F.col("company"))).alias("net_new_mql")))
+    group = [F.to_date("created_date").alias("created_date"), F.col("campaign_id"), F.col("name")]
+    keys = ["created_date", "campaign_id", "name"]
+    rows = joined.filter(keep).select(*group, "lead_or_contact_id", "company",
+                                      is_qualified.alias("q"), net_new.alias("nn"))
+    # Three COUNT(DISTINCT ...) would be planned as an Expand that triples every
+    # member row before the shuffle. Instead: de-duplicate (group, member) once
+    # (null ids kept as a key, so every group survives and count() skips them),
+    # and (group, company) over the qualified rows only, with a net-new flag
+    # per company; then join the two per-group counts.
+    members = (rows.select(*keys, "lead_or_contact_id").distinct()
+               .groupBy(*keys).agg(F.count("lead_or_contact_id").alias("members")))
+    companies = (rows.filter(F.col("q") & F.col("company").isNotNull())
+                 .groupBy(*keys, "company").agg(F.max("nn").alias("nn"))
+                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("MQL"),
+                                     F.count(F.when(F.col("nn"), 1)).alias("net_new_mql")))
+    return (members.join(companies, keys, "left")
+            .select(*keys, "members",
+                    F.coalesce("MQL", F.lit(0)).alias("MQL"),
+                    F.coalesce("net_new_mql", F.lit(0)).alias("net_new_mql")))
 
 
 def stage_pivot(opportunities: DataFrame, *, campaign_ids: DataFrame | None = None,
