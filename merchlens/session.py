@@ -54,6 +54,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def require_settings(spark: SparkSession) -> None:
+    """Apply the settings results depend on to the caller's session; a setting that can't be applied is an error."""
+    for key, value in REQUIRED_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 

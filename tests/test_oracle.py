@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare
 from conftest import SF_ORACLE
+from merchlens.plans import catalog, oracle
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in catalog.QUERIES}
+ORACLE = oracle.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
