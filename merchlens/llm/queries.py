@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from merchlens.llm import chat_format as chat
 from merchlens.llm import quality_rules as quality
+from merchlens.llm import sharding
 from merchlens.llm.shared import documents
 
 
@@ -42,10 +45,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes; equal texts are neighbours in the key order."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf_dir).select(
+        F.xxhash64("text").alias("text_hash"), "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.shard_rows(rows, ["text_hash", "doc_id"], "size")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and number -7, formatted and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    made = chat.format_chats(rows.unionByName(probe))
+    read = made.select("conv_id", "formatted", "valid", chat.read_turns(F.col("formatted")).alias("turns"),
+                       F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "").alias("loss_text"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def _op6_sql() -> str:
+    marks = " ".join(f"WHEN '{r}' THEN {len(t.opening) + len(t.closing)}" for r, t in chat.TEMPLATE.items())
+    other = len(chat.OTHER.opening) + len(chat.OTHER.closing) + len(chat.NAME_END)
+    known = ", ".join(f"'{r}'" for r in chat.TEMPLATE)
+    loss = ", ".join(f"'{r}'" for r, t in chat.TEMPLATE.items() if t.loss)
+
+    def escaped(x: str) -> str:
+        return f"regexp_replace({x}, '{chat._ESCAPE}', '\\1\\\\\\2\\3', 'g')"
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role IN ({loss})), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ({loss})), '')) AS loss_sha256,
+       (sum(length({escaped('text')}) + CASE role {marks} ELSE {other} END
+            + CASE WHEN role IN ({known}) THEN 0 ELSE length({escaped('role')}) END) + {len(chat.BEGIN)})::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_sharding": op5_sharding,
+    "op6_chat_format": op6_chat_format,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _op4_sql()}
+    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _op6_sql()}
