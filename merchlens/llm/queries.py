@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlens.llm import chat_format as chat
 from merchlens.llm import quality_rules as quality
-from merchlens.llm import sharding
+from merchlens.llm import sharding, winnowing
 from merchlens.llm.shared import documents
 
 
@@ -68,6 +68,29 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in every document."""
+    out = winnowing.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+h AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+it AS (SELECT r, string_agg(s, ',' ORDER BY s) AS ids, count(*) AS n_items FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
+
+
 def _op6_sql() -> str:
     marks = " ".join(f"WHEN '{r}' THEN {len(t.opening) + len(t.closing)}" for r, t in chat.TEMPLATE.items())
     other = len(chat.OTHER.opening) + len(chat.OTHER.closing) + len(chat.NAME_END)
@@ -93,8 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
+    "op9_winnowing": op9_winnowing,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _op6_sql()}
+    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _op6_sql(), "op9_winnowing": _OP9_SQL}
