@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlens.llm import chat_format as chat
+from merchlens.llm import jaccard_join as jaccard
 from merchlens.llm import quality_rules as quality
 from merchlens.llm import sharding, winnowing
 from merchlens.llm.shared import documents
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return jaccard.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.quality_rules(documents(spark, sf_dir)).select(
@@ -113,6 +119,7 @@ FROM r GROUP BY conv_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
