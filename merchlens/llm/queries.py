@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlens.llm import chat_format as chat
 from merchlens.llm import jaccard_join as jaccard
 from merchlens.llm import quality_rules as quality
-from merchlens.llm import sharding, winnowing
+from merchlens.llm import sharding, toxicity, winnowing
 from merchlens.llm.shared import documents
 
 
@@ -74,6 +74,19 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def remainder(id: str, of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % of
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out quarter."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=remainder("id", 4) != 2)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of benchmark windows in every document."""
     out = winnowing.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -123,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
+    "op7_toxicity": op7_toxicity,
     "op9_winnowing": op9_winnowing,
 }
 
