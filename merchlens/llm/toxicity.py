@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from merchlens.llm.words import ALNUM, hash_words, mix, powers, text_bytes, text_chunks, word_counts
 
@@ -230,4 +231,4 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
             found = [shared.value.scores(data, bounds) for _, _, data, bounds in text_chunks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*batch.schema.names, column])
 
-    return kept.mapInArrow(run, kept.schema.add(column, "double"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(column, DoubleType())]))
