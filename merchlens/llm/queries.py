@@ -9,16 +9,30 @@ from pyspark.sql import functions as F
 
 from merchlens.llm import chat_format as chat
 from merchlens.llm import jaccard_join as jaccard
+from merchlens.llm import language_crf as language
 from merchlens.llm import quality_rules as quality
 from merchlens.llm import sharding, toxicity, winnowing
 from merchlens.llm.shared import documents
 
 
+def remainder(id: str, of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % of
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return jaccard.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out third."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, usable=remainder("doc_id", 3) != 1)
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.quality_rules(documents(spark, sf_dir)).select(
@@ -74,11 +88,6 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-def remainder(id: str, of: int) -> Column:
-    """crc32 of the id as text, modulo ``of``."""
-    return F.crc32(F.col(id).cast("string").cast("binary")) % of
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels outside the held-out quarter."""
     docs = documents(spark, sf_dir)
@@ -133,6 +142,7 @@ FROM r GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_crf": op2_language_crf,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
