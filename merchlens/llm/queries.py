@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from merchlens.llm import chat_format as chat
 from merchlens.llm import jaccard_join as jaccard
+from merchlens.llm import kneser_ney
 from merchlens.llm import language_crf as language
 from merchlens.llm import quality_rules as quality
+from merchlens.llm import sentencepiece_bpe as pieces
 from merchlens.llm import sharding, toxicity, winnowing
 from merchlens.llm.shared import documents
 
@@ -96,6 +98,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of the training four fifths, and the unigram base."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)))
+    out = kneser_ney.score(docs, kneser_ney.fit(docs.where(~F.col("held_out"))))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of benchmark windows in every document."""
     out = winnowing.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -103,6 +112,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again: token count, hash of the ids, digest of the decoded text."""
+    made = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    return made.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_tokens"), F.xxhash64("piece_ids").alias("ids_hash"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 _OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -147,7 +163,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
     "op7_toxicity": op7_toxicity,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_winnowing": op9_winnowing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 
