@@ -13,7 +13,7 @@ from merchlens.llm import kneser_ney
 from merchlens.llm import language_crf as language
 from merchlens.llm import quality_rules as quality
 from merchlens.llm import sentencepiece_bpe as pieces
-from merchlens.llm import sharding, toxicity, winnowing
+from merchlens.llm import sharding, toxicity, warc_bundles, winnowing
 from merchlens.llm.shared import documents
 
 
@@ -35,6 +35,24 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived and read back."""
+    index = warc_bundles.write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    read = warc_bundles.read_bundles(index, with_payload=False)
+    return read.select(F.when(F.col("record") != "null", F.col("record")).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+_OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first, count(*) AS copies FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN copies > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN copies > 1 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.quality_rules(documents(spark, sf_dir)).select(
@@ -159,6 +177,7 @@ FROM r GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_crf": op2_language_crf,
+    "op3_warc_bundles": op3_warc_bundles,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
@@ -170,4 +189,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _op6_sql(), "op9_winnowing": _OP9_SQL}
+    return {"op3_warc_bundles": _OP3_SQL, "op4_quality_rules": _op4_sql(), "op6_chat_format": _op6_sql(), "op9_winnowing": _OP9_SQL}
