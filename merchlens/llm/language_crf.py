@@ -261,12 +261,12 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     return train([r[1] for r in got], [r[0] for r in got])
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` (the mean probability of that language) and ``lang_shares`` (of all languages)."""
-    kept = df.drop("lang_pred", "score", "lang_shares")
+def identify(df: DataFrame, model: Model | None, text: str = "text", columns: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")) -> DataFrame:
+    """``df`` with ``lang_pred``, ``score`` (the mean probability of that language) and ``lang_shares`` (of all languages), or as ``columns`` names them."""
+    kept = df.drop(*columns)
     kind = MapType(StringType(), DoubleType())
     if model is None:
-        return kept.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "lang_shares": F.lit(None).cast(kind)})
+        return kept.withColumns(dict(zip(columns, (F.lit(UND), F.lit(0.0), F.lit(None).cast(kind)), strict=True)))
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = kept.columns.index(text)
 
@@ -279,6 +279,6 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
             score = np.minimum(shares.max(1), 1)
             pred = np.where(score > 0, np.array(names, object)[best], UND)
             maps = pa.MapArray.from_arrays(pa.array(np.arange(len(shares) + 1) * S, pa.int32()), pa.array(names * len(shares), pa.string()), pa.array(shares.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), maps], names=[*batch.schema.names, "lang_pred", "score", "lang_shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), maps], names=[*batch.schema.names, *columns])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_shares", kind)]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *(StructField(n, k) for n, k in zip(columns, (StringType(), DoubleType(), kind), strict=True))]))
