@@ -13,10 +13,12 @@ passage that many texts share makes no tile, because other elements fall
 into the same parts.
 
 Links. Every set is compared with the first and the last set of its tiles;
-components are formed; only tiles that still hold several components go on,
-a block of leading sets against the others, until none is left. So a group of
-copies costs rows in proportion to its size, and all pairs of a tile that
-could join two components are compared. A comparison bounds the overlap from
+components are formed; in tiles that still hold several components a few
+leading sets are compared with all others, as long as that finds many links.
+So a group of copies costs rows in proportion to its size. What is left of
+tiles with several components is compared whole, in pairs of blocks of bounded
+size, where only pairs of different components that the bitmaps can't rule out
+become rows. So all pairs of a tile that could join two components are compared. A comparison bounds the overlap from
 above by bit counts of two bitmaps (each bit that only one set has stands for
 an element that only it has) and intersects the arrays of the pairs left.
 
@@ -46,7 +48,9 @@ from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, w
 
 BITS = 2048  # of a set's bitmap
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
-LEADERS = 8  # sets of a tile compared with its others at once; doubles each round
+LEADERS = 8  # sets of a tile that one round compares with all its others
+FEW = 16  # rounds end when they find fewer links than one in so many rows
+BLOCK = 1024  # sets of a tile that are compared with each other in one group
 
 
 class Bands:
@@ -224,6 +228,61 @@ def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     return exact.where(F.lit(b) * F.col("common") >= F.lit(a) * (F.col("na") + F.col("nb") - F.col("common")))
 
 
+def _near_pairs(a: int, b: int):
+    """Pairs of different components in each block pair of a tile that the bitmaps can't rule out."""
+    def pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray, block: np.ndarray):
+        one = block == block.min()
+        two = ~one if not one.all() else one
+        left, right = np.flatnonzero(one), np.flatnonzero(two)
+        for i in left.tolist():
+            others = right[(roots[right] != roots[i]) & ((right > i) | (block[right] != block[i]))]
+            only = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1)
+            other = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1)
+            near = others[(a + b) * np.minimum(only, other).astype(np.int64) >= a * (n[i] + n[others])]
+            yield np.maximum(ids[i], ids[near]), np.minimum(ids[i], ids[near])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(table: pa.Table):
+            tile, i, j, block, ids, roots, n = (table.column(c).to_numpy() for c in range(7))
+            bits = table.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+            for x, y in zip(edges, edges[1:], strict=False):
+                if i[x] == j[x] or (block[x:y] != block[x]).any():
+                    yield from pairs(ids[x:y], roots[x:y], n[x:y], bits[x:y], block[x:y])
+
+        def out(found) -> Iterator[pa.RecordBatch]:
+            found = [f for f in found if len(f[0])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            last = [table.column(c)[-1].as_py() for c in range(3)]
+            same = np.logical_and.reduce([table.column(c).to_numpy() == last[c] for c in range(3)])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
+            held = table.slice(cut)
+            if cut:
+                yield from out(of(table.slice(0, cut)))
+        if held is not None and held.num_rows:
+            yield from out(of(held))
+
+    return run
+
+
+def _rest_pairs(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """Pairs (a, b) to compare among all rows of ``left(tile, set_id, root, place, held)``: tiles as pairs of blocks of bounded size."""
+    block = F.floor((F.col("place") - 1) / BLOCK).cast("int")
+    blocks = F.floor((F.col("held") - 1) / BLOCK).cast("int")
+    # A set meets the blocks of its tile; a tile of one block is one group.
+    dealt = left.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), blocks)))
+    keyed = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    rows = keyed.join(sets.select("set_id", "n", "bits"), "set_id").select("tile", "i", "j", "block", "set_id", "root", "n", "bits")
+    grouped = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    return grouped.mapInArrow(_near_pairs(a, b), "a bigint, b bigint").distinct()
+
+
 def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
     """Per row: id, ``text_key`` (hash of the text), ``n_shingles``, ``component_id`` (least id of the texts reachable by links)."""
     a, b = threshold
@@ -244,23 +303,29 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     first = leaders.select(F.col("set_id").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y").select(*ordered).distinct()
     links = written(_linked(first, sets, a, b), "jaccard-links")
     roots = components(links)
-    tested, left, block = written(first, "jaccard-tested"), members.select("tile", "set_id"), LEADERS
+    left = members.select("tile", "set_id")
     while True:
         # Tiles that still hold several components, without the sets that were compared with all the others.
         named = left.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("tile", "set_id", F.coalesce("root", "set_id").alias("root"))
-        several = named.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tile")
+        several = named.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held")).where("r0 <> r1").select("tile", "held")
         place = F.row_number().over(Window.partitionBy("tile").orderBy("set_id"))
-        left = written(named.join(several, "tile", "left_semi").withColumn("place", place), "jaccard-left")
-        if left.isEmpty():
-            break
-        lead = left.where(F.col("place") <= block).select("tile", F.col("set_id").alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
+        left = written(named.join(several, "tile").withColumn("place", place), "jaccard-left")
+        rows = left.count()
+        lead = left.where(F.col("place") <= LEADERS).select("tile", F.col("set_id").alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
         pairs = left.join(lead, "tile").where("place > place_y and root <> root_y").select(F.col("set_id").alias("x"), "y").select(*ordered).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         fresh = written(_linked(pairs, sets, a, b), "jaccard-links")
-        tested, left, block = tested.unionByName(pairs), left.where(F.col("place") > block).select("tile", "set_id"), block * 2
-        if not fresh.isEmpty():
+        found_now = fresh.count() if rows else 0
+        if found_now:
             links = links.unionByName(fresh)
             roots = components(links)
+        if found_now <= rows // FEW:
+            break
+        left = left.where(F.col("place") > LEADERS).select("tile", "set_id")
+    if rows:
+        named = left.where(F.col("place") > LEADERS).drop("root").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+        rest = written(_linked(_rest_pairs(named.withColumn("root", F.coalesce("root", "set_id")), sets, a, b), sets, a, b), "jaccard-links")
+        if not rest.isEmpty():
+            roots = components(links.unionByName(rest))
 
     classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
