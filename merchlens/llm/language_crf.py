@@ -70,7 +70,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _per_word(weights: np.ndarray, bucket: np.ndarray, of: np.ndarray, words: int) -> np.ndarray:
-    return np.stack([np.bincount(of, weights[bucket, y], minlength=words) for y in range(weights.shape[1])], 1)
+    return np.stack([np.bincount(of, weights[bucket, y], minlength=words) for y in range(weights.shape[1])], 1).astype(float)
 
 
 def _scan(M: np.ndarray, place: np.ndarray, backward: bool) -> np.ndarray:
