@@ -13,29 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlens.llm import jaccard_join, language_crf, sentencepiece_bpe, toxicity, winnowing
-from merchlens.llm.shared import documents, written
+from merchlens.llm.shared import documents, unused, written
 
 LANGUAGE_SCORE = 0.5  # a text whose best language has less is rejected, as one without a letter is
 TOXIC_SCORE = 0.5
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text hash) isn't in ``gone(doc_id, text_key)``; only ``gone`` decides how it is joined."""
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")
+def _rows(docs: DataFrame, of: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text hash) is in ``of(doc_id, text_key)`` ("left_semi") or isn't ("left_anti")."""
+    return docs.alias("d").join(of.select("doc_id", "text_key").distinct().alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))
+                                & (F.xxhash64("d.text") == F.col("o.text_key")), how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a recognisable language."""
-    made = ("_lang_pred", "_lang_score", "_lang_shares")
+    made = tuple(unused(docs, c) for c in ("_lang_pred", "_lang_score", "_lang_shares"))
     marked = language_crf.identify(docs, language_crf.fit(docs), columns=made)
-    return marked.where((F.col("_lang_pred") != language_crf.UND) & (F.col("_lang_score") >= LANGUAGE_SCORE)).drop(*made)
+    return marked.where((F.col(made[0]) != language_crf.UND) & (F.col(made[1]) >= LANGUAGE_SCORE)).drop(*made)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop toxic texts."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, column="_toxicity").where(F.col("_toxicity") < TOXIC_SCORE).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return toxicity.score(docs, model, column=name).where(F.col(name) < TOXIC_SCORE).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,26 +45,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = classes.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
     # A component's id is null only if all its ids are: then its least text hash stays.
     stays = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("s"))
-    kept = rows.join(stays.select(F.col("s.doc_id").alias("i"), F.col("s.text_key").alias("k")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
-    gone = rows.join(kept.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_anti")
+    named = stays.select("s.doc_id", "s.text_key").alias("s")
+    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_key") == F.col("s.text_key"))
+    gone = rows.alias("r").join(named, same, "left_anti")
+    again = rows.alias("r").join(named, same, "left_semi").where("n > 1")
     # A row that stays but is repeated is taken out whole and put back once.
-    again = kept.where("n > 1").select("doc_id", "text_key")
-    single = _without(docs, gone.select("doc_id", "text_key").union(again))
-    pick = again.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"))
-    repeated = docs.join(pick, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_k")), "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    single = _rows(docs, gone.select("doc_id", "text_key").union(again.select("doc_id", "text_key")), "left_anti")
+    return single.unionByName(_rows(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents contaminated by benchmark items."""
     found = winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id", "text_key"))
+    return _rows(docs, found.where("contaminated"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` with the text's ids, their number, and whether they decode to the text."""
-    made = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, column="piece_ids"), column="_decoded")
-    return made.withColumns({"n_tokens": F.size("piece_ids").cast("bigint"), "lossless": F.col("_decoded").eqNullSafe(F.col("text"))}).drop("_decoded")
+    name = unused(docs, "_decoded")
+    made = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, column="piece_ids"), column=name)
+    return made.withColumns({"n_tokens": F.size("piece_ids").cast("bigint"), "lossless": F.col(name).eqNullSafe(F.col("text"))}).drop(name)
 
 
 STAGES = [

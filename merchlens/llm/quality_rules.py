@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchlens.llm.shared import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
@@ -98,8 +100,9 @@ def compile_rules(counts: Column, rules=RULES) -> dict[str, Column]:
 
 def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Add the counts, ``base_failed``, the names of the rules that fail (``failed_rules``) and ``kept``."""
-    counted = df.withColumn("_q", _counts(F.coalesce(F.col(text), F.lit(""))))
-    q = F.col("_q")
+    name = unused(df, "_q")
+    counted = df.withColumn(name, _counts(F.coalesce(F.col(text), F.lit(""))))
+    q = F.col(name)
     verdicts = compile_rules(q, rules)
     base_failed = (q["n_words"] < 50) | (F.lit(100) * q["n_repeat_words"] > F.lit(50) * q["n_words"])
     failed = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in verdicts.items()]), lambda x: x.isNotNull())
@@ -107,4 +110,4 @@ def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     for ok in verdicts.values():
         kept = kept & ok
     out = {n: q[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")}
-    return counted.withColumns({**out, "base_failed": base_failed, "failed_rules": failed, "kept": kept}).drop("_q")
+    return counted.withColumns({**out, "base_failed": base_failed, "failed_rules": failed, "kept": kept}).drop(name)

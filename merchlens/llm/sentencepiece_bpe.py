@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from merchlens.llm.shared import unused
 from merchlens.llm.words import mix, powers, text_chunks
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -284,7 +285,7 @@ def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str
     """``df`` with the ids of each whole text in ``column`` (array of int)."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     kept = df.drop(column)
-    keyed = kept.withColumn("_key", F.xxhash64(key))
+    keyed = kept.withColumn(unused(kept, "_key"), F.xxhash64(key))
     at = kept.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
