@@ -2,11 +2,10 @@
 
 Campaign members are the large side here. The plan: select campaigns first
 (date filter + semi join on the mart's campaign names), join their members,
-attach each member's lead and a per-lead "first history" timestamp (one row
-per lead, so no member x history pairs are ever formed), then count distinct
-values per campaign: members and qualified companies are each de-duplicated
-per (campaign, value) first, which spreads a hot campaign's values over many
-tasks and shuffles each member row once instead of three times.
+attach each member's lead and, for qualified leads only, the time of their
+first history row (one row per lead, so no member x history pairs are ever
+formed), then reduce once to distinct (campaign, kind, value) rows, from which
+members and companies are counted.
 """
 
 from __future__ import annotations
@@ -61,34 +60,37 @@ def campaign_members_mql(campaigns: DataFrame, members: DataFrame, leads: DataFr
     Members whose lead's domain ends in ``domain_suffix`` are excluded;
     members without a lead are kept.
     """
-    a = campaigns.select(F.col("id").alias("campaign_id"), "name", "created_date")
-    leads_h = net_new_history(leads.select("id", "status", "company", "domain_name"), history)
-    c = leads_h.withColumnRenamed("id", "lead_id")
-    joined = (a.join(members.select("campaign_id", "lead_id", "lead_or_contact_id"), "campaign_id")
-              .join(c, "lead_id", "left"))
-    keep = (~F.col("domain_name").like(f"%{domain_suffix}")) | F.col("domain_name").isNull()
-    has_earlier = F.col("first_history_at") < F.col("created_date")
+    a = campaigns.select(F.col("id").alias("campaign_id"), "name", F.col("created_date").alias("created_at"))
+    chosen = members.select("campaign_id", "lead_id", "lead_or_contact_id").join(a, "campaign_id")
+    lead = leads.select(F.col("id").alias("_key"), "status", "company", "domain_name")
+    # Only a qualified lead's first history row can matter.
+    asked = lead.filter(F.col("status") == qualified).select(F.col("_key").alias("lead_id"))
+    first = (history.join(asked, "lead_id", "left_semi").groupBy(F.col("lead_id").alias("_key"))
+             .agg(F.min("created_at").alias("first_history_at")))
+    # Members without a lead match nothing; keys of their own keep them from
+    # meeting in one partition, and members are read once.
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("lead_or_contact_id"), F.lit(4096)).cast("string"))
+    rows = (chosen.withColumn("_key", F.coalesce(F.col("lead_id").cast("string"), spread))
+            .join(lead.join(first, "_key", "left"), "_key", "left")
+            .filter(~F.coalesce(F.col("domain_name").endswith(domain_suffix), F.lit(False))))
     is_qualified = F.col("status") == qualified
-    net_new = is_qualified & ~F.coalesce(has_earlier, F.lit(False))
-    group = [F.to_date("created_date").alias("created_date"), F.col("campaign_id"), F.col("name")]
+    net_new = is_qualified & ~F.coalesce(F.col("first_history_at") < F.col("created_at"), F.lit(False))
     keys = ["created_date", "campaign_id", "name"]
-    rows = joined.filter(keep).select(*group, "lead_or_contact_id", "company",
-                                      is_qualified.alias("q"), net_new.alias("nn"))
     # Three COUNT(DISTINCT ...) would be planned as an Expand that triples every
-    # member row before the shuffle. Instead: de-duplicate (group, member) once
-    # (null ids kept as a key, so every group survives and count() skips them),
-    # and (group, company) over the qualified rows only, with a net-new flag
-    # per company; then join the two per-group counts.
-    members = (rows.select(*keys, "lead_or_contact_id").distinct()
-               .groupBy(*keys).agg(F.count("lead_or_contact_id").alias("members")))
-    companies = (rows.filter(F.col("q") & F.col("company").isNotNull())
-                 .groupBy(*keys, "company").agg(F.max("nn").alias("nn"))
-                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("MQL"),
-                                     F.count(F.when(F.col("nn"), 1)).alias("net_new_mql")))
-    return (members.join(companies, keys, "left")
-            .select(*keys, "members",
-                    F.coalesce("MQL", F.lit(0)).alias("MQL"),
-                    F.coalesce("net_new_mql", F.lit(0)).alias("net_new_mql")))
+    # member row. Instead every row becomes one or two tagged values, a member
+    # and the company of a qualified lead; (campaign, tag, value) is reduced to
+    # one row, which spreads a hot campaign, and both counts come from it.
+    kinds = F.array(F.struct(F.lit("member").alias("kind"), F.col("lead_or_contact_id").alias("value"), F.lit(False).alias("nn")),
+                    F.when(is_qualified & F.col("company").isNotNull(),
+                           F.struct(F.lit("company").alias("kind"), F.col("company").alias("value"), net_new.alias("nn"))))
+    tagged = rows.select(F.to_date("created_at").alias("created_date"), "campaign_id", "name",
+                         F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select(*keys, "k.*")
+    values = tagged.groupBy(*keys, "kind", "value").agg(F.max("nn").alias("nn"))
+    company = F.col("kind") == "company"
+    return values.groupBy(*keys).agg(
+        F.count(F.when(~company, F.col("value"))).alias("members"),
+        F.count(F.when(company, F.col("value"))).alias("MQL"),
+        F.count(F.when(company & F.col("nn"), F.col("value"))).alias("net_new_mql"))
 
 
 def stage_pivot(opportunities: DataFrame, *, campaign_ids: DataFrame | None = None,

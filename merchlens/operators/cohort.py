@@ -13,11 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cohort_keys(dim: DataFrame, condition: Column, key: str) -> DataFrame:
-    """Keys of the dimension rows that satisfy ``condition``."""
-    return dim.filter(condition).select(key)
-
-
 def cohort_semi_join(df: DataFrame, cohort: DataFrame, on: str | list[str],
                      cohort_on: str | None = None) -> DataFrame:
     """Keep rows of ``df`` whose key occurs in ``cohort`` (``key IN (SELECT ...)``).
@@ -32,8 +27,12 @@ def cohort_semi_join(df: DataFrame, cohort: DataFrame, on: str | list[str],
 
 
 def activity_semi_join(dim: DataFrame, facts: DataFrame, on: str, since_condition: Column) -> DataFrame:
-    """Dimension rows with at least one fact satisfying ``since_condition``."""
-    return dim.join(facts.filter(since_condition).select(on), on, "left_semi")
+    """Dimension rows with at least one fact satisfying ``since_condition``.
+
+    The facts are reduced to distinct keys first, which combines map-side: a
+    key with very many facts is one row per map task in the shuffle.
+    """
+    return dim.join(facts.filter(since_condition).select(on).distinct(), on, "left_semi")
 
 
 def fulfilled_orders(fulfillments: DataFrame, order_col: str = "order_id") -> DataFrame:

@@ -47,13 +47,12 @@ def label_unknown(df: DataFrame, countries: DataFrame, key: str = "country_code"
     """Left join to country names with a constant label for misses.
 
     The dimension is projected to the key and the name first, so no other of
-    its columns can collide with the input's (S16). It is broadcast: a
-    country dimension has one row per country code, a bounded set (ISO 3166
-    has under 250), whatever the size of the facts. A shuffle join here would
-    hash-partition the facts by country — a handful of keys, one hot task.
+    its columns can collide with the input's (S16). How it is joined is left to
+    Spark's size check (a country table is small); a shuffled join of the few
+    hot country codes would be split by adaptive skew handling.
     """
     names = countries.select(key, F.col(name).alias("__label_name"))
-    return (df.join(F.broadcast(names), key, "left")
+    return (df.join(names, key, "left")
             .withColumn(out, F.coalesce(F.col("__label_name"), F.lit(unknown)))
             .drop("__label_name"))
 

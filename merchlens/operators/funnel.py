@@ -20,19 +20,29 @@ DEALS_PER_VALUE = "0.0005"
 
 def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame, channels: DataFrame,
                *, since: str | dt.datetime = "2019-02-01") -> DataFrame:
-    """Closed opportunities from ``since`` on, joined to attribution rows,
-    touchpoints and channels: the 20 reporting columns and the ten measures
-    at row level (attributed value of won rows; the eight counts are zero)."""
+    """Closed opportunities from ``since`` on, joined to attribution rows and
+    summed on (day, opportunity dimensions, touchpoint key, channel key), then
+    joined to touchpoints and channels: the 20 reporting columns and the ten
+    measures (attributed value of won rows; the eight counts are zero).
+    Touchpoint and channel strings are never shuffled at line grain.
+
+    S5: the value is taken as DECIMAL(25,7) and the weight as DECIMAL(12,10);
+    their product keeps every digit in 38."""
     if isinstance(since, str):
         since = dt.datetime.fromisoformat(since)
     pod = opps.filter(F.col("is_closed") & (F.col("opportunity_closed_date") >= lit_ts(since)))
-    joined = (pod.join(attribution, "_plus_opportunity_key")
-              .join(touchpoints, "_revenue_touchpoint_attribution_key")
-              .join(channels, "_plus_marketing_channel_key"))
-    value = F.col("monthly_contract_value").cast("decimal(18,2)") * F.col("count_w_shaped").cast("decimal(9,6)")
-    deals = value * F.lit(DEALS_PER_VALUE).cast("decimal(5,4)")
+    value = F.col("monthly_contract_value").cast("decimal(25,7)") * F.col("count_w_shaped").cast("decimal(12,10)")
+    tp_key, ch_key = "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key"
+    dims = ["cost_center", "cost_center_track", "market_segment", "inferred_region", "inferred_country_code",
+            "deal_type_category", "sales_region", "upgrade_type", "attributed_source"]
+    narrow = (pod.select("_plus_opportunity_key", "is_won", "monthly_contract_value", *dims,
+                         F.date_trunc("day", "opportunity_closed_date").cast("timestamp_ntz").alias("event_date"))
+              .join(attribution, "_plus_opportunity_key")
+              .groupBy("event_date", tp_key, ch_key, *dims)
+              .agg(F.sum(F.when(F.col("is_won"), value).otherwise(F.lit(0)).cast(ROW_VALUE)).cast(ROW_VALUE).alias("value")))
+    joined = narrow.join(touchpoints, tp_key).join(channels, ch_key)
     return joined.select(
-        F.date_trunc("day", "opportunity_closed_date").cast("timestamp_ntz").alias("event_date"),
+        F.col("event_date"),
         F.col("cost_center"),
         F.col("cost_center_track"),
         F.col("market_segment").alias("segment"),
@@ -53,8 +63,8 @@ def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
         F.col("cost_center").alias("lead_acquisition_path"),
         F.col("cost_center_track").alias("lead_acquisition_sub_path"),
         *[F.lit(0).cast(ROW_COUNT).alias(m) for m in FUNNEL_MEASURES],
-        F.when(F.col("is_won"), value).otherwise(F.lit(0)).cast(ROW_VALUE).alias("net_new_monthly_contract_value"),
-        F.when(F.col("is_won"), deals).otherwise(F.lit(0)).cast(ROW_DEALS).alias("net_new_deals_won"),
+        F.col("value").alias("net_new_monthly_contract_value"),
+        (F.col("value") * F.lit(DEALS_PER_VALUE).cast("decimal(5,4)")).cast(ROW_DEALS).alias("net_new_deals_won"),
     )
 
 
@@ -67,8 +77,7 @@ def attributed_value_split(opps: DataFrame, attribution: DataFrame, touchpoints:
     is the sum over won rows of value x weight; ``net_new_deals_won`` is the same
     divided by 2000. The eight funnel measures are zero.
 
-    Decimal rule (S5): the value is DECIMAL(18,2) and the weight DECIMAL(9,6),
-    so the product needs no precision loss; totals are cast to DECIMAL(38,7).
+    Decimal rule (S5): see ``value_rows``; totals are cast to DECIMAL(38,7).
     """
     rows = value_rows(opps, attribution, touchpoints, channels, since=since)
     return regrain(rows, FUNNEL_DIMS, ALL_MEASURES)
@@ -111,10 +120,8 @@ def kpi_mart(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
         as_of = dt.datetime.fromisoformat(as_of)
     elif isinstance(as_of, dt.date) and not isinstance(as_of, dt.datetime):
         as_of = dt.datetime.combine(as_of, dt.time())
-    # One aggregation instead of three: the reference sums each input to its
-    # grain, stacks the two results and sums again. Sums are associative and
-    # the stacked inputs zero each other's measures (S7), so summing the
-    # stacked row-level inputs once gives the same mart with one shuffle.
+    # Both inputs arrive summed on their narrow keys; stacked (S7: no distinct
+    # is needed) they are summed once to the mart's dimensions.
     funnel = funnel_rows(rollup, sources, touchpoints, channels)
     value = value_rows(opps, attribution, touchpoints, channels, since=value_since)
     stacked = funnel.unionByName(value)

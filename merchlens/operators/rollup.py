@@ -4,7 +4,9 @@ re-grained funnel measures (O05, O06, O08, O10, O11, O12, O15, O16, O18, O24, O2
 Every aggregation here is a ``groupBy().agg()`` with sums, counts or minima,
 so Spark aggregates partially on the map side before the shuffle; the shuffle
 then carries one row per key and partition, which also defuses hot keys.
-Filters are written on the raw columns so that they reach the parquet scan.
+Filters compare columns with literals, so that they reach a parquet scan whose
+columns they are; the test adapter, which shifts its dates, adds the same bounds
+on its raw columns.
 """
 
 from __future__ import annotations
@@ -25,17 +27,7 @@ def _date(value: str | dt.date) -> dt.date:
     return dt.date.fromisoformat(value) if isinstance(value, str) else value
 
 
-def money_total(c: str) -> Column:
-    """Sum of a DECIMAL money column as DECIMAL(38, scale).
-
-    Spark widens a decimal sum by 10 digits; money totals are carried at the
-    full 38 digits (same scale) so that a sum over any number of rows fits
-    and the type does not depend on the input's precision.
-    """
-    return F.sum(c).cast("decimal(38,2)")
-
-
-def _sum_like(df: DataFrame, c: str | Column) -> Column:
+def sum_like(df: DataFrame, c: str | Column) -> Column:
     """``sum`` that keeps integers integral and carries decimals at 38 digits."""
     if isinstance(c, str):
         dtype = df.schema[c].dataType
@@ -48,8 +40,9 @@ def _sum_like(df: DataFrame, c: str | Column) -> Column:
 def year_in(c: Column, years: Sequence[int]) -> Column:
     """``EXTRACT(year FROM c) IN years`` plus an equivalent range on the raw column.
 
-    The range is redundant for the result but lets the parquet reader skip
-    row groups, which ``year(c)`` alone would not.
+    The range is redundant for the result but, on a column of the table
+    itself, lets the parquet reader skip row groups, which ``year(c)`` alone
+    would not.
     """
     ys = sorted(int(y) for y in years)
     return ((c >= lit_date(dt.date(ys[0], 1, 1))) & (c < lit_date(dt.date(ys[-1] + 1, 1, 1)))
@@ -105,7 +98,7 @@ def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, f
              .join(shop_keys, "_shop_key")
              .join(fulfillments.select("order_id"), "order_id", "left_semi"))
     return (facts.groupBy(month_start("reported_at").alias("reported_date"))
-            .agg(money_total("transaction_amount_usd").alias("transaction_amount_usd")))
+            .agg(sum_like(facts, "transaction_amount_usd").alias("transaction_amount_usd")))
 
 
 def channel_gmv_monthly(channel_gmv: DataFrame, shops: DataFrame, *, country_code: str,
@@ -118,7 +111,7 @@ def channel_gmv_monthly(channel_gmv: DataFrame, shops: DataFrame, *, country_cod
         & complete_months("month", as_of))
     facts = cohort_semi_join(facts, shop_keys, "_shop_key")
     return (facts.groupBy(month_start("month").alias("reported_date"))
-            .agg(money_total("channel_gmv_usd").alias("brokered_gmv")))
+            .agg(sum_like(facts, "channel_gmv_usd").alias("brokered_gmv")))
 
 
 def app_gmv_monthly(app_gmv: DataFrame, shops: DataFrame, *, country_codes: Sequence[str],
@@ -128,7 +121,7 @@ def app_gmv_monthly(app_gmv: DataFrame, shops: DataFrame, *, country_codes: Sequ
     shop_keys = shops.filter(F.col("shop_country_code").isin(list(country_codes))).select("_shop_key")
     facts = app_gmv.filter((F.col("date") > lit_date(since)) & complete_months("date", as_of))
     facts = facts.join(shop_keys, "_shop_key")
-    return facts.groupBy(month_start("date").alias("reported_date")).agg(_sum_like(facts, measure).alias(measure))
+    return facts.groupBy(month_start("date").alias("reported_date")).agg(sum_like(facts, measure).alias(measure))
 
 
 def shop_totals_since(daily: DataFrame, key: str, measures: Mapping[str, str | Column],
@@ -141,7 +134,7 @@ def shop_totals_since(daily: DataFrame, key: str, measures: Mapping[str, str | C
     facts = daily if date_condition is None else daily.filter(date_condition)
     if cohort is not None:
         facts = cohort_semi_join(facts, cohort, key)
-    aggs = [_sum_like(facts, c).alias(name) for name, c in measures.items()]
+    aggs = [sum_like(facts, c).alias(name) for name, c in measures.items()]
     return facts.groupBy(key).agg(*aggs)
 
 
@@ -150,7 +143,7 @@ def trailing_year_totals(daily: DataFrame, key: str, measure: str, *, as_of: str
     """Per-key sum over ``date > as_of - 1 year`` (Feb 29 clamps to Feb 28)."""
     start = F.add_months(lit_date(as_of), -12)
     return (daily.filter(F.col(date_col) > start)
-            .groupBy(key).agg(_sum_like(daily, measure).alias(out)))
+            .groupBy(key).agg(sum_like(daily, measure).alias(out)))
 
 
 def threshold_after_agg(df: DataFrame, measure: str | Column, minimum, strict: bool = True) -> DataFrame:
@@ -165,7 +158,7 @@ def order_rollup(gmv_facts: DataFrame, *, after_year: int) -> DataFrame:
     return (gmv_facts.filter(F.col("reported_at") >= lit_ts(dt.datetime(after_year + 1, 1, 1)))
             .groupBy("order_id")
             .agg(F.min("_payment_gateway_key").alias("payment_gateway_key"),
-                 _sum_like(gmv_facts, "gmv_adjustment_usd").alias("order_gmv")))
+                 sum_like(gmv_facts, "gmv_adjustment_usd").alias("order_gmv")))
 
 
 # --------------------------------------------------------------------------- funnel
@@ -186,30 +179,36 @@ ALL_MEASURES = FUNNEL_MEASURES + VALUE_MEASURES
 MART_DECIMAL = "decimal(38,7)"
 
 
-# Row-level measure types before aggregation: counts are BIGINT, attributed
-# value is DECIMAL(18,2) x DECIMAL(9,6), deals add a DECIMAL(5,4) factor.
+# Row-level measure types: counts are BIGINT; attributed value is an exact
+# product of DECIMAL(25,7) and DECIMAL(12,10); deals add a factor.
 ROW_COUNT = "bigint"
-ROW_VALUE = "decimal(28,8)"
-ROW_DEALS = "decimal(34,12)"
+ROW_VALUE = "decimal(38,17)"
+ROW_DEALS = "decimal(38,15)"
+
+# Fact-level columns of the rollup that are reporting dimensions as they are.
+ROLLUP_KEYS = ["date", "_source_key", "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key", "segment_for_quota",
+               "merchant_region", "country_code", "deal_type", "sales_region", "upgrade_type"]
+ROLLUP_MEASURES = {
+    "net_new_sessions": "total_sessions",
+    "net_new_leads": "net_new_leads",
+    "net_new_qualified_leads": "qualified_leads",
+    "net_new_prequalified": "prequalified_opportunity_transitions",
+    "net_new_interested": "total_interested_opportunity_transitions",
+    "net_new_closed_won": "total_closed_won_opportunities",
+    "net_new_closed_lost": "total_closed_lost_opportunities",
+    "net_new_created_opportunities": "created_opportunities",
+}
 
 
 def funnel_rows(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
                 channels: DataFrame) -> DataFrame:
-    """Rollup rows joined to their reporting dimensions: the 20 reporting columns
-    and the ten measures at row level (the two value measures are zero)."""
-    joined = (rollup.join(sources, "_source_key")
+    """Rollup measures summed on their narrow keys, then joined to their
+    reporting dimensions: the 20 reporting columns and the ten measures (the
+    two value measures are zero). Only keys and short codes are shuffled."""
+    narrow = rollup.groupBy(*ROLLUP_KEYS).agg(*[F.sum(src).cast(ROW_COUNT).alias(f"_{name}") for name, src in ROLLUP_MEASURES.items()])
+    joined = (narrow.join(sources, "_source_key")
               .join(touchpoints, "_revenue_touchpoint_attribution_key")
               .join(channels, "_plus_marketing_channel_key"))
-    sources_of = {
-        "net_new_sessions": "total_sessions",
-        "net_new_leads": "net_new_leads",
-        "net_new_qualified_leads": "qualified_leads",
-        "net_new_prequalified": "prequalified_opportunity_transitions",
-        "net_new_interested": "total_interested_opportunity_transitions",
-        "net_new_closed_won": "total_closed_won_opportunities",
-        "net_new_closed_lost": "total_closed_lost_opportunities",
-        "net_new_created_opportunities": "created_opportunities",
-    }
     return joined.select(
         F.col("date").cast("timestamp_ntz").alias("event_date"),
         F.col("lead_acquisition_path").alias("cost_center"),
@@ -231,7 +230,7 @@ def funnel_rows(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
         F.col("marketing_channel_path"),
         F.col("lead_acquisition_path"),
         F.col("lead_acquisition_sub_path"),
-        *[F.col(src).cast(ROW_COUNT).alias(name) for name, src in sources_of.items()],
+        *[F.col(f"_{name}").alias(name) for name in ROLLUP_MEASURES],
         F.lit(0).cast(ROW_VALUE).alias("net_new_monthly_contract_value"),
         F.lit(0).cast(ROW_DEALS).alias("net_new_deals_won"),
     )

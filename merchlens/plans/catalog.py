@@ -2,8 +2,9 @@
 
 Every entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
 whole test tables in ``sf_dir``. Parameters are the reference's own values
-except where the test data has no such value (vendor, app id), which are
-chosen from the test data's domains and listed in ``TEST_PARAMS``.
+except those of ``TEST_PARAMS``, which have no counterpart in the test data.
+Fact methods of the adapter also get the parameters' dates, so that they bound
+the scans.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import datetime as dt
 
-from ..functions.dates import (complete_months, days_between, lit_date, month_boundaries_between,
+from ..functions.dates import (complete_months, lit_date, month_boundaries_between,
                                month_start, period_flags)
 from ..operators import campaign as camp
 from ..operators import cohort, enrich, funnel, rollup
@@ -29,8 +30,19 @@ TEST_PARAMS = {
     "vendor": "Brand#17",       # a p_brand value (reference: a product vendor name)
     "api_client_id": "7",       # a supplier key as app id (reference: a numeric app id)
     "min_annual_gmv": 400_000,   # reference: 1,000,000; test shops sell less per year
+    "cap": 90_000,               # reference: 1,000,000; the test amounts end at 104,997.88
+    "plan": "plus",              # a plan name of the adapter; the reference has its own
+    "payments": "Is Using Platform Payments",  # likewise, a payments label
+    "domain_suffix": "platform.example",       # likewise, the suffix of domains to leave out
 }
 
+# Dates of the reports' parameters, as bounds for the adapter's scans.
+APP_SINCE, PLAN_SINCE, TRACKER_SINCE = dt.date(2021, 1, 1), dt.date(2022, 1, 1), dt.date(2022, 3, 30)
+PLAN_YEARS = dict(since=dt.date(2022, 1, 1), until=dt.date(2023, 12, 31))
+YEAR_2022 = dict(since=dt.date(2022, 1, 1), until=dt.date(2022, 12, 31))
+COMPLETE = DEFAULT_AS_OF.replace(day=1) - dt.timedelta(days=1)  # last day of the last complete month
+LAST_YEAR = DEFAULT_AS_OF - dt.timedelta(days=366)
+
 
 def _mart_inputs(w: Warehouse) -> dict:
     return dict(opps=w.opportunity_dim(), attribution=w.attribution_facts(), touchpoints=w.touchpoints(),
@@ -43,28 +55,30 @@ def _kpi_names(w: Warehouse) -> DataFrame:
 
 # ------------------------------------------------------------------------- reports
 def q_regional_app_gmv_monthly(w: Warehouse):
-    return reports.regional_app_gmv_monthly(w.app_gmv_daily(), w.shops(), w.merchants(),
+    return reports.regional_app_gmv_monthly(w.app_gmv_daily(since=APP_SINCE), w.shops(), w.merchants(),
                                             w.api_clients(), w.partners())
 
 
 def q_plan_vs_actual_monthly(w: Warehouse):
-    return reports.plan_vs_actual_monthly(w.spark, w.calendar(), w.fulfillments(), w.gmv_facts(),
-                                          w.gateways(), w.shops(), w.channel_gmv_daily(), w.app_gmv_daily())
+    return reports.plan_vs_actual_monthly(w.spark, w.calendar(**PLAN_YEARS), w.fulfillments(), w.gmv_facts(PLAN_SINCE, COMPLETE),
+                                          w.gateways(), w.shops(), w.channel_gmv_daily(**PLAN_YEARS),
+                                          w.app_gmv_daily(PLAN_SINCE, COMPLETE), cap=TEST_PARAMS["cap"])
 
 
 def q_merchant_tracker(w: Warehouse):
-    return reports.merchant_tracker(w.shop_merchant_lookup(), w.merchants(), w.shops(), w.checkout_daily(),
-                                    w.app_gmv_daily(), w.shop_daily_gmv(), w.migration())
+    return reports.merchant_tracker(w.shop_merchant_lookup(), w.merchants(), w.shops(),
+                                    w.checkout_daily(TRACKER_SINCE), w.app_gmv_daily(TRACKER_SINCE),
+                                    w.shop_daily_gmv(TRACKER_SINCE), w.migration())
 
 
 def q_campaign_scorecard(w: Warehouse):
     return reports.campaign_scorecard(w.campaigns(), w.campaign_members(), w.leads(), w.leads_history(),
-                                      w.opportunities(), kpi_names=_kpi_names(w))
+                                      w.opportunities(), kpi_names=_kpi_names(w), domain_suffix=TEST_PARAMS["domain_suffix"])
 
 
 def q_campaign_leads_extract(w: Warehouse):
     return reports.campaign_leads_extract(w.campaigns(), w.campaign_members(), w.leads(), w.leads_history(),
-                                          w.opportunities(), kpi_names=_kpi_names(w))
+                                          w.opportunities(), kpi_names=_kpi_names(w), domain_suffix=TEST_PARAMS["domain_suffix"])
 
 
 def q_checkout_duration_by_event(w: Warehouse):
@@ -72,21 +86,22 @@ def q_checkout_duration_by_event(w: Warehouse):
 
 
 def q_merchant_age_band_summary(w: Warehouse):
-    return reports.merchant_age_band_summary(w.merchants(), w.region_map(), w.merchant_daily())
+    return reports.merchant_age_band_summary(w.merchants(), w.region_map(), w.merchant_daily(LAST_YEAR))
 
 
 def q_regional_merchant_list(w: Warehouse):
-    return reports.regional_merchant_list(w.shops(), w.channel_gmv_daily(), w.gmv_facts())
+    return reports.regional_merchant_list(w.shops(), w.channel_gmv_daily(PLAN_SINCE), w.gmv_facts(PLAN_SINCE))
 
 
 def q_account_upgrade_targets(w: Warehouse):
-    return reports.account_upgrade_targets(w.channel_gmv_monthly(), w.shops(), w.account_lookup(),
-                                           w.accounts(), min_gmv=TEST_PARAMS["min_annual_gmv"])
+    return reports.account_upgrade_targets(w.channel_gmv_monthly(**YEAR_2022), w.shops(), w.account_lookup(), w.accounts(),
+                                           min_gmv=TEST_PARAMS["min_annual_gmv"], plan=TEST_PARAMS["plan"],
+                                           payments=TEST_PARAMS["payments"])
 
 
 def q_partner_outbound_list(w: Warehouse):
     return reports.partner_outbound_list(w.state_facts(), w.merchants(), w.region_map(), w.partners(),
-                                         w.shops(), w.shop_state_daily(), w.outbound_list())
+                                         w.shops(), w.shop_state_daily(LAST_YEAR), w.outbound_list())
 
 
 def q_churn_risk_list(w: Warehouse):
@@ -94,7 +109,7 @@ def q_churn_risk_list(w: Warehouse):
 
 
 def q_vendor_line_items(w: Warehouse):
-    return reports.vendor_line_items(w.line_items(), w.gmv_facts(), w.products(), w.installs(), w.gateways(),
+    return reports.vendor_line_items(w.line_items(), w.gmv_facts(PLAN_SINCE), w.products(), w.installs(), w.gateways(),
                                      vendor=TEST_PARAMS["vendor"], api_client_id=TEST_PARAMS["api_client_id"])
 
 
@@ -117,23 +132,23 @@ def q_funnel_rollup(w: Warehouse):
 
 
 def q_gateway_gmv_monthly(w: Warehouse):
-    return rollup.gateway_gmv_monthly(w.gmv_facts(), w.gateways(), w.shops(), w.fulfillments(),
+    return rollup.gateway_gmv_monthly(w.gmv_facts(PLAN_SINCE, COMPLETE), w.gateways(), w.shops(), w.fulfillments(),
                                       country_codes=["IN"], gateway_names=reports.COD_GATEWAY_NAMES,
-                                      since="2021-12-31", as_of=DEFAULT_AS_OF)
+                                      since="2021-12-31", as_of=DEFAULT_AS_OF, cap=TEST_PARAMS["cap"])
 
 
 def q_channel_gmv_monthly(w: Warehouse):
-    return rollup.channel_gmv_monthly(w.channel_gmv_daily(), w.shops(), country_code="IN",
+    return rollup.channel_gmv_monthly(w.channel_gmv_daily(**PLAN_YEARS), w.shops(), country_code="IN",
                                       years=[2022, 2023], as_of=DEFAULT_AS_OF)
 
 
 def q_app_gmv_monthly(w: Warehouse):
-    return rollup.app_gmv_monthly(w.app_gmv_daily(), w.shops(), country_codes=["IN"],
+    return rollup.app_gmv_monthly(w.app_gmv_daily(PLAN_SINCE, COMPLETE), w.shops(), country_codes=["IN"],
                                   since="2021-12-31", as_of=DEFAULT_AS_OF)
 
 
 def q_month_spine(w: Warehouse):
-    return rollup.month_spine(w.calendar(), ["2022", "2023"])
+    return rollup.month_spine(w.calendar(**PLAN_YEARS), ["2022", "2023"])
 
 
 def q_fulfilled_orders(w: Warehouse):
@@ -145,16 +160,16 @@ def q_app_install_shops(w: Warehouse):
 
 
 def q_order_rollup(w: Warehouse):
-    return rollup.order_rollup(w.gmv_facts(), after_year=2021)
+    return rollup.order_rollup(w.gmv_facts(PLAN_SINCE), after_year=2021)
 
 
 def q_trailing_year_totals(w: Warehouse):
-    return rollup.trailing_year_totals(w.merchant_daily(), "_merchant_key", "gmv",
+    return rollup.trailing_year_totals(w.merchant_daily(LAST_YEAR), "_merchant_key", "gmv",
                                        as_of=DEFAULT_AS_OF)
 
 
 def q_shop_totals_since(w: Warehouse):
-    return rollup.shop_totals_since(w.shop_daily_gmv(), "shop_id",
+    return rollup.shop_totals_since(w.shop_daily_gmv(TRACKER_SINCE), "shop_id",
                                     {"platform_gmv_annualized": "daily_gmv_amount_usd"},
                                     F.col("date") > lit_date("2022-03-29"))
 
@@ -165,12 +180,13 @@ def q_stage_pivot(w: Warehouse):
 
 def q_campaign_members_mql(w: Warehouse):
     selected = camp.campaign_selector(w.campaigns(), _kpi_names(w))
-    return camp.campaign_members_mql(selected, w.campaign_members(), w.leads(), w.leads_history())
+    return camp.campaign_members_mql(selected, w.campaign_members(), w.leads(), w.leads_history(),
+                                     domain_suffix=TEST_PARAMS["domain_suffix"])
 
 
 def q_activity_semi_join(w: Warehouse):
     return cohort.activity_semi_join(w.shops().select("_shop_key", "shop_id", "shop_country_code"),
-                                     w.gmv_facts(), "_shop_key",
+                                     w.gmv_facts(PLAN_SINCE), "_shop_key",
                                      F.col("reported_at") >= F.lit("2022-01-01").cast("timestamp_ntz"))
 
 
@@ -233,14 +249,14 @@ def q_campaign_selector(w: Warehouse):
 
 def q_threshold_after_agg(w: Warehouse):
     """Shops whose 2022 on-platform channel GMV exceeds the threshold."""
-    facts = w.channel_gmv_monthly().filter(F.col("is_platform_gmv") & rollup.year_in(F.col("month_begin_date"), [2022]))
+    facts = w.channel_gmv_monthly(**YEAR_2022).filter(F.col("is_platform_gmv") & rollup.year_in(F.col("month_begin_date"), [2022]))
     totals = rollup.shop_totals_since(facts, "shop_id", {"sum_gmv": "channel_gmv_usd"})
     return rollup.threshold_after_agg(totals, "sum_gmv", TEST_PARAMS["min_annual_gmv"])
 
 
 def q_calendar_age_filter(w: Warehouse):
     """State transitions at least 180 days before the reporting date."""
-    return w.state_facts().filter(days_between("transition_at", DEFAULT_AS_OF) >= 180)
+    return w.state_facts().filter(reports.transitions_of_age(DEFAULT_AS_OF, 180))
 
 
 def q_age_in_months(w: Warehouse):
@@ -272,9 +288,9 @@ def q_period_flags(w: Warehouse):
 
 def q_complete_months(w: Warehouse):
     """Channel GMV per month, complete months before the reporting month only."""
-    facts = w.channel_gmv_daily().filter(complete_months("month", DEFAULT_AS_OF))
+    facts = w.channel_gmv_daily(until=COMPLETE).filter(complete_months("month", DEFAULT_AS_OF))
     return facts.groupBy(month_start("month").alias("reported_date")).agg(
-        rollup.money_total("channel_gmv_usd").alias("channel_gmv_usd"))
+        rollup.sum_like(facts, "channel_gmv_usd").alias("channel_gmv_usd"))
 
 
 BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {

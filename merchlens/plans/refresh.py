@@ -13,6 +13,7 @@ per report.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterable
 
@@ -43,8 +44,8 @@ class WrittenWarehouse(Warehouse):
             self._written.add(name)
         return self.spark.read.parquet(path)
 
-    def order_lines(self) -> DataFrame:
-        return self._shared("order_lines", super().order_lines)
+    def order_lines(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        return self.bounded(self._shared("order_lines", super().order_lines), "l_shipdate", since, until)
 
     def merchants(self) -> DataFrame:
         return self._shared("merchants", super().merchants)
@@ -63,17 +64,22 @@ def refresh_reports(spark: SparkSession, sf_dir: str, out_dir: str | None = None
                     names: Iterable[str] | None = None) -> dict[str, str]:
     """Write the selected registered queries (all by default) to ``out_dir``.
 
-    Shared tables go to ``<spark.checkpoint.dir>/merchlens-<run id>/shared``;
-    ``out_dir`` defaults to ``.../reports`` next to them. Returns name -> path.
+    Shared tables go to ``<spark.checkpoint.dir>/merchlens-<run id>/shared``
+    and are deleted when the reports are written (or one fails); ``out_dir``
+    defaults to ``.../reports`` next to them. Returns name -> path.
     """
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/merchlens-{uuid.uuid4().hex[:12]}"
     out_dir = (out_dir or f"{base}/reports").rstrip("/")
     wh = WrittenWarehouse(spark, sf_dir, f"{base}/shared")
     written = {}
-    for name in names or catalog.BUILDERS:
-        path = f"{out_dir}/{name}"
-        catalog.BUILDERS[name](wh).write.mode("overwrite").parquet(path)
-        written[name] = path
+    try:
+        for name in names or catalog.BUILDERS:
+            path = f"{out_dir}/{name}"
+            catalog.BUILDERS[name](wh).write.mode("overwrite").parquet(path)
+            written[name] = path
+    finally:
+        shared = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/shared")
+        shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(shared, True)
     return written
 
 

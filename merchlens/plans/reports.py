@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import (lit_date, lit_ts, month_boundaries_between, month_start,
-                               round_half_away_to_long, time_of_day_diff_seconds, days_between)
+                               round_half_away_to_long, time_of_day_diff_seconds)
 from ..operators.campaign import campaign_members_mql, campaign_selector, stage_pivot
 from ..operators.cohort import activity_semi_join, app_install_shops, cohort_semi_join
 from ..operators.enrich import display_projection, party_fallback, star_enrich
@@ -36,6 +36,11 @@ def _day_after_ts(since: str | dt.date):
     return lit_ts(dt.datetime.combine(_d(since) + dt.timedelta(days=1), dt.time()))
 
 
+def transitions_of_age(as_of: dt.date, min_age_days: int, col: str = "transition_at"):
+    """At least ``min_age_days`` days before ``as_of``, as a comparison of the column with a literal."""
+    return F.col(col) < lit_ts(dt.datetime.combine(as_of - dt.timedelta(days=min_age_days - 1), dt.time()))
+
+
 # ----------------------------------------------------------------------------- Q01
 Q01_COLUMNS = [
     "api_client_id", "app_name", "app_type", "name", "channel_provider_name",
@@ -55,23 +60,18 @@ def regional_app_gmv_monthly(daily_gmv: DataFrame, shops: DataFrame, merchants:
     """Q01: GMV per app x shop x month for shops of ``countries``, with merchant,
     app and partner attributes and the partner-or-developer-shop fallback.
 
-    Plan: filter the daily facts by date and aggregate them to (shop, app,
-    month) *before* any join, so the joins see one row per group instead of
-    one per day; an inner join to the cohort's shop attributes applies the
-    country filter (the reference's left join filtered in WHERE); then enrich
-    and sum to the 24 report columns (a cheap final aggregation that keeps the
-    result exact even if two keys share all attributes).
+    Plan: filter the daily facts by date, keep the cohort's shops and
+    aggregate to (shop, app, month): semi join and aggregation share one
+    exchange on the shop key. The attribute joins then see one row per group
+    instead of one per day; a final sum to the 24 report columns keeps the
+    result exact even if two keys share all attributes.
     """
     shop_cols = ["current_funnel_state", "current_merchant_active_status", "current_merchant_deal_type",
                  "current_mrr_band_ranked_range", "shop_id", "shop_name", "shop_permanent_domain",
                  "shop_storefront_url", "shop_country_code", "current_merchant_id"]
     cohort = shops.filter(F.col("shop_country_code").isin(list(countries)))
     facts = daily_gmv.filter(F.col("date") > lit_date(since))
-    # Aggregate first: partial aggregation compresses the daily rows before the
-    # only shuffle of the facts. The inner join to the cohort's attributes then
-    # both filters to the cohort and enriches; a semi join ahead of the
-    # aggregation would shuffle every raw fact row whenever the cohort is too
-    # large to broadcast.
+    facts = cohort_semi_join(facts, cohort.select("_shop_key"), "_shop_key")
     pre = (facts.groupBy("_shop_key", "_api_client_key", "api_client_id", month_start("date").alias("month"))
            .agg(*[F.sum(m).alias(m) for m in Q01_MEASURES]))
     enriched = pre.join(cohort.select("_shop_key", *shop_cols), "_shop_key")
@@ -87,8 +87,11 @@ def regional_app_gmv_monthly(daily_gmv: DataFrame, shops: DataFrame, merchants:
                               "partner_name")
     shops2 = shops.select(F.col("shop_id").alias("application_developer_shop_id"),
                           F.col("current_merchant_name").alias("developer_merchant_name"))
+    # Apps without a partner don't enter the join: their null key would be one partition.
+    bare = enriched.filter(F.col("partner_id").isNull()).withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in partner.schema.fields if f.name != "partner_id"})
+    enriched = enriched.filter(F.col("partner_id").isNotNull()).join(partner, "partner_id", "left").unionByName(bare)
     enriched = (enriched.join(pmd, "current_merchant_id", "left")
-                .join(partner, "partner_id", "left")
                 .join(shops2, "application_developer_shop_id", "left"))
     enriched = party_fallback(enriched, "platform_partner_id", "application_developer_shop_id",
                               "partner_name", "developer_merchant_name")
@@ -144,9 +147,8 @@ def merchant_tracker(lookup: DataFrame, merchants: DataFrame, shops: DataFrame,
                           "_merchant_key").distinct()
     cohort_shops = t1.select("shop_id")
     after = F.col("date") > lit_date(since)
-    t2 = cohort_semi_join(shops.select("shop_id", "shop_name", "shop_domain",
-                                       "currently_associated_platform_partner_id",
-                                       "currently_associated_partner_name"), cohort_shops, "shop_id")
+    t2 = shops.select("shop_id", "shop_name", "shop_domain", "currently_associated_platform_partner_id",
+                      "currently_associated_partner_name")  # the join from the cohort restricts it
     t3 = active.select("_merchant_key", "merchant_name", "current_msm_name")
     t4 = shop_totals_since(checkout_daily, "shop_id", {
         "checkout_one_checkouts_annualized": "checkout_one_checkouts",
@@ -215,14 +217,18 @@ def campaign_scorecard(*args, **kwargs) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- Q06
-def checkout_duration_by_event(checkout_events: DataFrame, checkout_facts: DataFrame) -> DataFrame:
+def checkout_duration_by_event(checkout_events: DataFrame, checkout_facts: DataFrame, *, elapsed: bool = False) -> DataFrame:
     """Q06: per (shop, event name, is-pay-user) the average time-of-day difference
     between completion and creation (S3) and the number of event rows with a token.
 
     A left join: events without checkout facts form groups with a null third key.
+    ``elapsed`` takes the whole seconds from creation to completion instead of
+    the difference of the times of day (which is negative across midnight).
     """
+    secs = (F.unix_seconds(F.col("completed_at").cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
+            if elapsed else time_of_day_diff_seconds("completed_at", "created_at"))
     t2 = checkout_facts.select("checkout_token", "is_pay_user_at_time_of_checkout",
-                               time_of_day_diff_seconds("completed_at", "created_at").alias("secs"))
+                               secs.alias("secs"))
     joined = checkout_events.select("shop_id", "event_name", "checkout_token").join(
         t2, "checkout_token", "left")
     return (joined.groupBy("shop_id", "event_name", "is_pay_user_at_time_of_checkout")
@@ -303,7 +309,7 @@ def partner_outbound_list(state_facts: DataFrame, merchants: DataFrame, region_m
     f = state_facts.filter(
         ((F.coalesce("activation_count", F.lit(0)) > 0) | (F.coalesce("plus_upgrade_count", F.lit(0)) > 0))
         & (F.col("transition_at") >= lit_ts(dt.datetime.combine(_d(since), dt.time())))
-        & (days_between("transition_at", as_of) >= min_age_days))
+        & transitions_of_age(as_of, min_age_days))
     md = merchants.filter(F.col("currently_associated_referral_type").isin(list(referral_types))
                           & (F.col("merchant_type") == merchant_type)
                           & (F.col("merchant_country_name") == country_name)
@@ -317,7 +323,7 @@ def partner_outbound_list(state_facts: DataFrame, merchants: DataFrame, region_m
         "partner_name", "partner_country_name", "current_partner_manager")
     sd = shops.select(F.col("shop_id").alias("current_merchant_primary_shop_id"),
                       "eligible_for_platform_payments", "using_platform_payments")
-    ssd = (shop_daily.filter(days_between("datetime", as_of) <= window_days)
+    ssd = (shop_daily.filter(F.col("datetime") >= lit_ts(dt.datetime.combine(as_of - dt.timedelta(days=window_days), dt.time())))
            .groupBy(F.col("shop_id").alias("current_merchant_primary_shop_id"))
            .agg(F.sum("daily_gmv_usd").alias("gmv_window"),
                 F.sum("daily_gross_platform_payments_revenue_amount_usd").alias("revenue_window")))

@@ -54,8 +54,9 @@ GATEWAYS = [
 ]
 
 # The test tables hold dates from 1995 to 2001; the reports' default periods
-# are 2019 to 2025. Every adapted date is moved forward by this many years.
-YEAR_SHIFT = 27
+# begin in 2019 to 2022. Every adapted date is moved forward by this many
+# years, so that every cut-off of a report falls inside the data.
+YEAR_SHIFT = 24
 
 # Reporting date used instead of CURRENT_DATE / CURRENT_TIMESTAMP so that
 # results are repeatable.
@@ -67,7 +68,6 @@ DEFAULT_AS_OF = dt.date(2025, 6, 15)
 APAC_APP_COUNTRIES = ["IN", "TH", "PH", "SG", "VN", "ID", "BN", "KH", "TL", "MY", "LA", "MM"]
 GREATER_CHINA_COUNTRIES = ["CN", "HK", "TW"]
 COD_GATEWAY_NAMES = ["Cash on Delivery (COD)", "cash_on_delivery"]
-INCLUDED_STATUS = "Included in Reported GMV"
 PLAN_YEARS = ["2022", "2023"]
 PLAN_FACT_YEARS = [2022, 2023]
 

@@ -50,11 +50,8 @@ SCHEMAS = {
                 "l_linestatus string, l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
-# Fact tables and the key their rows are spread on when a scan is too narrow.
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-_SCAN_SPLITS: dict[str, int] = {}
-
 SHOPS_PER_MERCHANT = 4      # c_custkey div 4 -> merchant
+TOUCHPOINTS, CHANNELS = 40, 2  # keys of the funnel inputs: few, so that many rows share a grain
 CUSTOMERS_PER_SUPPLIER = 15  # TPC-H cardinality ratio: partner of a shop
 
 
@@ -71,6 +68,14 @@ def shifted_date(c: str) -> Column:
     return shifted(c).cast("date")
 
 
+def _raw_bound(day: dt.date, extra_days: int) -> Column:
+    """The shifted date ``day`` as a raw timestamp, ``extra_days`` later."""
+    first = dt.date(day.year - YEAR_SHIFT, day.month, min(day.day, 28))
+    if extra_days > 0:  # never earlier than the day itself
+        first += dt.timedelta(days=day.day - min(day.day, 28))
+    return F.lit(dt.datetime.combine(first + dt.timedelta(days=extra_days), dt.time())).cast("timestamp_ntz")
+
+
 def idiv(c: str, n: int) -> Column:
     return F.expr(f"{c} div {n}")
 
@@ -91,30 +96,6 @@ def country_of(nation_col: str, attr: str) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col(nation_col))
 
 
-def spread_narrow_scan(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Spread a fact scan over all cores when its files give fewer splits than cores.
-
-    Parquet splits at row-group boundaries, so a table stored as one or a few
-    large row groups is read by that many tasks, and all work up to the first
-    shuffle (joins to broadcast dimensions, partial aggregation) runs on those
-    few cores. Such a scan is hash-partitioned on its key to ``parallelism``
-    partitions (no sort, unlike a round-robin repartition). A large table has
-    far more splits than cores and is returned unchanged, so at scale this
-    adds no shuffle. Column pruning and filters still reach the scan. The
-    split count is looked up once per path and session.
-    """
-    try:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
-        splits = _SCAN_SPLITS.get(path)
-        if splits is None:
-            splits = _SCAN_SPLITS[path] = df.rdd.getNumPartitions()
-    except Exception:  # no SparkContext (e.g. a Spark Connect session): leave the scan as is
-        return df
-    if splits < parallelism:
-        return df.repartition(parallelism, key)
-    return df
-
-
 def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     """A small fixed table as literal rows.
 
@@ -135,10 +116,25 @@ class Warehouse:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(path)
-        if name in FACT_KEYS:
-            df = spread_narrow_scan(df, path, FACT_KEYS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def dated(self, name: str, column: str, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        """A fact table with bounds on its raw date column, so that they reach the parquet scan.
+
+        ``since`` and ``until`` are dates of the shifted column (rows before
+        ``since`` and after ``until`` aren't needed). A report's own filter is
+        on the shifted expression, which no reader can use; these bounds are
+        the same dates moved back, a day wider on either side for Feb 29, and
+        leave the exact comparison to the report.
+        """
+        return self.bounded(self.raw(name), column, since, until)
+
+    @staticmethod
+    def bounded(df: DataFrame, column: str, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        if since is not None:
+            df = df.filter(F.col(column) >= _raw_bound(since, -1))
+        if until is not None:
+            df = df.filter(F.col(column) < _raw_bound(until, 2))
         return df
 
     # ------------------------------------------------------------------ geography
@@ -157,7 +153,8 @@ class Warehouse:
         return self.raw("nation").select("n_nationkey").join(F.broadcast(fixed), "n_nationkey")
 
     def country_dimension(self) -> DataFrame:
-        return self.countries.select("country_code", "country_name")
+        """Country names; every fifth nation is missing, so some codes have no name."""
+        return self.countries.filter(F.col("n_nationkey") % 5 != 4).select("country_code", "country_name")
 
     def region_map(self) -> DataFrame:
         return self.countries.select(
@@ -283,9 +280,9 @@ class Warehouse:
             F.col("current_msm_name").alias("primary_industry"),
             (F.col("merchant_id") % 100).alias("apps_score"),
             F.concat(F.lit("app-"), (F.col("merchant_id") % 7).cast("string")).alias("top_apps_installed"),
-            F.lit(None).cast("decimal(18,2)").alias("last_30d_online_gmv"),
-            F.lit(None).cast("decimal(18,2)").alias("last_90d_online_gmv"),
-            F.lit(None).cast("decimal(18,2)").alias("last_180d_online_gmv"),
+            F.when(F.col("merchant_id") % 3 > 0, money(F.col("merchant_id") % 1000)).alias("last_30d_online_gmv"),
+            money(F.col("merchant_id") % 1000 * 3 + 1).alias("last_90d_online_gmv"),
+            money(F.col("merchant_id") % 1000 * 6 + 2).alias("last_180d_online_gmv"),
         )
 
     def state_facts(self) -> DataFrame:
@@ -331,14 +328,14 @@ class Warehouse:
             (F.col("s_suppkey") * CUSTOMERS_PER_SUPPLIER).alias("application_developer_shop_id"))
 
     # ------------------------------------------------------------------ GMV facts
-    def order_lines(self) -> DataFrame:
-        """Line items with the shop (``o_custkey``) and order date of their order."""
+    def order_lines(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        """Line items with the shop (``o_custkey``) and order date of their order; bounds are on the ship date."""
         o = self.raw("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-        return self.raw("lineitem").join(o, "l_orderkey")
+        return self.dated("lineitem", "l_shipdate", since, until).join(o, "l_orderkey")
 
-    def app_gmv_daily(self) -> DataFrame:
-        lines = self.order_lines()
+    def app_gmv_daily(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        lines = self.order_lines(since, until)
         gmv = money("l_extendedprice")
         zero = F.lit(0).cast("decimal(18,2)")
         return lines.select(
@@ -351,8 +348,8 @@ class Warehouse:
             F.when(F.col("l_returnflag") != "N", gmv).otherwise(zero).alias("total_off_platform_gmv_usd"),
             gmv.alias("total_gmv_usd"))
 
-    def gmv_facts(self) -> DataFrame:
-        lines = self.order_lines()
+    def gmv_facts(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        lines = self.order_lines(since, until)
         amount = money("l_extendedprice")
         return lines.select(
             F.col("l_orderkey").cast("string").alias("order_id"),
@@ -377,14 +374,14 @@ class Warehouse:
         return (self.raw("lineitem").filter(F.col("l_returnflag") == "A")
                 .select(F.col("l_orderkey").cast("string").alias("order_id")))
 
-    def calendar(self) -> DataFrame:
+    def calendar(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
         """Date dimension: every shifted order date with its year as a string."""
         d = shifted_date("o_orderdate")
-        return self.raw("orders").select(d.alias("date"), F.year(d).cast("string").alias("year"))
+        return self.dated("orders", "o_orderdate", since, until).select(d.alias("date"), F.year(d).cast("string").alias("year"))
 
-    def channel_gmv_daily(self) -> DataFrame:
+    def channel_gmv_daily(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
         d = shifted_date("o_orderdate")
-        return self.raw("orders").select(
+        return self.dated("orders", "o_orderdate", since, until).select(
             (F.col("o_custkey") + 1).alias("_shop_key"),
             F.col("o_custkey").alias("shop_id"),
             F.trunc(d, "month").alias("month"),
@@ -392,19 +389,19 @@ class Warehouse:
             money("o_totalprice").alias("channel_gmv_usd"),
             (F.col("o_orderstatus") != "P").alias("is_platform_gmv"))
 
-    def channel_gmv_monthly(self) -> DataFrame:
+    def channel_gmv_monthly(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
         d = shifted_date("o_orderdate")
-        return self.raw("orders").select(
+        return self.dated("orders", "o_orderdate", since, until).select(
             F.col("o_custkey").alias("shop_id"),
             F.trunc(d, "month").alias("month_begin_date"),
             money("o_totalprice").alias("channel_gmv_usd"),
             (F.col("o_orderstatus") != "P").alias("is_platform_gmv"))
 
-    def checkout_daily(self) -> DataFrame:
+    def checkout_daily(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
         one = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
         gmv = money("o_totalprice")
         zero = F.lit(0).cast("decimal(18,2)")
-        return self.raw("orders").select(
+        return self.dated("orders", "o_orderdate", since, until).select(
             F.col("o_custkey").alias("shop_id"),
             shifted_date("o_orderdate").alias("date"),
             F.when(one, 1).otherwise(0).cast("bigint").alias("checkout_one_checkouts"),
@@ -412,21 +409,21 @@ class Warehouse:
             F.when(one, gmv).otherwise(zero).alias("checkout_one_gmv"),
             F.when(one, zero).otherwise(gmv).alias("checkout_classic_gmv"))
 
-    def shop_daily_gmv(self) -> DataFrame:
-        return self.raw("orders").select(
+    def shop_daily_gmv(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        return self.dated("orders", "o_orderdate", since, until).select(
             F.col("o_custkey").alias("shop_id"),
             shifted_date("o_orderdate").alias("date"),
             money("o_totalprice").alias("daily_gmv_amount_usd"))
 
-    def merchant_daily(self) -> DataFrame:
-        return self.raw("orders").select(
+    def merchant_daily(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        return self.dated("orders", "o_orderdate", since, until).select(
             (idiv("o_custkey", SHOPS_PER_MERCHANT) + 1).alias("_merchant_key"),
             shifted_date("o_orderdate").alias("date"),
             money("o_totalprice").alias("gmv"))
 
-    def shop_state_daily(self) -> DataFrame:
+    def shop_state_daily(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
         gmv = money("o_totalprice")
-        return self.raw("orders").select(
+        return self.dated("orders", "o_orderdate", since, until).select(
             F.col("o_custkey").alias("shop_id"),
             shifted("o_orderdate").alias("datetime"),
             gmv.alias("daily_gmv_usd"),
@@ -518,34 +515,41 @@ class Warehouse:
 
     # ------------------------------------------------------------------ funnel mart
     def opportunity_dim(self) -> DataFrame:
+        """Opportunities: one per order, closed at some hour of a quarter's first day."""
         o = self.raw("orders")
-        c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
+        c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        n = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
+        r = self.raw("region")
         region = country_of("c_nationkey", "region")
-        return o.join(c, "o_custkey").select(
+        path = F.when(F.col("r_regionkey") % 2 == 0, "Inbound").otherwise("Outbound")
+        closed = (F.date_trunc("quarter", shifted("o_orderdate")).cast("timestamp_ntz")
+                  + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int")))
+        return o.join(c, "o_custkey").join(n, "c_nationkey").join(r, "r_regionkey").select(
             F.col("o_orderkey").alias("_plus_opportunity_key"),
-            shifted("o_orderdate").alias("opportunity_closed_date"),
+            closed.alias("opportunity_closed_date"),
             (F.col("o_orderstatus") != "O").alias("is_closed"),
             (F.col("o_orderstatus") == "F").alias("is_won"),
-            money("o_totalprice").alias("monthly_contract_value"),
-            F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Sales")
-             .otherwise("Marketing").alias("cost_center"),
-            F.col("o_orderpriority").alias("cost_center_track"),
-            F.col("c_mktsegment").alias("market_segment"),
+            # five more digits, so that seven count
+            (money("o_totalprice") * F.lit("0.14285").cast("decimal(6,5)")).cast("decimal(25,7)").alias("monthly_contract_value"),
+            path.alias("cost_center"),
+            F.lower("r_name").alias("cost_center_track"),
+            F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Enterprise")
+             .when(F.col("o_orderpriority") == "3-MEDIUM", "Mid-Market").otherwise("SMB").alias("market_segment"),
             region.alias("inferred_region"),
             country_of("c_nationkey", "code").alias("inferred_country_code"),
             F.when(F.col("o_totalprice") >= 250000, "Large").otherwise("Core").alias("deal_type_category"),
             region.alias("sales_region"),
             F.when(F.col("o_orderstatus") == "F", "New").otherwise("Upgrade").alias("upgrade_type"),
-            F.concat(F.lit("src-"), F.col("c_mktsegment")).alias("attributed_source"))
+            F.concat(F.lit("source "), F.lower("r_name")).alias("attributed_source"))
 
     def attribution_facts(self) -> DataFrame:
         ln = F.col("l_linenumber")
-        weight = (F.when(ln == 1, F.lit("0.4")).when(ln == 2, F.lit("0.3")).otherwise(F.lit("0.1"))
-                  .cast("decimal(9,6)"))
+        weight = (F.when(ln == 1, F.lit("0.4")).when(ln == 2, F.lit("0.3333333333")).otherwise(F.lit("0.1"))
+                  .cast("decimal(12,10)"))
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("_plus_opportunity_key"),
-            F.col("l_partkey").alias("_revenue_touchpoint_attribution_key"),
-            F.col("l_suppkey").alias("_plus_marketing_channel_key"),
+            (F.col("l_partkey") % TOUCHPOINTS).alias("_revenue_touchpoint_attribution_key"),
+            (F.col("l_suppkey") % CHANNELS).alias("_plus_marketing_channel_key"),
             weight.alias("count_w_shaped"))
 
     def touchpoints(self) -> DataFrame:
@@ -585,10 +589,10 @@ class Warehouse:
         one = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
         return (self.raw("lineitem").join(s, "l_suppkey").join(n, "s_nationkey")
                 .select(
-                    shifted_date("l_shipdate").alias("date"),
+                    F.trunc(shifted("l_shipdate"), "quarter").alias("date"),
                     F.col("n_regionkey").alias("_source_key"),
-                    F.col("l_partkey").alias("_revenue_touchpoint_attribution_key"),
-                    F.col("l_suppkey").alias("_plus_marketing_channel_key"),
+                    (F.col("l_partkey") % TOUCHPOINTS).alias("_revenue_touchpoint_attribution_key"),
+                    (F.col("l_suppkey") % CHANNELS).alias("_plus_marketing_channel_key"),
                     F.when(rf == "A", "Enterprise").when(rf == "R", "Mid-Market")
                      .otherwise("SMB").alias("segment_for_quota"),
                     region.alias("merchant_region"),

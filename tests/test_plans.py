@@ -1,12 +1,18 @@
 """Plan checks: no cartesian products or Python UDFs, semi joins where cohorts are
 used, filters and column pruning reaching the parquet scans."""
 
+import re
+
 import pytest
 
 from merchlens.plans.catalog import QUERIES
 from conftest import SF_SMALL
 
 
+# members, history, opportunities, attribution and rollup
+LINEITEM_SCANS = 5
+
+
 def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -25,26 +31,86 @@ def test_cohorts_are_semi_joins(spark, name):
     assert "LeftSemi" in plan_text(QUERIES[name](spark, SF_SMALL))
 
 
-def test_filters_and_pruning_reach_the_scan(spark):
+DATED = {
+    "regional_app_gmv_monthly": "l_shipdate", "plan_vs_actual_monthly": "l_shipdate", "merchant_tracker": "l_shipdate",
+    "merchant_age_band_summary": "o_orderdate", "regional_merchant_list": "l_shipdate", "account_upgrade_targets": "o_orderdate",
+    "partner_outbound_list": "o_orderdate", "vendor_line_items": "l_shipdate", "gateway_gmv_monthly": "l_shipdate",
+    "channel_gmv_monthly": "o_orderdate", "app_gmv_monthly": "l_shipdate", "month_spine": "o_orderdate", "order_rollup": "l_shipdate",
+    "trailing_year_totals": "o_orderdate", "shop_totals_since": "o_orderdate", "activity_semi_join": "l_shipdate",
+    "threshold_after_agg": "o_orderdate", "complete_months": "o_orderdate",
+}
+
+
+@pytest.mark.parametrize("name", sorted(DATED))
+def test_date_range_reaches_the_scan(spark, name):
+    """A range comparison on the raw date column is among the scan's pushed filters (not only IsNotNull)."""
+    # The formatted plan prints each scan's pushed filters whole.
+    text = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = [line for line in text.splitlines() if line.startswith("PushedFilters")]
+    assert any(re.search(rf"(GreaterThan|GreaterThanOrEqual|LessThan|LessThanOrEqual)\({DATED[name]},", line) for line in pushed), pushed
+
+
+def test_scan_bounds_drop_no_needed_row(spark):
+    """Around leap days and year ends, every row that the report's own filter keeps is inside the bounds."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from merchlens.sources.constants import YEAR_SHIFT
+    from merchlens.sources.warehouse import Warehouse, shifted_date
+    days = [dt.datetime(y, m, d, h) for y in (1996, 1997, 1999, 2000) for m, d in ((1, 1), (2, 28), (3, 1), (12, 31)) for h in (0, 23)]
+    days += [dt.datetime(y, 2, 29, 12) for y in (1996, 2000)]
+    df = spark.createDataFrame([(x,) for x in days], "d timestamp_ntz")
+    for day in days:
+        cut = dt.date(day.year + YEAR_SHIFT, day.month, day.day)
+        for since, until in ((cut, None), (None, cut)):
+            want = F.col("day") >= F.lit(cut) if since else F.col("day") <= F.lit(cut)
+            seen = df.select("d", shifted_date("d").alias("day")).where(want)
+            assert seen.count() == Warehouse.bounded(seen, "d", since, until).count()
+
+
+def test_only_needed_columns_are_read(spark):
     text = plan_text(QUERIES["regional_merchant_list"](spark, SF_SMALL))
-    # the date filter of the activity semi join is pushed to the lineitem scan
-    assert "PushedFilters: [IsNotNull(l_shipdate)" in text or "GreaterThanOrEqual(l_shipdate" in text
-    # only the needed lineitem columns are read
-    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "lineitem" in line]
-    assert scans and all("l_comment" not in s and "l_tax" not in s for s in scans)
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "l_shipdate" in line]
+    assert scans and all("l_tax" not in s and "l_quantity" not in s for s in scans)
+
+
+def test_activity_keys_are_distinct_before_the_shuffle(spark):
+    """A partial aggregate on the key stands below the exchange of the facts."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("activity_semi_join", "regional_merchant_list"):
+            text = plan_text(QUERIES[name](spark, SF_SMALL))
+            assert re.search(r"Exchange hashpartitioning\(_shop_key#\d+L, \d+\)[^\n]*\n[^\n]*HashAggregate\(keys=\[_shop_key#\d+L\], functions=\[\]", text), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_outbound_filters_are_comparisons(spark):
+    for name in ("partner_outbound_list", "calendar_age_filter"):
+        assert "datediff" not in plan_text(QUERIES[name](spark, SF_SMALL)).lower()
+
+
+def test_scorecard_reads_each_table_once_a_use(spark):
+    """Executed plan: members, history and opportunities once each, and the two inputs of the name set."""
+    df = QUERIES["campaign_scorecard"](spark, SF_SMALL)
+    df.collect()
+    final = plan_text(df).split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan parquet" in line and "[l_" in line]
+    assert len(scans) <= LINEITEM_SCANS, scans
 
 
 def test_outbound_list_never_pairs_facts_with_snapshots(spark):
     """Q10 joins one pre-aggregated snapshot row per shop, never fact x snapshot pairs."""
     text = plan_text(QUERIES["partner_outbound_list"](spark, SF_SMALL))
     # the snapshot is aggregated per shop (the join key) before it is joined
-    import re
     assert re.search(r"HashAggregate\(keys=\[shop_id#\d+L\], functions=\[sum\(daily_gmv_usd", text)
 
 
 def test_mart_regrain_is_not_partitioned_by_country(spark):
     """The country label is a broadcast join, so no exchange partitions the mart by country alone."""
-    import re
     text = plan_text(QUERIES["kpi_mart"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in text
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", text)

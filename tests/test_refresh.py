@@ -1,5 +1,7 @@
 """The multi-report job gives the same results as the queries run one by one."""
 
+import os
+
 from compare import normalise
 from conftest import SF_SMALL
 from merchlens.plans.catalog import QUERIES
@@ -12,6 +14,8 @@ NAMES = ["regional_app_gmv_monthly", "merchant_tracker", "campaign_scorecard", "
 def test_refresh_matches_direct_queries(spark):
     written = refresh_reports(spark, SF_SMALL, names=NAMES)
     assert set(written) == set(NAMES)
+    base = os.path.dirname(os.path.dirname(written[NAMES[0]]))
+    assert os.listdir(base) == ["reports"]  # the shared tables are gone
     for name, path in written.items():
         got = spark.read.parquet(path)
         want = QUERIES[name](spark, SF_SMALL)
