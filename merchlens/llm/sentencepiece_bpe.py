@@ -40,6 +40,8 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, STREAMS, SEED = 0.1, 4, 17
 MARK = "▁"
 LONG_WORD = 64  # characters; longer words use a heap each
+BLOCK_CELLS = 1 << 18  # symbols of the words merged together
+ENCODE_BYTES, DECODE_IDS = 1 << 20, 200_000  # of the texts encoded or decoded in one numpy pass
 _NONE = np.int32(2**31 - 1)
 _CODES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -155,8 +157,9 @@ def merge_words(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, str
     edges = [1, 4, 8, 12, 16, 24, 40, LONG_WORD]
     for low, high in zip(edges, edges[1:], strict=False):
         words = np.flatnonzero((lengths > low) & (lengths <= high))
-        for at in range(0, len(words), 1 << 15):
-            part = words[at:at + (1 << 15)]
+        rows = BLOCK_CELLS // high
+        for at in range(0, len(words), rows):
+            part = words[at:at + rows]
             cells = first[part][:, None] + np.arange(high)
             inside = np.arange(high) < lengths[part][:, None]
             ids = np.where(inside, symbols[np.minimum(cells, len(symbols) - 1)], -1)
@@ -173,8 +176,8 @@ def merge_words(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, str
 def _merge_block(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, streams: np.ndarray, dropout: float, seed: int) -> np.ndarray:
     """Merge the rows of ``ids`` in place; which cells are left."""
     n, width = ids.shape
-    after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
-    before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
+    after = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()
+    before = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy()
     made = np.full((n, width), -1, np.int32)
     rank = np.full((n, width), _NONE, np.int32)
     kept = np.ones((n, width), bool)
@@ -270,7 +273,19 @@ def encode_texts(vocab: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys:
 
 
 def decode_texts(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts, and how many each has."""
+    """Bytes of the texts, and how many each has; whole texts of about ``DECODE_IDS`` ids at a time."""
+    ends, parts, row = np.cumsum(counts), [], 0
+    while row < len(counts):
+        begin = int(ends[row] - counts[row])
+        end = max(row + 1, int(np.searchsorted(ends, begin + DECODE_IDS, "right")))
+        parts.append(_decode_part(vocab, ids[begin:int(ends[end - 1])], counts[row:end]))
+        row = end
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _decode_part(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(vocab.piece_ends)[ids]
     raw = vocab.piece_bytes[_ragged(vocab.piece_ends[ids], sizes)]
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
@@ -291,7 +306,7 @@ def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row_keys = batch.column(len(batch.columns) - 1).to_numpy()
-            for lo, hi, data, bounds in text_chunks(batch.column(at)):
+            for lo, hi, data, bounds in text_chunks(batch.column(at), ENCODE_BYTES):
                 ids, counts = encode_texts(shared.value, data, bounds, row_keys[lo:hi], dropout, streams, seed)
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)), mask=batch.column(at)[lo:hi].is_null())
