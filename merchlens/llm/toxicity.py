@@ -37,8 +37,8 @@ GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIM = 8
 WINDOW = 2
-SAMPLE = {0: 2500, 1: 1500}
-WINDOWS_PER_TEXT = 800
+SAMPLE = {0: 2000, 1: 1200}
+WINDOWS_PER_TEXT = 500
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,6 +114,17 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+def _grams_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of single words, one word after the other, and how many each has; a slice of words at a time."""
+    grams, counts = [], []
+    for at in range(0, len(starts), at_once):
+        first, lengths = starts[at:at + at_once], ends[at:at + at_once] - starts[at:at + at_once]
+        buckets, owner, _ = word_grams(data[_ragged(first, lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+        grams.append(buckets[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(first)))
+    return np.concatenate(grams), np.concatenate(counts)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.6, keep_windows: float = 0.5, seed: int = 5) -> Model:
     """Fit embeddings and softmax together by AdaGrad on batches of texts."""
     rng = np.random.default_rng(seed)
@@ -125,10 +136,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
     hashes, starts, ends = hash_words(data, bounds, ALNUM)
     counts = word_counts(starts, bounds)
     _, rep, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths = ends[rep] - starts[rep]
-    grams, owner, _ = word_grams(data[_ragged(starts[rep], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
-    order = np.argsort(owner, kind="stable")
-    grams, per_kind = grams[order], np.bincount(owner, minlength=len(rep))
+    kind = kind.astype(np.int32)
+    grams, per_kind = _grams_of_words(data, starts[rep], ends[rep])
+    del starts, ends, data, rep
     first_gram = np.cumsum(per_kind) - per_kind
     first_word = np.cumsum(counts) - counts
     E = rng.normal(0, 0.1, (buckets_n, DIM)).astype(np.float32)
@@ -170,7 +180,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
                 value[where] -= rate * grad / np.sqrt(square[where])
     model = Model((E @ (U[:, 1] - U[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     # Scale of the most toxic window's logit, by a logistic fit on the sample.
-    z = model.scores(data, bounds)
+    z = np.concatenate([model.scores(d, b) for _, _, d, b in text_chunks(pa.array(texts, pa.large_string()), 1 << 18)])
     z = np.log(z / (1 - z)).clip(-12, 12)
     a, b = 1.0, 0.0
     for _ in range(200):
