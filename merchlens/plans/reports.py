@@ -72,27 +72,27 @@ def regional_app_gmv_monthly(daily_gmv: DataFrame, shops: DataFrame, merchants:
     cohort = shops.filter(F.col("shop_country_code").isin(list(countries)))
     facts = daily_gmv.filter(F.col("date") > lit_date(since))
     facts = cohort_semi_join(facts, cohort.select("_shop_key"), "_shop_key")
-    pre = (facts.groupBy("_shop_key", "_api_client_key", "api_client_id", month_start("date").alias("month"))
+    monthly = (facts.groupBy("_shop_key", "_api_client_key", "api_client_id", month_start("date").alias("month"))
            .agg(*[F.sum(m).alias(m) for m in Q01_MEASURES]))
-    enriched = pre.join(cohort.select("_shop_key", *shop_cols), "_shop_key")
+    enriched = monthly.join(cohort.select("_shop_key", *shop_cols), "_shop_key")
     enriched = star_enrich(enriched, [
         (api_clients, "_api_client_key", ["app_name", "app_type", "name", "channel_provider_name",
                                           "handle", "app_handle", "partner_id",
                                           "application_developer_shop_id"]),
     ])
-    pmd = merchants.select(F.col("merchant_id").alias("current_merchant_id"),
+    managers = merchants.select(F.col("merchant_id").alias("current_merchant_id"),
                            "current_merchant_success_manager")
     partner = partners.select(F.col("platform_partner_id").alias("partner_id"),
                               F.col("platform_partner_id"), "partner_company_name", "partner_url",
                               "partner_name")
-    shops2 = shops.select(F.col("shop_id").alias("application_developer_shop_id"),
+    developers = shops.select(F.col("shop_id").alias("application_developer_shop_id"),
                           F.col("current_merchant_name").alias("developer_merchant_name"))
     # Apps without a partner don't enter the join: their null key would be one partition.
     bare = enriched.filter(F.col("partner_id").isNull()).withColumns(
         {f.name: F.lit(None).cast(f.dataType) for f in partner.schema.fields if f.name != "partner_id"})
     enriched = enriched.filter(F.col("partner_id").isNotNull()).join(partner, "partner_id", "left").unionByName(bare)
-    enriched = (enriched.join(pmd, "current_merchant_id", "left")
-                .join(shops2, "application_developer_shop_id", "left"))
+    enriched = (enriched.join(managers, "current_merchant_id", "left")
+                .join(developers, "application_developer_shop_id", "left"))
     enriched = party_fallback(enriched, "platform_partner_id", "application_developer_shop_id",
                               "partner_name", "developer_merchant_name")
     return (enriched.groupBy(*Q01_COLUMNS)
@@ -143,27 +143,27 @@ def merchant_tracker(lookup: DataFrame, merchants: DataFrame, shops: DataFrame,
     cohort. Ordered by merchant key.
     """
     active = merchants.filter((F.col("country_code") == country) & F.col("is_active"))
-    t1 = cohort_semi_join(lookup.select("_merchant_key", "shop_id"), active.select("_merchant_key"),
+    pairs = cohort_semi_join(lookup.select("_merchant_key", "shop_id"), active.select("_merchant_key"),
                           "_merchant_key").distinct()
-    cohort_shops = t1.select("shop_id")
+    cohort_shops = pairs.select("shop_id")
     after = F.col("date") > lit_date(since)
-    t2 = shops.select("shop_id", "shop_name", "shop_domain", "currently_associated_platform_partner_id",
+    shop_names = shops.select("shop_id", "shop_name", "shop_domain", "currently_associated_platform_partner_id",
                       "currently_associated_partner_name")  # the join from the cohort restricts it
-    t3 = active.select("_merchant_key", "merchant_name", "current_msm_name")
-    t4 = shop_totals_since(checkout_daily, "shop_id", {
+    merchant_names = active.select("_merchant_key", "merchant_name", "current_msm_name")
+    checkouts = shop_totals_since(checkout_daily, "shop_id", {
         "checkout_one_checkouts_annualized": "checkout_one_checkouts",
         "checkout_classic_checkouts_annualized": "checkout_classic_checkouts",
         "checkout_one_gmv_annualized": "checkout_one_gmv",
         "checkout_classic_gmv_annualized": "checkout_classic_gmv",
     }, after, cohort_shops)
-    t5 = shop_totals_since(hijack_daily, "shop_id", {"hijack_gmv_annualized": "total_off_platform_gmv_usd"},
+    off_platform = shop_totals_since(hijack_daily, "shop_id", {"hijack_gmv_annualized": "total_off_platform_gmv_usd"},
                            after, cohort_shops)
-    t6 = shop_totals_since(gmv_daily, "shop_id", {"platform_gmv_annualized": "daily_gmv_amount_usd"},
+    platform = shop_totals_since(gmv_daily, "shop_id", {"platform_gmv_annualized": "daily_gmv_amount_usd"},
                            after, cohort_shops)
-    t7 = migration.select("shop_id", "is_on_c1", "migration_experience_type")
-    out = (t1.join(t2, "shop_id", "left").join(t3, "_merchant_key", "left")
-           .join(t4, "shop_id", "left").join(t5, "shop_id", "left").join(t6, "shop_id", "left")
-           .join(t7, "shop_id", "left"))
+    migrated = migration.select("shop_id", "is_on_c1", "migration_experience_type")
+    out = (pairs.join(shop_names, "shop_id", "left").join(merchant_names, "_merchant_key", "left")
+           .join(checkouts, "shop_id", "left").join(off_platform, "shop_id", "left").join(platform, "shop_id", "left")
+           .join(migrated, "shop_id", "left"))
     return out.select(
         "_merchant_key", "shop_id", "shop_name", "shop_domain", "currently_associated_platform_partner_id",
         "currently_associated_partner_name", "merchant_name", "current_msm_name",
@@ -203,9 +203,9 @@ def campaign_leads_extract(campaigns: DataFrame, members: DataFrame, leads: Data
     reference outputs twice, is output once (S10).
     """
     selected = campaign_selector(campaigns, kpi_names, since=since)
-    t1 = campaign_members_mql(selected, members, leads, leads_history, domain_suffix=domain_suffix)
-    conv = stage_pivot(opportunities, campaign_ids=selected.select(F.col("id").alias("campaign_id")))
-    return t1.join(conv, "campaign_id", "left").select(
+    counts = campaign_members_mql(selected, members, leads, leads_history, domain_suffix=domain_suffix)
+    stages = stage_pivot(opportunities, campaign_ids=selected.select(F.col("id").alias("campaign_id")))
+    return counts.join(stages, "campaign_id", "left").select(
         "created_date", "campaign_id", "name", "members", "MQL", "net_new_mql",
         "closed_won_amount", "closed_lost_amount", "in_progress_amount",
         "closed_won_optys", "closed_lost_optys", "in_progress_optys")
@@ -227,10 +227,10 @@ def checkout_duration_by_event(checkout_events: DataFrame, checkout_facts: DataF
     """
     secs = (F.unix_seconds(F.col("completed_at").cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
             if elapsed else time_of_day_diff_seconds("completed_at", "created_at"))
-    t2 = checkout_facts.select("checkout_token", "is_pay_user_at_time_of_checkout",
+    durations = checkout_facts.select("checkout_token", "is_pay_user_at_time_of_checkout",
                                secs.alias("secs"))
     joined = checkout_events.select("shop_id", "event_name", "checkout_token").join(
-        t2, "checkout_token", "left")
+        durations, "checkout_token", "left")
     return (joined.groupBy("shop_id", "event_name", "is_pay_user_at_time_of_checkout")
             .agg(F.avg("secs").alias("time_taken"), F.count("checkout_token").alias("total_checkouts")))
 
@@ -240,12 +240,12 @@ def merchant_age_band_summary(merchants: DataFrame, region_map: DataFrame, merch
                               region: str = "APAC", as_of: str | dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Q07: per (merchant, subregion, GMV band, country, age in months):
     trailing-year GMV, count of merchant keys and count of non-null shop counts (S4)."""
-    t1 = merchants.filter((F.col("geographic_region_code") == region)
+    included = merchants.filter((F.col("geographic_region_code") == region)
                           & F.col("is_included_in_historical_reporting") & F.col("is_active"))
-    t2 = region_map.select("country_code", "commercial_subregion_code")
-    t3 = trailing_year_totals(merchant_daily, "_merchant_key", "gmv", as_of=as_of)
-    t3 = cohort_semi_join(t3, t1.select("_merchant_key"), "_merchant_key")
-    joined = t1.join(t2, "country_code", "left").join(t3, "_merchant_key", "left")
+    subregions = region_map.select("country_code", "commercial_subregion_code")
+    last_year = trailing_year_totals(merchant_daily, "_merchant_key", "gmv", as_of=as_of)
+    last_year = cohort_semi_join(last_year, included.select("_merchant_key"), "_merchant_key")
+    joined = included.join(subregions, "country_code", "left").join(last_year, "_merchant_key", "left")
     return (joined.groupBy("_merchant_key", "commercial_subregion_code", "latest_annualized_gmv_band",
                            "country_name",
                            month_boundaries_between("first_contract_start_date", _d(as_of)).alias("age_in_months"))
@@ -260,13 +260,13 @@ def regional_merchant_list(shops: DataFrame, channel_gmv: DataFrame, gmv_facts:
                            since: str | dt.date = "2021-12-31") -> DataFrame:
     """Q08: shops of ``countries`` with reported GMV after ``since``, with their
     channel GMV after ``since``, ordered by that GMV (descending, nulls last)."""
-    t1 = shops.filter(F.col("shop_country_code").isin(list(countries)))
-    t1 = activity_semi_join(t1, gmv_facts, "_shop_key", F.col("reported_at") >= _day_after_ts(since))
-    t1 = t1.select("shop_id", "current_merchant_name", "facebook_social_handle", "instagram_social_handle",
+    listed = shops.filter(F.col("shop_country_code").isin(list(countries)))
+    listed = activity_semi_join(listed, gmv_facts, "_shop_key", F.col("reported_at") >= _day_after_ts(since))
+    listed = listed.select("shop_id", "current_merchant_name", "facebook_social_handle", "instagram_social_handle",
                    "shop_company_name", "shop_domain", "shop_name")
-    t2 = shop_totals_since(channel_gmv, "shop_id", {"shop_gmv": "channel_gmv_usd"},
-                           F.col("date") > lit_date(since), t1.select("shop_id"))
-    return t1.join(t2, "shop_id", "left").orderBy(F.col("shop_gmv").desc_nulls_last())
+    totals = shop_totals_since(channel_gmv, "shop_id", {"shop_gmv": "channel_gmv_usd"},
+                           F.col("date") > lit_date(since), listed.select("shop_id"))
+    return listed.join(totals, "shop_id", "left").orderBy(F.col("shop_gmv").desc_nulls_last())
 
 
 # ----------------------------------------------------------------------------- Q09
@@ -279,9 +279,9 @@ def account_upgrade_targets(monthly_gmv: DataFrame, shops: DataFrame, account_lo
     cohort = shops.filter((F.col("shop_country_code") == country) & (F.col("current_plan_name") != plan)
                           & (F.col("using_platform_payments") == payments)).select("shop_id")
     facts = monthly_gmv.filter(F.col("is_platform_gmv") & year_in(F.col("month_begin_date"), [year]))
-    t1 = shop_totals_since(facts, "shop_id", {"sum_gmv": "channel_gmv_usd"}, None, cohort)
-    t1 = threshold_after_agg(t1, "sum_gmv", min_gmv)
-    out = (t1.join(account_lookup.select("shop_id", "account_id"), "shop_id", "left")
+    sellers = shop_totals_since(facts, "shop_id", {"sum_gmv": "channel_gmv_usd"}, None, cohort)
+    sellers = threshold_after_agg(sellers, "sum_gmv", min_gmv)
+    out = (sellers.join(account_lookup.select("shop_id", "account_id"), "shop_id", "left")
            .join(accounts, F.col("account_id") == accounts["id"], "left"))
     return out.select("shop_id", F.col("sum_gmv").alias("annual_gmv"), *accounts.columns)
 
@@ -306,45 +306,45 @@ def partner_outbound_list(state_facts: DataFrame, merchants: DataFrame, region_m
     never formed.
     """
     as_of = _d(as_of)
-    f = state_facts.filter(
+    transitions = state_facts.filter(
         ((F.coalesce("activation_count", F.lit(0)) > 0) | (F.coalesce("plus_upgrade_count", F.lit(0)) > 0))
         & (F.col("transition_at") >= lit_ts(dt.datetime.combine(_d(since), dt.time())))
         & transitions_of_age(as_of, min_age_days))
-    md = merchants.filter(F.col("currently_associated_referral_type").isin(list(referral_types))
+    referred = merchants.filter(F.col("currently_associated_referral_type").isin(list(referral_types))
                           & (F.col("merchant_type") == merchant_type)
                           & (F.col("merchant_country_name") == country_name)
                           & (F.col("current_merchant_active_status") == status)).select(
         "_merchant_key", "merchant_id", "merchant_name", "merchant_country_name",
         "currently_associated_platform_partner_id", "current_merchant_primary_shop_id")
-    cmd = region_map.filter(F.col("commercial_region_code") == region).select("_commercial_region_mapping_key")
-    pd_ = partners.filter((F.col("current_commercial_region_code") == region)
+    region_keys = region_map.filter(F.col("commercial_region_code") == region).select("_commercial_region_mapping_key")
+    local_partners = partners.filter((F.col("current_commercial_region_code") == region)
                           & (F.col("partner_country") == partner_country)).select(
         F.col("platform_partner_id").alias("currently_associated_platform_partner_id"),
         "partner_name", "partner_country_name", "current_partner_manager")
-    sd = shops.select(F.col("shop_id").alias("current_merchant_primary_shop_id"),
+    payment_flags = shops.select(F.col("shop_id").alias("current_merchant_primary_shop_id"),
                       "eligible_for_platform_payments", "using_platform_payments")
-    ssd = (shop_daily.filter(F.col("datetime") >= lit_ts(dt.datetime.combine(as_of - dt.timedelta(days=window_days), dt.time())))
+    window_totals = (shop_daily.filter(F.col("datetime") >= lit_ts(dt.datetime.combine(as_of - dt.timedelta(days=window_days), dt.time())))
            .groupBy(F.col("shop_id").alias("current_merchant_primary_shop_id"))
            .agg(F.sum("daily_gmv_usd").alias("gmv_window"),
                 F.sum("daily_gross_platform_payments_revenue_amount_usd").alias("revenue_window")))
-    joined = (f.join(md, "_merchant_key").join(cmd, "_commercial_region_mapping_key")
-              .join(pd_, "currently_associated_platform_partner_id")
-              .join(sd, "current_merchant_primary_shop_id")
-              .join(ssd, "current_merchant_primary_shop_id"))
-    agg = (joined.groupBy("merchant_id", "merchant_name", "merchant_country_name", "partner_name",
+    joined = (transitions.join(referred, "_merchant_key").join(region_keys, "_commercial_region_mapping_key")
+              .join(local_partners, "currently_associated_platform_partner_id")
+              .join(payment_flags, "current_merchant_primary_shop_id")
+              .join(window_totals, "current_merchant_primary_shop_id"))
+    summed = (joined.groupBy("merchant_id", "merchant_name", "merchant_country_name", "partner_name",
                           "partner_country_name", "current_partner_manager", "eligible_for_platform_payments",
                           "using_platform_payments", F.col("transition_at").alias("Transition_Date"))
            .agg(F.sum("gmv_window").alias("gmv_total"), F.sum("revenue_window").alias("revenue_total")))
-    t1 = threshold_after_agg(agg, "gmv_total", min_gmv, strict=False).select(
+    moves = threshold_after_agg(summed, "gmv_total", min_gmv, strict=False).select(
         "merchant_id", "merchant_name", "merchant_country_name", "partner_name", "partner_country_name",
         "current_partner_manager", "eligible_for_platform_payments", "using_platform_payments", "Transition_Date",
         round_half_away_to_long("gmv_total").alias("GMV_L12M"),
         round_half_away_to_long("revenue_total").alias("Payments_Revenue_L12M"))
-    t2 = outbound.select("merchant_id", "collaborators", "became_customer_at", "first_sale_at",
+    contacts = outbound.select("merchant_id", "collaborators", "became_customer_at", "first_sale_at",
                          "current_plan_name", "shop_internal_dashboard_url", "shop_permanent_domain",
                          "primary_industry", "apps_score", "top_apps_installed", "last_30d_online_gmv",
                          "last_90d_online_gmv", "last_180d_online_gmv")
-    return t1.join(t2, "merchant_id", "left")
+    return moves.join(contacts, "merchant_id", "left")
 
 
 # ----------------------------------------------------------------------------- Q11
@@ -352,9 +352,9 @@ def churn_risk_list(merchants: DataFrame, shops: DataFrame, *, country_name: str
                     as_of: str | dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Q11: active merchants of a country with success manager, partner name,
     age in calendar months and GMV band."""
-    t1 = merchants.filter((F.col("country_name") == country_name) & F.col("is_active"))
-    t2 = shops.select(F.col("shop_id").alias("current_primary_shop_id"), "currently_associated_partner_name")
-    return t1.join(t2, "current_primary_shop_id", "left").select(
+    active = merchants.filter((F.col("country_name") == country_name) & F.col("is_active"))
+    primary_shops = shops.select(F.col("shop_id").alias("current_primary_shop_id"), "currently_associated_partner_name")
+    return active.join(primary_shops, "current_primary_shop_id", "left").select(
         "merchant_name", "current_msm_name", "currently_associated_partner_name",
         month_boundaries_between("first_contract_start_date", _d(as_of)).alias("age_in_months"),
         "latest_annualized_gmv_band")
@@ -379,8 +379,8 @@ def vendor_line_items(line_items: DataFrame, gmv_facts: DataFrame, products: Dat
              .withColumn("order_key", F.col("order_id").cast("string")))
     orders = order_rollup(gmv_facts.join(items.select(F.col("order_key").alias("order_id")),
                                          "order_id", "left_semi"), after_year=after_year)
-    t1 = items.join(orders.withColumnRenamed("order_id", "order_key"), "order_key", "left").select(
+    priced = items.join(orders.withColumnRenamed("order_id", "order_key"), "order_key", "left").select(
         "created_at", "order_id", "shop_id", "title", "quantity", "price", "order_gmv",
         "payment_gateway_key", "fulfillment_status")
-    gw = gateways.select(F.col("_payment_gateway_key").alias("payment_gateway_key"), "payment_gateway_category")
-    return t1.join(gw, "payment_gateway_key", "left").select(*t1.columns, "payment_gateway_category")
+    categories = gateways.select(F.col("_payment_gateway_key").alias("payment_gateway_key"), "payment_gateway_category")
+    return priced.join(categories, "payment_gateway_key", "left").select(*priced.columns, "payment_gateway_category")
