@@ -125,7 +125,7 @@ def _grams_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_o
     return np.concatenate(grams), np.concatenate(counts)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.6, keep_windows: float = 0.5, seed: int = 5) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.4, keep_windows: float = 0.5, seed: int = 5) -> Model:
     """Fit embeddings and softmax together by AdaGrad on batches of texts."""
     rng = np.random.default_rng(seed)
     buckets_n = 1 << BUCKET_BITS
