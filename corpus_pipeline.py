@@ -17,6 +17,7 @@ from merchlens.llm.shared import documents, unused, written
 
 LANGUAGE_SCORE = 0.5  # a text whose best language has less is rejected, as one without a letter is
 TOXIC_SCORE = 0.5
+SHINGLE, SIMILARITY = 5, (80, 100)  # near duplicates: words of a shingle, least Jaccard similarity
 
 
 def _rows(docs: DataFrame, of: DataFrame, how: str) -> DataFrame:
@@ -41,7 +42,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the least id."""
-    classes = written(jaccard_join.jaccard_classes(docs), "pipeline-classes")
+    classes = written(jaccard_join.jaccard_classes(docs, n=SHINGLE, threshold=SIMILARITY), "pipeline-classes")
     rows = classes.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
     # A component's id is null only if all its ids are: then its least text hash stays.
     stays = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("s"))

@@ -5,12 +5,13 @@ are one class from the start.
 
 Tiles. Sizes are cut into bands so wide that linked sets lie in the same or
 neighbouring bands. In a band whose sets differ by at most k elements when
-linked, the hash space is cut into k + 2 parts: two linked sets agree wholly
-in at least two parts. A tile is (band, part, what the set holds there); two
-linked sets meet in a tile of a part that isn't empty, or both have the same
-two empty parts, which is a tile of its own. So no link is missed, and a
-passage that many texts share makes no tile, because other elements fall
-into the same parts.
+linked, the hash space is cut into k + c parts, so two linked sets agree
+wholly in at least c of them. A tile is (band, part, what the set holds
+there). If one of the two has fewer than c empty parts, they meet in a tile
+that isn't empty; c is chosen so that almost every set of the band has fewer,
+and the few others of a band have one tile more, which is common to them. So
+no link is missed, and a passage that many texts share makes few tiles,
+because other elements fall into the same parts.
 
 Links. Every set is compared with the first and the last set of its tiles;
 components are formed; in tiles that still hold several components a few
@@ -18,9 +19,10 @@ leading sets are compared with all others, as long as that finds many links.
 So a group of copies costs rows in proportion to its size. What is left of
 tiles with several components is compared whole, in pairs of blocks of bounded
 size, where only pairs of different components that the bitmaps can't rule out
-become rows. So all pairs of a tile that could join two components are compared. A comparison bounds the overlap from
-above by bit counts of two bitmaps (each bit that only one set has stands for
-an element that only it has) and intersects the arrays of the pairs left.
+become rows. So all pairs of a tile that could join two components are
+compared. A comparison bounds the overlap from above by bit counts of two
+bitmaps (each bit that only one set has stands for an element that only it
+has) and intersects the arrays of the pairs left.
 
 Two filters (tiles with several sets, texts that are candidates) are hashed
 bitmaps of fixed size, built in Spark; what they let through by chance is
@@ -33,6 +35,7 @@ id unless all ids are null; input columns other than id and text are not used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -59,6 +62,7 @@ class Bands:
     def __init__(self, a: int, b: int):
         self.a, self.b = a, b
         self.lows = [-(-b // (b - a))]  # below it, linked sets are equal
+        self.sizes: list[tuple[int, int]] = []
 
     def low(self, i: int) -> int:
         while len(self.lows) <= i:  # two steps of the threshold a band
@@ -66,17 +70,29 @@ class Bands:
             self.lows.append(max(last + 1, -(-last * self.b * self.b // (self.a * self.a))))
         return self.lows[i]
 
-    def parts(self, i: int) -> int:
-        return 2 * (self.low(i + 1) - 1) * (self.b - self.a) // (self.b + self.a) + 2
-
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(band, parts) of the tiles of a set of n elements."""
+    def parts(self, i: int) -> tuple[int, int]:
+        """k + c parts and the surplus c: more than the empty parts of the band's smallest set by four deviations."""
+        while len(self.sizes) <= i:
+            at = len(self.sizes)
+            k, c = 2 * (self.low(at + 1) - 1) * (self.b - self.a) // (self.b + self.a), 1
+            for _ in range(100):
+                full = self.low(at) / (k + c)  # elements a part
+                empty = (k + c) * math.exp(-full)
+                most = empty + 4 * math.sqrt(empty * (1 - (1 + full) * math.exp(-full)))
+                if c > most:
+                    break
+                c = int(most) + 1
+            self.sizes.append((k + c, c))
+        return self.sizes[i]
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, parts, surplus) of the tiles of a set of n elements."""
         i = 0
         while n >= self.low(i + 1):
             i += 1
         own = [i] if n >= self.low(0) else []
         after = i + 1 if own else 0
-        return [(x, self.parts(x)) for x in own + ([after] if n * self.b >= self.a * self.low(after) else [])]
+        return [(x, *self.parts(x)) for x in own + ([after] if n * self.b >= self.a * self.low(after) else [])]
 
 
 @lru_cache(maxsize=4096)
@@ -92,15 +108,14 @@ def _salts(band: int, parts: int) -> np.ndarray:
 def tile_keys(elements: np.ndarray, sums: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of the tiles of a sorted set; ``sums``: running sums of its mixed elements, from 0."""
     out = []
-    for band, parts in bands.of(len(elements)):
+    for band, parts, surplus in bands.of(len(elements)):
         at = np.concatenate([[0], np.searchsorted(elements, _edges(parts)), [len(elements)]])
         salts = _salts(band, parts)
         full = at[1:] > at[:-1]
         with np.errstate(over="ignore"):
             out.append(mix((sums[at[1:]] - sums[at[:-1]] + salts)[full]))
-            empty = salts[~full]
-            for i in range(len(empty) - 1):
-                out.append(mix(empty[i] * np.uint64(3) + empty[i + 1:] * np.uint64(5)))
+        if parts - np.count_nonzero(full) >= surplus:
+            out.append(mix(np.array([band + 1], np.uint64) << np.uint64(20)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -128,25 +143,37 @@ def _set_id(elements: np.ndarray, sums: np.ndarray) -> int:
         return int(mix(sums[-1:] + np.uint64(len(elements)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
 
 
-def _first_pass(n: int, a: int, b: int):
+def _set_pass(n: int):
+    """Size and id of every row's set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(a, b), set()
         for batch in batches:
             for lo, hi, data, bounds in text_chunks(batch.column(2)):
-                sizes, ids, keys = [], [], []
+                sets = list(text_sets(data, bounds, n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([_set_id(s, _sums(s)) if len(s) else None for s in sets], pa.int64())], names=["id", "text_key", "n", "set_id"])
+    return run
+
+
+def _tile_pass(n: int, a: int, b: int, wanted=None):
+    """Rows (tile, set id), of the tiles that ``wanted`` lets through; a task sends the tiles of equal sets once."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(a, b), set()
+        for batch in batches:
+            for _, _, data, bounds in text_chunks(batch.column(0)):
+                tiles, ids = [], []
                 for elements in text_sets(data, bounds, n):
                     sums = _sums(elements)
-                    key = _set_id(elements, sums) if len(elements) else None
-                    sizes.append(len(elements))
-                    ids.append(key)
-                    # A task sends the tiles of equal sets once.
-                    keys.append(tile_keys(elements, sums, bands) if key is not None and key not in seen else np.zeros(0, np.uint64))
+                    if not len(elements) or (key := _set_id(elements, sums)) in seen:
+                        continue
                     seen.add(key)
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))],
-                    names=["id", "text_key", "n", "set_id", "tiles"])
+                    keys = tile_keys(elements, sums, bands).view(np.int64)
+                    if wanted is not None:
+                        keys = keys[wanted.value(keys)]
+                    tiles.append(keys)
+                    ids.append(np.full(len(keys), key))
+                if tiles:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles)), pa.array(np.concatenate(ids).astype(np.int64))], names=["tile", "set_id"])
     return run
 
 
@@ -191,17 +218,6 @@ def hashed_filter(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(HashedFilter({r["number"]: bytes(r["bits"]) for r in rows}))
 
 
-def _tile_rows(wanted):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            tiles = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            at = np.flatnonzero(wanted.value(tiles))
-            yield pa.RecordBatch.from_arrays([pa.array(tiles[at]), batch.column(0).take(pa.array(owner[at]))], names=["tile", "set_id"])
-    return run
-
-
 def _overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -288,10 +304,12 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     a, b = threshold
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    found = written(rows.mapInArrow(_first_pass(n, a, b), f"id {kind}, text_key bigint, n bigint, set_id bigint, tiles array<bigint>"), "jaccard-sets")
-    own = found.where(F.size("tiles") > 0).select("set_id", "tiles")
-    shared = written(own.select("set_id", F.explode("tiles").alias("tile")).groupBy("tile").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high"), "jaccard-tiles")
-    members = own.mapInArrow(_tile_rows(hashed_filter(shared, "tile")), "tile bigint, set_id bigint").join(shared, "tile").groupBy("tile", "set_id").agg(
+    # Texts are hashed again for each pass: that costs less than keeping the tiles of all sets.
+    found = written(rows.mapInArrow(_set_pass(n), f"id {kind}, text_key bigint, n bigint, set_id bigint"), "jaccard-sets")
+    tiles = "tile bigint, set_id bigint"
+    shared = written(rows.select("text").mapInArrow(_tile_pass(n, a, b), tiles).groupBy("tile").agg(
+        F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high"), "jaccard-tiles")
+    members = rows.select("text").mapInArrow(_tile_pass(n, a, b, hashed_filter(shared, "tile")), tiles).join(shared, "tile").groupBy("tile", "set_id").agg(
         F.first("low").alias("low"), F.first("high").alias("high"))
     members = written(members, "jaccard-members")
     leaders = members.groupBy("set_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))

@@ -11,14 +11,14 @@ from merchlens.llm.components import components
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = (text or "").encode().translate(LOWER).split()
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(texts):
+def brute(texts, k=3, percent=90):
     """(size, least id reachable) of every id, from all pairs."""
-    sets = {i: shingles(t) for i, t in texts.items()}
+    sets = {i: shingles(t, k) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -30,7 +30,7 @@ def brute(texts):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             both = len(sets[i] & sets[j])
-            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -74,18 +74,19 @@ def test_chains_and_groups(spark, monkeypatch, block, leaders, few):
 
 
 @pytest.mark.parametrize("sizes", [(9, 10), (10, 10), (12, 13), (18, 20), (95, 100), (90, 100), (450, 500), (1000, 1000)])
-def test_linked_sets_share_a_tile(sizes):
-    """Sets at the threshold, with the differences put wherever they hurt most often."""
-    rng, bands = np.random.default_rng(sum(sizes)), J.Bands(90, 100)
-    for _ in range(50):
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_tile(sizes, percent):
+    """Sets just at the threshold."""
+    rng, bands = np.random.default_rng(sum(sizes)), J.Bands(percent, 100)
+    for _ in range(60):
         n, m = sizes
-        common = -(-9 * (n + m) // 19)
+        common = -(-percent * (n + m) // (100 + percent))
         if common > min(n, m):
             continue
         pool = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
         rng.shuffle(pool)
         x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:n + m - common]]))
-        if 100 * common >= 90 * (n + m - common) and n != common:
+        if 100 * common >= percent * (n + m - common) and n != common:
             a, b = (set(J.tile_keys(s, J._sums(s), bands).tolist()) for s in (x, y))
             assert a & b
 
@@ -96,17 +97,28 @@ def test_bands_leave_no_gap():
         for t in range(1, 3000):
             for s in range(-(-a * t // b), t + 1):
                 if s < t or t >= bands.low(0):
-                    tiles = {i for i, _ in bands.of(s)} & {i for i, _ in bands.of(t)}
-                    assert tiles and all(p - 2 >= (s + t) * (b - a) // (b + a) for i, p in bands.of(t) if i in tiles)
-
-
-def test_other_thresholds(spark):
-    rng, texts = random.Random(8), {}
-    for t in near_copies(rng, 60, 20, 1):
-        texts[len(texts)] = t
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    loose = got(J.jaccard_classes(df, n=5, threshold=(80, 100)))
-    assert len({c for _, c in loose.values()}) < len(texts)
+                    tiles = {i for i, *_ in bands.of(s)} & {i for i, *_ in bands.of(t)}
+                    assert tiles and all(p - c >= (s + t) * (b - a) // (b + a) and c > 0 for i, p, c in bands.of(t) if i in tiles)
+
+
+def test_five_words_and_four_fifths(spark, texts):
+    rng, all_texts = random.Random(8), dict(texts)
+    for base, step in ((60, 1), (8, 1), (12, 1), (150, 3), (400, 8)):
+        for t in near_copies(rng, base, 15, step):
+            all_texts[10_000 + len(all_texts)] = t
+    df = spark.createDataFrame(list(all_texts.items()), "doc_id bigint, text string")
+    found = got(J.jaccard_classes(df, n=5, threshold=(80, 100)))
+    assert found == brute(all_texts, 5, 80)
+    assert len({c for i, (_, c) in found.items() if i >= 10_000}) < 40
+
+
+def test_sets_with_many_empty_parts_meet():
+    """Two linked sets whose elements lie in few parts share the tile of such sets."""
+    bands = J.Bands(80, 100)
+    x = np.arange(100, dtype=np.uint64)
+    y = np.concatenate([x[:95], x[95:] + np.uint64(1000)])
+    a, b = (set(J.tile_keys(s, J._sums(s), bands).tolist()) for s in (x, y))
+    assert a & b
 
 
 def test_odd_rows(odd, none):

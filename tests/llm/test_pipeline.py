@@ -46,7 +46,7 @@ def test_models_decide_as_plain_functions(spark, sf, stages):
 
 def test_one_of_each_group_stays(stages):
     before = rows(stages[2])
-    want = {i for i, (n, c) in classes(before).items() if not n or c == i}
+    want = {i for i, (n, c) in classes(before, P.SHINGLE, P.SIMILARITY[0]).items() if not n or c == i}
     assert set(rows(stages[3])) == want
 
 
