@@ -41,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,7 +49,7 @@ from merchlens.llm.components import components
 from merchlens.llm.shared import written
 from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, word_counts
 
-BITS = 2048  # of a set's bitmap
+LEAST_BITS, MOST_BITS = 9, 16  # a set's bitmap has two bits an element, rounded up to a power of two between 2**9 and 2**16
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
 LEADERS = 8  # sets of a tile that one round compares with all its others
 FEW = 16  # rounds end when they find fewer links than one in so many rows
@@ -177,6 +177,21 @@ def _tile_pass(n: int, a: int, b: int, wanted=None):
     return run
 
 
+def _bitmap(elements: np.ndarray) -> np.ndarray:
+    """Bits of the elements by their middle hash bits, as 64-bit words."""
+    size = 1 << min(max((2 * len(elements) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = np.zeros(size, bool)
+    bits[(elements >> np.uint64(20)) & np.uint64(size - 1)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set in fewer words: halves laid over each other."""
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
 def _second_pass(n: int, wanted):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -188,12 +203,10 @@ def _second_pass(n: int, wanted):
                     if not len(elements) or (key := _set_id(elements, _sums(elements))) in seen:
                         continue
                     seen.add(key)
-                    bits = np.zeros(BITS, bool)
-                    bits[(elements >> np.uint64(20)) % np.uint64(BITS)] = True
-                    rows.append((key, len(elements), np.packbits(bits).view(np.int64).tolist(), elements.tobytes()))
+                    rows.append((key, len(elements), _bitmap(elements).tobytes(), elements.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))],
+                        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                         names=["set_id", "n", "bits", "elements"])
     return run
 
@@ -225,9 +238,20 @@ def _overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
-def _at_most(n: Column, own: Column, other: Column) -> Column:
-    """Upper bound of the overlap of a set of n elements with another, from their bitmaps."""
-    return n - F.aggregate(F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+def _could_link(a: int, b: int):
+    """Drops the pairs whose bitmaps bound their overlap below the threshold."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = np.zeros(len(na), bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                x, y = _folded(x, words), _folded(y, words)
+                most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
+                keep[i] = (a + b) * most >= a * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep))
+    return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -235,10 +259,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}{name}") for c in columns])
 
-    bound = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    least = F.lit(a) * (F.col("na") + F.col("nb"))
-    near = bound.where(((a + b) * _at_most(F.col("na"), F.col("bitsa"), F.col("bitsb")) >= least)
-                       & ((a + b) * _at_most(F.col("nb"), F.col("bitsb"), F.col("bitsa")) >= least)).select("a", "b", "na", "nb")
+    bitmaps = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    near = bitmaps.mapInArrow(_could_link(a, b), "a bigint, b bigint, na bigint, nb bigint")
     whole = near.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("a", "b", "na", "nb", "elementsa", "elementsb")
     exact = whole.mapInArrow(_overlap, "a bigint, b bigint, na bigint, nb bigint, common bigint")
     return exact.where(F.lit(b) * F.col("common") >= F.lit(a) * (F.col("na") + F.col("nb") - F.col("common")))
@@ -260,11 +282,13 @@ def _near_pairs(a: int, b: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(table: pa.Table):
             tile, i, j, block, ids, roots, n = (table.column(c).to_numpy() for c in range(7))
-            bits = table.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            bitmaps = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(7).combine_chunks()]
             edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
             for x, y in zip(edges, edges[1:], strict=False):
                 if i[x] == j[x] or (block[x:y] != block[x]).any():
-                    yield from pairs(ids[x:y], roots[x:y], n[x:y], bits[x:y], block[x:y])
+                    words = min(map(len, bitmaps[x:y]))
+                    bits = np.stack([_folded(m, words) for m in bitmaps[x:y]])
+                    yield from pairs(ids[x:y], roots[x:y], n[x:y], bits, block[x:y])
 
         def out(found) -> Iterator[pa.RecordBatch]:
             found = [f for f in found if len(f[0])]
@@ -314,7 +338,7 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     members = written(members, "jaccard-members")
     leaders = members.groupBy("set_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     wanted = hashed_filter(found.join(leaders.select("set_id"), "set_id", "left_semi").select("text_key"), "text_key")
-    arrays = rows.select("text_key", "text").mapInArrow(_second_pass(n, wanted), "set_id bigint, n bigint, bits array<bigint>, elements binary")
+    arrays = rows.select("text_key", "text").mapInArrow(_second_pass(n, wanted), "set_id bigint, n bigint, bits binary, elements binary")
     sets = written(arrays.join(leaders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-arrays")
 
     ordered = F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
