@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from merchlens.llm.components import components
-from merchlens.llm.shared import written
+from merchlens.llm.shared import small_batches, written
 from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, word_counts
 
 LEAST_BITS, MOST_BITS = 9, 16  # a set's bitmap has two bits an element, rounded up to a power of two between 2**9 and 2**16
@@ -325,6 +325,7 @@ def _rest_pairs(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
     """Per row: id, ``text_key`` (hash of the text), ``n_shingles``, ``component_id`` (least id of the texts reachable by links)."""
+    small_batches(docs.sparkSession)
     a, b = threshold
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]

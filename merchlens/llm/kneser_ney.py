@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from merchlens.llm.files import arrays_from, arrays_to_bytes, map_file, write_file
-from merchlens.llm.shared import new_folder, written
+from merchlens.llm.shared import new_folder, small_batches, written
 from merchlens.llm.words import SPACED, hash_words, mix, text_chunks, word_counts
 
 BEGIN, END = np.uint64(0x9D8A5C3F11E7B203), np.uint64(0x5F1D36A98C24E70B)
@@ -291,6 +291,7 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> Model:
     """Count and write the model of all rows of ``docs``."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     rows = texts.count()
@@ -339,6 +340,7 @@ def fit(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10 probability) and ``perplexity`` of each whole text."""
+    small_batches(df.sparkSession)
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kept = df.drop(*names)
     at = kept.columns.index(text)

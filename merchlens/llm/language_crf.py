@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
+from merchlens.llm.shared import small_batches
 from merchlens.llm.words import ALNUM, hash_words, mix, powers, text_bytes, text_chunks, word_counts
 
 BUCKET_BITS = 16
@@ -248,6 +249,7 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Model | None:
     """Learn from rows with a language for which ``usable`` holds."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if usable is not None:
         known = known.where(usable)
@@ -263,6 +265,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", columns: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")) -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (the mean probability of that language) and ``lang_shares`` (of all languages), or as ``columns`` names them."""
+    small_batches(df.sparkSession)
     kept = df.drop(*columns)
     kind = MapType(StringType(), DoubleType())
     if model is None:

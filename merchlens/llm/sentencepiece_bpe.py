@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from merchlens.llm.shared import unused
+from merchlens.llm.shared import small_batches, unused
 from merchlens.llm.words import mix, powers, text_chunks
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -298,6 +298,7 @@ def _decode_part(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tupl
 
 def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str = "doc_id", dropout: float = DROPOUT, streams: int = STREAMS, seed: int = SEED, column: str = "piece_ids") -> DataFrame:
     """``df`` with the ids of each whole text in ``column`` (array of int)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     kept = df.drop(column)
     keyed = kept.withColumn(unused(kept, "_key"), F.xxhash64(key))
@@ -317,6 +318,7 @@ def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str
 
 def decode(df: DataFrame, path: str = PIECE_MODEL, ids: str = "piece_ids", column: str = "decoded") -> DataFrame:
     """``df`` with the text of each array of ids in ``column``."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     kept = df.drop(column)
     at = kept.columns.index(ids)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from merchlens.llm.shared import small_batches
 from merchlens.llm.words import ALNUM, hash_words, mix, powers, text_bytes, text_chunks, word_counts
 
 GRAMS = (3, 4, 5)
@@ -213,6 +214,7 @@ def _spread(limit: int):
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None,
         sample: dict[int, int] = SAMPLE, windows_per_text: int = WINDOWS_PER_TEXT) -> Model:
     """Train on the labelled rows for which ``usable`` (a column of ids) holds."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(list(sample)) & F.col("id").isNotNull()).distinct()
     if usable is not None:
         known = known.where(usable)
@@ -232,6 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``df`` with the toxicity of each whole text in ``column`` (a column of that name is replaced)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = df.drop(column)
     at = kept.columns.index(text)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.llm.files import map_file, write_file
-from merchlens.llm.shared import new_folder, written
+from merchlens.llm.shared import new_folder, small_batches, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # magic numbers of the seekable format
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
@@ -135,6 +135,7 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
 def write_bundles(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST,
                   frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Archive all pages; the index: ``record`` (id as text), ``bundle``, ``frame``, ``offset``, ``length``."""
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(id).alias("id"), F.col(url).cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
     first = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -173,5 +174,6 @@ def _reader(with_payload: bool):
 
 def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record that ``index`` names, read by frame and offset; responses are checked against their digest."""
+    small_batches(index.sparkSession)
     ordered = index.select("bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
     return ordered.mapInArrow(_reader(with_payload), _READ)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.llm.shared import written
+from merchlens.llm.shared import small_batches, written
 from merchlens.llm.words import ALNUM, hash_words, rolling, text_chunks, word_counts
 
 WINDOW = 13
@@ -140,6 +140,7 @@ def _fingerprinted(df: DataFrame, id: str, text: str, window: int, k: int, lengt
 def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, k: int = K, share: int = 20, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Per document: id, ``text_key`` (hash of the text), ``n_words``, ``n_hit``, ``item_ids`` (sorted strings), ``contaminated`` (share * n_hit >= n_words)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = written(_fingerprinted(items, item, item_text, window, k, list(range(1, window)), whole_items=True), "winnow-items")
     spans = known.select(F.col("id").alias("item"), F.explode("fps").alias("f")).groupBy("f.fp", "item").agg(
