@@ -49,7 +49,9 @@ from merchlens.llm.components import components
 from merchlens.llm.shared import small_batches, written
 from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, word_counts
 
-LEAST_BITS, MOST_BITS = 9, 16  # a set's bitmap has two bits an element, rounded up to a power of two between 2**9 and 2**16
+# A set's bitmap has 16 bits an element up to 2**FINE_BITS bits and two bits an element
+# beyond, rounded up to a power of two between 2**LEAST_BITS and 2**MOST_BITS.
+LEAST_BITS, FINE_BITS, MOST_BITS = 9, 12, 16
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
 LEADERS = 8  # sets of a tile that one round compares with all its others
 FEW = 16  # rounds end when they find fewer links than one in so many rows
@@ -179,7 +181,8 @@ def _tile_pass(n: int, a: int, b: int, wanted=None):
 
 def _bitmap(elements: np.ndarray) -> np.ndarray:
     """Bits of the elements by their middle hash bits, as 64-bit words."""
-    size = 1 << min(max((2 * len(elements) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    n = len(elements)
+    size = 1 << min(max((2 * n - 1).bit_length(), min((16 * n - 1).bit_length(), FINE_BITS), LEAST_BITS), MOST_BITS)
     bits = np.zeros(size, bool)
     bits[(elements >> np.uint64(20)) & np.uint64(size - 1)] = True
     return np.packbits(bits).view(np.uint64)
