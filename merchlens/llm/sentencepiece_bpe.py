@@ -3,11 +3,13 @@
 Encoding keeps an agenda of candidate merges of each word (a run of spaces and
 what follows it; the vocabulary's pieces hold a space only at their start, so
 no merge crosses words): the best piece is taken first, the leftmost of equal
-ones, and a candidate is skipped for good if a hash keyed by (seed, stream,
-place, both pieces) falls under ``dropout``. Every occurrence of a word draws
-one of ``streams`` streams by a hash of (seed, row key, occurrence), so one
-text has varied segmentations, a rerun has the same, and each pair of word and
-stream is encoded once a chunk. Dropout 0 gives the library's own encoding.
+ones, and a candidate is skipped for good if a hash keyed by (draw, place, both
+pieces) falls under ``dropout``. The draw is a 64-bit hash of (seed, row key,
+occurrence), so every occurrence of a word flips coins of its own, and a rerun
+flips the same. Work is shared only where that changes nothing: occurrences of
+a word that skip none of the candidates of its plain encoding, or that decide
+all candidates of another occurrence's encoding as it does. Dropout 0 gives the
+library's own encoding.
 
 Words are encoded together in numpy, a step of all agendas at a time; very
 long words use a heap each. Decoding joins the pieces' bytes: characters
@@ -37,10 +39,11 @@ from merchlens.llm.shared import small_batches, unused
 from merchlens.llm.words import mix, powers, text_chunks
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, STREAMS, SEED = 0.1, 4, 17
+DROPOUT, SEED = 0.1, 17
 MARK = "▁"
 LONG_WORD = 64  # characters; longer words use a heap each
 BLOCK_CELLS = 1 << 18  # symbols of the words merged together
+SHARED_FROM = 3  # occurrences in a chunk from which a word is also encoded without dropout, to share that
 ENCODE_BYTES, DECODE_IDS = 1 << 20, 200_000  # of the texts encoded or decoded in one numpy pass
 _NONE = np.int32(2**31 - 1)
 _CODES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -112,16 +115,21 @@ def load(path: str = PIECE_MODEL) -> Vocabulary:
     return Vocabulary(of_char, keys, merged, probes, rank, byte_id, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
-def _skipped(left, right, place, stream, dropout: float, seed: int) -> np.ndarray:
+def _candidate(left, right, place) -> np.ndarray:
+    """Hash of a candidate within its word."""
+    with np.errstate(over="ignore"):
+        return mix((np.asarray(left).astype(np.uint64) << np.uint64(40)) ^ (np.asarray(right).astype(np.uint64) << np.uint64(20)) ^ np.asarray(place).astype(np.uint64))
+
+
+def _skipped(candidate: np.ndarray, draw: np.ndarray, dropout: float, seed: int) -> np.ndarray:
     if not dropout:
-        return np.zeros(len(left), bool)
+        return np.zeros(len(candidate), bool)
     with np.errstate(over="ignore"):
-        key = (np.asarray(left).astype(np.uint64) << np.uint64(40)) ^ (np.asarray(right).astype(np.uint64) << np.uint64(20)) ^ np.asarray(place).astype(np.uint64)
-        key = mix(mix(key) + np.asarray(stream).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        key = mix(candidate + np.asarray(draw).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
     return (key >> np.uint64(11)).astype(np.float64) < dropout * 2**53
 
 
-def merge_word(vocab: Vocabulary, symbols: list[int], stream: int, dropout: float, seed: int) -> list[int]:
+def merge_word(vocab: Vocabulary, symbols: list[int], draw: int, dropout: float, seed: int) -> list[int]:
     """One word's agenda as a heap of (rank, place): symbols left after all merges (negative: characters without a piece)."""
     ids, after, before = list(symbols), list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     agenda: list[tuple[int, int, int, int, int]] = []
@@ -130,7 +138,7 @@ def merge_word(vocab: Vocabulary, symbols: list[int], stream: int, dropout: floa
         left = [p for p in places if p >= 0 and after[p] < len(ids)]
         a, b = np.array([ids[p] for p in left], np.int64), np.array([ids[after[p]] for p in left], np.int64)
         made = vocab.pair(a, b)
-        made[_skipped(np.maximum(a, 0), np.maximum(b, 0), np.array(left, np.int64), np.full(len(left), stream), dropout, seed)] = -1
+        made[_skipped(_candidate(np.maximum(a, 0), np.maximum(b, 0), np.array(left, np.int64)), np.full(len(left), draw, np.uint64), dropout, seed)] = -1
         for p, m in zip(left, made.tolist(), strict=True):
             if m >= 0:
                 heapq.heappush(agenda, (int(vocab.rank[m]), p, m, ids[p], ids[after[p]]))
@@ -149,8 +157,9 @@ def merge_word(vocab: Vocabulary, symbols: list[int], stream: int, dropout: floa
     return [ids[p] for p in range(len(ids)) if not gone[p]]
 
 
-def merge_words(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, streams: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """All agendas of words at once: symbols left, and how many each word has."""
+def merge_words(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, draws: np.ndarray, dropout: float, seed: int,
+                met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All agendas of words at once: symbols left, and how many each word has; ``met`` gets the word and the hash of every candidate (of words up to ``LONG_WORD``)."""
     first = np.cumsum(lengths) - lengths
     left = np.ones(len(symbols), bool)
     out = symbols.copy()
@@ -163,17 +172,18 @@ def merge_words(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, str
             cells = first[part][:, None] + np.arange(high)
             inside = np.arange(high) < lengths[part][:, None]
             ids = np.where(inside, symbols[np.minimum(cells, len(symbols) - 1)], -1)
-            kept = _merge_block(vocab, ids, lengths[part], streams[part], dropout, seed)
+            kept = _merge_block(vocab, ids, lengths[part], draws[part], dropout, seed, part, met)
             out[cells[inside]], left[cells[inside]] = ids[inside], kept[inside]
     for w in np.flatnonzero(lengths > LONG_WORD).tolist():
         span = slice(first[w], first[w] + lengths[w])
-        made = merge_word(vocab, symbols[span].tolist(), int(streams[w]), dropout, seed)
+        made = merge_word(vocab, symbols[span].tolist(), int(draws[w]), dropout, seed)
         out[first[w]:first[w] + len(made)] = made
         left[first[w] + len(made):first[w] + lengths[w]] = False
     return out[left], np.add.reduceat(left, first).astype(np.int64) if len(lengths) else lengths
 
 
-def _merge_block(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, streams: np.ndarray, dropout: float, seed: int) -> np.ndarray:
+def _merge_block(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, draws: np.ndarray, dropout: float, seed: int,
+                 words: np.ndarray, met: list[tuple[np.ndarray, np.ndarray]] | None) -> np.ndarray:
     """Merge the rows of ``ids`` in place; which cells are left."""
     n, width = ids.shape
     after = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()
@@ -190,7 +200,11 @@ def _merge_block(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, stream
         a, b = ids[rows, cells], ids[rows, then]
         got = vocab.pair(a, b)
         hit = np.flatnonzero(got >= 0)
-        hit = hit[~_skipped(a[hit], b[hit], cells[hit], streams[rows[hit]], dropout, seed)]
+        if dropout or met is not None:
+            candidate = _candidate(a[hit], b[hit], cells[hit])
+            if met is not None:
+                met.append((words[rows[hit]], candidate))
+            hit = hit[~_skipped(candidate, draws[rows[hit]], dropout, seed)]
         rank[rows, cells] = _NONE
         rank[rows[hit], cells[hit]] = vocab.rank[got[hit]]
         made[rows[hit], cells[hit]] = got[hit]
@@ -234,7 +248,72 @@ def _to_bytes(vocab: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> tuple[np
     return out, np.bincount(word, times, minlength=len(sizes)).astype(np.int64)
 
 
-def encode_texts(vocab: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float = DROPOUT, streams: int = STREAMS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def _by_word(met: list[tuple[np.ndarray, np.ndarray]], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that ``merge_words`` met, one word after the other, and how many each word has."""
+    of, candidates = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return candidates[np.argsort(of, kind="stable")], np.bincount(of, minlength=words)
+
+
+def _decisions(candidates: np.ndarray, counts: np.ndarray, kind: np.ndarray, draws: np.ndarray, dropout: float, seed: int, at_once: int = 1 << 16) -> np.ndarray:
+    """For every occurrence of a word, a hash of the set of the word's candidates that it skips; 0: none."""
+    first, out = np.cumsum(counts) - counts, np.zeros(len(kind), np.uint64)
+    for at in range(0, len(kind), at_once):
+        k, n = kind[at:at + at_once], counts[kind[at:at + at_once]]
+        of = np.repeat(np.arange(len(k)), n)
+        found = candidates[_ragged(first[k], n)]
+        skip = _skipped(found, draws[at:at + at_once][of], dropout, seed)
+        with np.errstate(over="ignore"):
+            np.add.at(out, at + of[skip], mix(found[skip] + np.uint64(1)) | np.uint64(1))
+    return out
+
+
+def merge_occurrences(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, kind: np.ndarray, draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every occurrence (of word ``kind``, with its draw) merged: symbols left, how many each result has, and the result of each occurrence.
+
+    An agenda depends on the draw only through the candidates it meets. So an
+    occurrence that decides all candidates met by another one's agenda in the
+    same way has that agenda, and equal results need not be computed again.
+    """
+    if not dropout:
+        return *merge_words(vocab, symbols, lengths, np.zeros(len(lengths), np.uint64), 0, seed), kind
+    first = np.cumsum(lengths) - lengths
+
+    def merge(words: np.ndarray, own: np.ndarray, chance: float, met=None) -> tuple[np.ndarray, np.ndarray]:
+        return merge_words(vocab, symbols[_ragged(first[words], lengths[words])], lengths[words], own, chance, seed, met)
+
+    result, parts, done = np.full(len(kind), -1, np.int64), [], 0
+    often = (np.bincount(kind, minlength=len(lengths)) >= SHARED_FROM) & (lengths <= LONG_WORD)
+    some = np.flatnonzero(often[kind])
+    if len(some):
+        words, number = np.flatnonzero(often), np.cumsum(often) - 1
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        parts.append(merge(words, np.zeros(len(words), np.uint64), 0, met))
+        own = number[kind[some]]
+        skips = _decisions(*_by_word(met, len(words)), own, draws[some], dropout, seed)
+        plain = skips == 0
+        result[some[plain]], done = own[plain], len(words)
+        # The others: those that skip the same of these candidates probably decide alike; compared with the first of them.
+        some, skips, own = some[~plain], skips[~plain], own[~plain]
+        with np.errstate(over="ignore"):
+            _, rep, group, size = np.unique(skips + mix(own.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True, return_counts=True)
+        shared = size > 1
+        if shared.any():
+            lead, number = some[rep[shared]], np.cumsum(shared) - 1
+            met = []
+            parts.append(merge(kind[lead], draws[lead], dropout, met))
+            members = np.flatnonzero(shared[group])
+            of, found = number[group[members]], _by_word(met, len(lead))
+            alike = (_decisions(*found, of, draws[some[members]], dropout, seed) == _decisions(*found, np.arange(len(lead)), draws[lead], dropout, seed)[of])
+            result[some[members[alike]]] = done + of[alike]
+            done += len(lead)
+    alone = np.flatnonzero(result < 0)
+    if len(alone):
+        parts.append(merge(kind[alone], draws[alone], dropout))
+        result[alone] = done + np.arange(len(alone))
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), result
+
+
+def encode_texts(vocab: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and how many each text has; ``keys``: a 64-bit key of each text's row."""
     texts = len(bounds) - 1
     sizes = np.diff(bounds)
@@ -259,17 +338,17 @@ def encode_texts(vocab: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys:
         per_text[some] = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
         owner = np.repeat(np.arange(texts), per_text)
         occurrence = np.arange(len(starts)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        drawn = mix(mix(keys.view(np.uint64)[owner] + np.uint64(seed)) + occurrence.astype(np.uint64)) % np.uint64(streams if dropout else 1)
-        _, rep, kind = np.unique(hashes + mix(drawn + np.uint64(1)), return_index=True, return_inverse=True)
+        draws = mix(mix(keys.view(np.uint64)[owner] + np.uint64(seed)) + occurrence.astype(np.uint64))
+        _, rep, kind = np.unique(hashes, return_index=True, return_inverse=True)
     raw = spaced[_ragged(starts[rep], lengths[rep])]
     chars = np.add.reduceat((raw & 0xC0) != 0x80, np.cumsum(lengths[rep]) - lengths[rep]).astype(np.int64)
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
     symbols = vocab.of_char[points]
     symbols = np.where(symbols < 0, -1 - points, symbols).astype(np.int32)
-    ids, left = merge_words(vocab, symbols, chars, drawn[rep].astype(np.int64), dropout, seed)
+    ids, left, result = merge_occurrences(vocab, symbols, chars, kind, draws, dropout, seed)
     ids, left = _to_bytes(vocab, ids, left)
-    out = ids[_ragged((np.cumsum(left) - left)[kind], left[kind])]
-    return out, np.bincount(owner, left[kind], minlength=texts).astype(np.int64)
+    out = ids[_ragged((np.cumsum(left) - left)[result], left[result])]
+    return out, np.bincount(owner, left[result], minlength=texts).astype(np.int64)
 
 
 def decode_texts(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +375,7 @@ def _decode_part(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tupl
     return raw[keep], per_text - (per_text > 0)
 
 
-def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str = "doc_id", dropout: float = DROPOUT, streams: int = STREAMS, seed: int = SEED, column: str = "piece_ids") -> DataFrame:
+def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str = "doc_id", dropout: float = DROPOUT, seed: int = SEED, column: str = "piece_ids") -> DataFrame:
     """``df`` with the ids of each whole text in ``column`` (array of int)."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(path))
@@ -308,7 +387,7 @@ def encode(df: DataFrame, path: str = PIECE_MODEL, text: str = "text", key: str
         for batch in batches:
             row_keys = batch.column(len(batch.columns) - 1).to_numpy()
             for lo, hi, data, bounds in text_chunks(batch.column(at), ENCODE_BYTES):
-                ids, counts = encode_texts(shared.value, data, bounds, row_keys[lo:hi], dropout, streams, seed)
+                ids, counts = encode_texts(shared.value, data, bounds, row_keys[lo:hi], dropout, seed)
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)), mask=batch.column(at)[lo:hi].is_null())
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), lists], names=[*batch.schema.names[:-1], column])

@@ -73,3 +73,23 @@ def test_odd_rows(odd, none, dropout):
     same = [r["piece_ids"] for r in rows if r["doc_id"] == 1]
     assert same[0] == same[1]
     assert S.decode(S.encode(none)).collect() == []
+
+
+def test_every_occurrence_flips_its_own_coins():
+    made = encode(["t"] * 20_000)
+    assert 0.09 < sum(len(ids) == 2 for ids in made) / len(made) < 0.11  # '▁' + 't' skipped for a tenth of them, not for all or none
+    assert len({tuple(ids) for ids in encode(["understanding"] * 2000)}) > 20
+    text = " ".join(["understanding"] * 500)
+    assert len(set(decode([[i] for i in encode([text])[0]]))) > 10
+
+
+def test_shared_merges_are_those_of_every_occurrence_alone():
+    rng = np.random.default_rng(4)
+    words = [" the", " understanding", " in", " e", "日本", " " + "ab" * 40, " international", "\n"]
+    symbols = [[int(VOCAB.of_char[ord(x)]) if VOCAB.of_char[ord(x)] >= 0 else -1 - ord(x) for x in w] for w in words]
+    kind = np.concatenate([rng.integers(0, 5, 3000), [5, 6, 6, 5, 7, 5, 5]])
+    draws = rng.integers(0, 2**64, len(kind), dtype=np.uint64)
+    for dropout in (0, 0.1, 0.5):
+        ids, left, result = S.merge_occurrences(VOCAB, np.array(sum(symbols, []), np.int32), np.array([len(x) for x in symbols]), kind, draws, dropout, 9)
+        rows = np.split(ids, np.cumsum(left)[:-1])
+        assert len(rows) < len(kind) and all(rows[r].tolist() == S.merge_word(VOCAB, symbols[k], int(d), dropout, 9) for k, d, r in zip(kind, draws, result, strict=True))
