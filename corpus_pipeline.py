@@ -16,7 +16,7 @@ from merchlens.llm import jaccard_join, language_crf, sentencepiece_bpe, toxicit
 from merchlens.llm.shared import documents, unused, written
 
 LANGUAGE_SCORE = 0.5  # a text whose best language has less is rejected, as one without a letter is
-TOXIC_SCORE = 0.5
+TOXIC_SCORE = toxicity.TOXIC  # as op7 predicts
 SHINGLE, SIMILARITY = 5, (80, 100)  # near duplicates: words of a shingle, least Jaccard similarity
 
 

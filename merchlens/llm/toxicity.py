@@ -38,6 +38,7 @@ GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIM = 8
 WINDOW = 2
+TOXIC = 0.3  # texts that score at least this are toxic
 SAMPLE = {0: 2000, 1: 1200}
 WINDOWS_PER_TEXT = 500
 _R = np.uint64(0x9E3779B97F4A7C15)

@@ -9,6 +9,8 @@ from merchlens.llm import language_crf, queries, toxicity
 from merchlens.llm.shared import written
 from merchlens.llm.words import text_bytes
 from test_jaccard_join import brute as classes
+from test_toxicity import BAD, CLEAN
+from test_toxicity import sample as labelled
 from test_winnowing import brute as hits
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -83,3 +85,22 @@ def test_groups_of_equal_rows_and_missing_ids(spark, sf):
     data = [(5, text)] * 4 + [(6, text), (None, text), (None, other), (None, other), (7, None), (7, None), (8, "")]
     made = P.near_duplicates(spark, spark.createDataFrame(data, "doc_id bigint, text string"), sf).collect()
     assert sorted(map(tuple, made), key=str) == sorted([(5, text), (None, other), (7, None), (7, None), (8, "")], key=str)
+
+
+def test_misspelt_toxic_words_go_as_op7_predicts(spark, tmp_path):
+    """Some labels are wrong, so that scores aren't all 0 or 1."""
+    rng = random.Random(8)
+    texts, labels = labelled(800, 1)
+    labels = [1 - y if rng.random() < 0.04 else y for y in labels]
+    spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = []
+    for i in range(600):
+        words, bad = rng.choices(CLEAN, k=40), rng.choice(BAD)
+        at = rng.randrange(1, len(bad) - 1)
+        words.insert(rng.randrange(40), bad[:at] + rng.choice(["", bad[at] * 2, "x"]) + bad[at + 1:])
+        made.append((1000 + i, " ".join(words)))
+    docs = spark.createDataFrame([*enumerate(texts), *made], "doc_id bigint, text string").repartition(4)
+    model = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert any(0.3 <= score[i] < 0.5 for i, _ in made)
+    assert {r["doc_id"] for r in P.toxicity_filter(spark, docs, str(tmp_path)).collect()} == {i for i, s in score.items() if s < 0.3}
