@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean embedding of its character n-grams (hashed, word ends
-included), a window of a few words the mean of its words; a linear softmax
-gives the window's two classes. A text is toxic if any window is: training
+included), a window the mean of a few words in a row (every run of them is a
+window, a shorter text is one as a whole); a linear softmax gives the window's two classes. A text is toxic if any window is: training
 joins the windows' probabilities as 1 - prod(1 - p), with a floor for wrong
 labels, and scoring takes the most toxic window, which doesn't depend on the
 text's length. A word never seen shares the n-grams of words that were, and
@@ -11,8 +11,9 @@ or of the evidence is enough. A word's own hash counts as one more n-gram.
 
 Training reads a bounded sample of labelled rows: at most about
 ``sample[label]`` texts a label, drawn by a hash of the id, and of each text
-at most ``windows_per_text`` windows spread over the whole text. Scoring
-reads every whole text; nothing but the text is an input.
+the words of at most ``windows_per_text`` windows spread over the whole text,
+put next to each other. Scoring reads every window of the whole text; nothing
+but the text is an input.
 
 Defined results: null and empty texts have no window and get the score of an
 empty window (the bias alone); repeated rows get equal scores; ids that have
@@ -93,13 +94,12 @@ class Model:
         words = int(counts.sum())
         grams = np.bincount(owners, minlength=words)
         means = np.bincount(owners, self.weight[buckets], minlength=words) / np.maximum(grams, 1)
-        place = np.arange(words) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.flatnonzero(place % WINDOW == 0)
-        windows = -(-counts // WINDOW)
-        if not len(starts):
-            return np.zeros(0), windows
-        sums = np.add.reduceat(means, starts)
-        return sums / np.diff(np.concatenate([starts, [words]])) + self.bias, windows
+        first, size, windows = _windows(counts)
+        sums = np.zeros(len(first))
+        for k in range(WINDOW):
+            inside = size > k
+            sums[inside] += means[first[inside] + k]
+        return sums / size + self.bias, windows
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         logits, windows = self.window_logits(data, bounds)
@@ -116,6 +116,12 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and words of every window (every run of ``WINDOW`` words, or a shorter text), and the windows of each text."""
+    windows = np.where(counts > WINDOW, counts - WINDOW + 1, np.minimum(counts, 1))
+    return _ragged(np.cumsum(counts) - counts, windows), np.repeat(np.minimum(counts, WINDOW), windows), windows
+
+
 def _grams_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of single words, one word after the other, and how many each has; a slice of words at a time."""
     grams, counts = [], []
@@ -127,7 +133,7 @@ def _grams_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_o
     return np.concatenate(grams), np.concatenate(counts)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.4, keep_windows: float = 0.5, seed: int = 5) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.4, keep_windows: float = 0.29, seed: int = 5) -> Model:
     """Fit embeddings and softmax together by AdaGrad on batches of texts."""
     rng = np.random.default_rng(seed)
     buckets_n = 1 << BUCKET_BITS
@@ -153,10 +159,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
             docs = shuffled[at:at + batch]
             n = counts[docs]
             tokens = kind[_ragged(first_word[docs], n)]
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.flatnonzero(place % WINDOW == 0)
-            size = np.diff(np.concatenate([begin, [len(tokens)]]))
-            doc_of = np.repeat(np.arange(len(docs)), -(-n // WINDOW))
+            begin, size, windows = _windows(n)
+            doc_of = np.repeat(np.arange(len(docs)), windows)
             kinds, token = np.unique(tokens, return_inverse=True)
             g = grams[_ragged(first_gram[kinds], per_kind[kinds])]
             g_of = np.repeat(np.arange(len(kinds)), per_kind[kinds])
@@ -164,7 +168,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
             g, g_of = g[kept], g_of[kept]
             share = np.maximum(np.bincount(g_of, minlength=len(kinds)), 1)
             V = np.stack([np.bincount(g_of, E[g, d], minlength=len(kinds)) / share for d in range(DIM)], 1)
-            W = np.add.reduceat(V[token], begin, axis=0) / size[:, None]
+            inside = token[_ragged(begin, size)]
+            W = np.add.reduceat(V[inside], np.cumsum(size) - size, axis=0) / size[:, None]
             logits = W @ U + bias
             p = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -30, 30)))
             p = np.where(rng.random(len(p)) < keep_windows, p, 0)
@@ -174,7 +179,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
             dz = (down * rest)[doc_of] * p / len(docs) * 8
             dl = np.stack([-dz, dz], 1)
             dW = dl @ U.T / size[:, None]
-            dV = np.stack([np.bincount(token, np.repeat(dW[:, d], size), minlength=len(kinds)) / share for d in range(DIM)], 1)
+            dV = np.stack([np.bincount(inside, np.repeat(dW[:, d], size), minlength=len(kinds)) / share for d in range(DIM)], 1)
             used, slot = np.unique(g, return_inverse=True)
             dE = np.stack([np.bincount(slot, dV[g_of, d], minlength=len(used)) for d in range(DIM)], 1) + 1e-6 * E[used]
             for value, square, where, grad in ((E, squares[0], used, dE), (U, squares[1], slice(None), W.T @ dl), (bias, squares[2], slice(None), dl.sum(0))):

@@ -47,6 +47,15 @@ def test_long_texts_are_not_diluted():
     assert a < 0.3 < b
 
 
+def test_one_more_word_at_the_start_changes_nothing():
+    model = T.train(*sample(400, 1))
+    plain = " ".join(CLEAN * 3)
+    for pair in ("scumbaggs dimwitt", "scumbag dimwit", "blockhead scumbagg"):
+        a, b = scores(model, [f"{plain} {pair} {plain}", f"{CLEAN[0]} {plain} {pair} {plain}"])
+        assert abs(a - b) < 1e-9
+    assert model.window_logits(*text_bytes(pa.array(["", "bread", "the river", "the river house"])))[1].tolist() == [0, 1, 1, 2]
+
+
 def test_word_grams_against_slices():
     texts = ["Ab c", "", "déf-ab"]
     buckets, owners, counts = T.word_grams(*text_bytes(pa.array(texts)))
