@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from merchlens.llm import jaccard_join, language_crf, sentencepiece_bpe, toxicity, winnowing
 from merchlens.llm.shared import documents, unused, written
 
-LANGUAGE_SCORE = 0.5  # a text whose best language has less is rejected, as one without a letter is
+LANGUAGE_SCORE = 0.5  # a text whose words are less certain of their languages (on average) is rejected, as one without a letter is
 TOXIC_SCORE = toxicity.TOXIC  # as op7 predicts
 SHINGLE, SIMILARITY = 5, (80, 100)  # near duplicates: words of a shingle, least Jaccard similarity
 
@@ -27,10 +27,11 @@ def _rows(docs: DataFrame, of: DataFrame, how: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a recognisable language."""
+    """Drop texts without recognisable languages; words may be of several."""
     made = tuple(unused(docs, c) for c in ("_lang_pred", "_lang_score", "_lang_shares"))
-    marked = language_crf.identify(docs, language_crf.fit(docs), columns=made)
-    return marked.where((F.col(made[0]) != language_crf.UND) & (F.col(made[1]) >= LANGUAGE_SCORE)).drop(*made)
+    sure = unused(docs, "_lang_certainty")
+    marked = language_crf.identify(docs, language_crf.fit(docs), columns=made, certainty=sure)
+    return marked.where((F.col(made[0]) != language_crf.UND) & (F.col(sure) >= LANGUAGE_SCORE)).drop(*made, sure)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,15 +156,20 @@ class Model:
 
     def shares(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Mean distribution of each text's words; zeros for texts without a letter."""
+        return self.shares_and_certainty(data, bounds)[0]
+
+    def shares_and_certainty(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``shares``, and the mean over each text's words of the word's most probable language's probability."""
         post, counts = self.words(data, bounds)
         text = np.repeat(np.arange(len(counts)), counts)
         out = np.stack([np.bincount(text, post[:, y], minlength=len(counts)) for y in range(len(self.languages))], 1) / np.maximum(counts, 1)[:, None]
+        sure = np.bincount(text, post.max(1), minlength=len(counts)) / np.maximum(counts, 1)
         letter = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data | 32) - np.uint8(97) < 26, out=letter[1:])
         for i in np.flatnonzero(letter[bounds[1:]] == letter[bounds[:-1]]):
             if not any(map(str.isalpha, data[bounds[i]:bounds[i + 1]].tobytes().decode("utf-8", "replace"))):
-                out[i] = 0
-        return out
+                out[i], sure[i] = 0, 0
+        return out, sure
 
 
 def train(texts: list[str], langs: list[str], sequence: int = 64, rounds: int = 60, rate: float = 0.5, l2: float = 1e-5, seed: int = 3) -> Model | None:
@@ -263,13 +268,14 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     return train([r[1] for r in got], [r[0] for r in got])
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", columns: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")) -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` (the mean probability of that language) and ``lang_shares`` (of all languages), or as ``columns`` names them."""
+def identify(df: DataFrame, model: Model | None, text: str = "text", columns: tuple[str, str, str] = ("lang_pred", "score", "lang_shares"), certainty: str | None = None) -> DataFrame:
+    """``df`` with ``lang_pred``, ``score`` (the mean probability of that language) and ``lang_shares`` (of all languages), or as ``columns`` names them; ``certainty``: a column for the mean over the words of their largest probability."""
     small_batches(df.sparkSession)
-    kept = df.drop(*columns)
+    extra = [certainty] if certainty else []
+    kept = df.drop(*columns, *extra)
     kind = MapType(StringType(), DoubleType())
     if model is None:
-        return kept.withColumns(dict(zip(columns, (F.lit(UND), F.lit(0.0), F.lit(None).cast(kind)), strict=True)))
+        return kept.withColumns(dict(zip(columns, (F.lit(UND), F.lit(0.0), F.lit(None).cast(kind)), strict=True)) | {c: F.lit(0.0) for c in extra})
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = kept.columns.index(text)
 
@@ -277,11 +283,13 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", columns: tu
         names = shared.value.languages
         S = len(names)
         for batch in batches:
-            shares = np.concatenate([np.zeros((0, S)), *[shared.value.shares(data, bounds) for _, _, data, bounds in text_chunks(batch.column(at))]])
+            found = [shared.value.shares_and_certainty(data, bounds) for _, _, data, bounds in text_chunks(batch.column(at))]
+            shares = np.concatenate([np.zeros((0, S)), *[x for x, _ in found]])
+            sure = [pa.array(np.minimum(np.concatenate([np.zeros(0), *[x for _, x in found]]), 1))] if extra else []
             best = shares.argmax(1)
             score = np.minimum(shares.max(1), 1)
             pred = np.where(score > 0, np.array(names, object)[best], UND)
             maps = pa.MapArray.from_arrays(pa.array(np.arange(len(shares) + 1) * S, pa.int32()), pa.array(names * len(shares), pa.string()), pa.array(shares.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), maps], names=[*batch.schema.names, *columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), maps, *sure], names=[*batch.schema.names, *columns, *extra])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *(StructField(n, k) for n, k in zip(columns, (StringType(), DoubleType(), kind), strict=True))]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *(StructField(n, k) for n, k in zip(columns, (StringType(), DoubleType(), kind), strict=True)), *(StructField(c, DoubleType()) for c in extra)]))

@@ -46,6 +46,21 @@ def test_models_decide_as_plain_functions(spark, sf, stages):
     assert set(rows(stages[2])) == {i for i, s in zip(before, score) if s < P.TOXIC_SCORE}
 
 
+def test_texts_in_several_languages_stay(spark, sf, docs):
+    import pyarrow as pa
+
+    def words(lang, n):
+        return docs.where(F.col("lang") == lang).orderBy("doc_id").first()["text"].split()[:n]
+
+    mixed = [words("en", 40) + words("de", 40) + ["1984", "Xq"], words("fr", 40) + words("es", 40) + ["77"], words("en", 30) + words("fr", 30) + words("de", 30),
+             words("es", 25) + words("de", 25) + words("fr", 25) + words("en", 25)]
+    planted = [(10**9 + i, " ".join(w), None, "planted", None) for i, w in enumerate(mixed)] + [(10**9 + 9, "12 34 !!", None, "planted", None)]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    best = language_crf.fit(both).shares(*text_bytes(pa.array([p[1] for p in planted], pa.string()))).max(1)
+    assert (best[2:4] < 0.5).all()
+    assert {r["doc_id"] for r in P.language_id(spark, both, sf).where("source = 'planted'").collect()} == {p[0] for p in planted[:-1]}
+
+
 def test_one_of_each_group_stays(stages):
     before = rows(stages[2])
     want = {i for i, (n, c) in classes(before, P.SHINGLE, P.SIMILARITY[0]).items() if not n or c == i}
