@@ -3,13 +3,10 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+# Test modules import constants and helpers from compare.py: with several conftest files, "conftest" names only one of them.
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,5 +18,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck_oracle():
-    from compare import duck
+    from compare import SF_ORACLE, duck
     return duck(SF_ORACLE)

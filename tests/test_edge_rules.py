@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_ORACLE
+from compare import SF_ORACLE
 from merchlens.operators import campaign, enrich, funnel, rollup
 from merchlens.plans import catalog, reports
 from merchlens.sources.constants import DEFAULT_AS_OF

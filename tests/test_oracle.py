@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import compare
-from conftest import SF_ORACLE
+from compare import SF_ORACLE, compare
 from merchlens.plans import catalog, oracle
 
 QUERIES = {name: entry.queries()[name] for name in catalog.QUERIES}

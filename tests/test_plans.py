@@ -6,7 +6,7 @@ import re
 import pytest
 
 from merchlens.plans.catalog import QUERIES
-from conftest import SF_SMALL
+from compare import SF_SMALL
 
 
 # members, history, opportunities, attribution and rollup

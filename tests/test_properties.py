@@ -1,8 +1,7 @@
 """Properties from the test strategy: row counts kept by dimension joins, and
 repeatable results for a fixed reporting date."""
 
-from compare import normalise
-from conftest import SF_SMALL
+from compare import SF_SMALL, normalise
 from merchlens.plans.catalog import BUILDERS, QUERIES
 from merchlens.sources.warehouse import Warehouse
 

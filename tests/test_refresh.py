@@ -2,8 +2,7 @@
 
 import os
 
-from compare import normalise
-from conftest import SF_SMALL
+from compare import SF_SMALL, normalise
 from merchlens.plans.catalog import QUERIES
 from merchlens.plans.refresh import refresh_reports
 

@@ -10,7 +10,7 @@ from merchlens.functions import dates as D
 from merchlens.operators import campaign as camp
 from merchlens.operators import cohort, enrich, rollup
 from merchlens.plans import reports
-from conftest import SF_SMALL
+from compare import SF_SMALL
 
 TS = dt.datetime
 

@@ -9,8 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from compare import TABLES, compare, duck
-from conftest import SF_SMALL
+from compare import SF_SMALL, TABLES, compare, duck
 
 HOT_SHOP = 0
 HOT_SUPPLIER = 0
