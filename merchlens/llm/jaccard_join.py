@@ -14,15 +14,17 @@ no link is missed, and a passage that many texts share makes few tiles,
 because other elements fall into the same parts.
 
 Links. Every set is compared with the first and the last set of its tiles;
-components are formed; in tiles that still hold several components a few
-leading sets are compared with all others, as long as that finds many links.
+components are formed; in tiles that still hold several components the first
+sets are compared with the others, a few partners for each set, as long as that finds many links.
 So a group of copies costs rows in proportion to its size. What is left of
 tiles with several components is compared whole, in pairs of blocks of bounded
-size, where only pairs of different components that the bitmaps can't rule out
-become rows. So all pairs of a tile that could join two components are
-compared. A comparison bounds the overlap from above by bit counts of two
+bytes: first by bitmaps, which leave the sets that may link with one of another
+component; then these meet again with their arrays, and a union-find of the block
+decides exactly which components join. So all pairs of a tile that could join two components are
+compared, in the task that holds them; only links between components, fewer than the block has sets, become
+rows. A comparison bounds the overlap from above by bit counts of two
 bitmaps (each bit that only one set has stands for an element that only it
-has) and intersects the arrays of the pairs left.
+has) and intersects the arrays of the pairs left. Fresh links join roots, and only those are given to the next stars.
 
 Two filters (tiles with several sets, texts that are candidates) are hashed
 bitmaps of fixed size, built in Spark; what they let through by chance is
@@ -46,16 +48,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from merchlens.llm.components import components
-from merchlens.llm.shared import small_batches, written
+from merchlens.llm.shared import release_memory, small_batches, written
 from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, word_counts
 
 # A set's bitmap has 16 bits an element up to 2**FINE_BITS bits and two bits an element
 # beyond, rounded up to a power of two between 2**LEAST_BITS and 2**MOST_BITS.
 LEAST_BITS, FINE_BITS, MOST_BITS = 9, 12, 16
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
-LEADERS = 8  # sets of a tile that one round compares with all its others
+LEADERS = 2  # sets of a tile that one round compares with its others
+PARTNERS = 4  # of these, for one set in all its tiles
 FEW = 16  # rounds end when they find fewer links than one in so many rows
-BLOCK = 1024  # sets of a tile that are compared with each other in one group
+BLOCK = 1024  # sets of a tile that are compared with each other in one group, at most
+BLOCK_ELEMENTS = 1 << 19  # and their elements, roughly (4 MB)
 
 
 class Bands:
@@ -148,6 +152,7 @@ def _set_id(elements: np.ndarray, sums: np.ndarray) -> int:
 def _set_pass(n: int):
     """Size and id of every row's set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for lo, hi, data, bounds in text_chunks(batch.column(2)):
                 sets = list(text_sets(data, bounds, n))
@@ -160,6 +165,7 @@ def _set_pass(n: int):
 def _tile_pass(n: int, a: int, b: int, wanted=None):
     """Rows (tile, set id), of the tiles that ``wanted`` lets through; a task sends the tiles of equal sets once."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         bands, seen = Bands(a, b), set()
         for batch in batches:
             for _, _, data, bounds in text_chunks(batch.column(0)):
@@ -197,6 +203,7 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def _second_pass(n: int, wanted):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         seen = set()
         for batch in batches:
             picked = batch.filter(pa.array(wanted.value(batch.column(0).to_numpy())))
@@ -234,96 +241,178 @@ def hashed_filter(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(HashedFilter({r["number"]: bytes(r["bits"]) for r in rows}))
 
 
-def _overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                  for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+PAIR = "ra bigint, rb bigint, a bigint, b bigint"
+
+
+def _words(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit words of each value of a binary column, without a copy."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if data is None:
+        return [np.zeros(0, np.uint64)] * len(column)
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(data, np.uint64, (hi - lo) // 8, lo) for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x)) if len(y) else 0
+
+
+def _overlap(a: int, b: int):
+    """The pairs whose sets are linked."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        for batch in batches:
+            keep = [(a + b) * _common(x, y) >= a * (len(x) + len(y)) for x, y in zip(_words(batch.column(4)), _words(batch.column(5)), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["ra", "rb", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
 def _could_link(a: int, b: int):
     """Drops the pairs whose bitmaps bound their overlap below the threshold."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             keep = np.zeros(len(na), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, (x, y) in enumerate(zip(_words(batch.column(6)), _words(batch.column(7)), strict=True)):
                 words = min(len(x), len(y))
                 x, y = _folded(x, words), _folded(y, words)
                 most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
                 keep[i] = (a + b) * most >= a * (na[i] + nb[i])
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["ra", "rb", "a", "b"]).filter(pa.array(keep))
     return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, with their exact overlap."""
+    """The pairs (ra, rb, a, b: components and sets) whose sets are linked."""
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}{name}") for c in columns])
 
-    bitmaps = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-    near = bitmaps.mapInArrow(_could_link(a, b), "a bigint, b bigint, na bigint, nb bigint")
-    whole = near.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("a", "b", "na", "nb", "elementsa", "elementsb")
-    exact = whole.mapInArrow(_overlap, "a bigint, b bigint, na bigint, nb bigint, common bigint")
-    return exact.where(F.lit(b) * F.col("common") >= F.lit(a) * (F.col("na") + F.col("nb") - F.col("common")))
-
-
-def _near_pairs(a: int, b: int):
-    """Pairs of different components in each block pair of a tile that the bitmaps can't rule out."""
-    def pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray, block: np.ndarray):
-        one = block == block.min()
-        two = ~one if not one.all() else one
-        left, right = np.flatnonzero(one), np.flatnonzero(two)
-        for i in left.tolist():
-            others = right[(roots[right] != roots[i]) & ((right > i) | (block[right] != block[i]))]
-            only = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1)
-            other = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1)
-            near = others[(a + b) * np.minimum(only, other).astype(np.int64) >= a * (n[i] + n[others])]
-            yield np.maximum(ids[i], ids[near]), np.minimum(ids[i], ids[near])
+    bitmaps = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("ra", "rb", "a", "b", "na", "nb", "bitsa", "bitsb")
+    near = bitmaps.mapInArrow(_could_link(a, b), PAIR)
+    whole = near.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("ra", "rb", "a", "b", "elementsa", "elementsb")
+    return whole.mapInArrow(_overlap(a, b), PAIR)
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group of equal first columns, which follow each other, also across batches."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        values = [table.column(c).to_numpy() for c in range(keys)]
+        edges = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([v[1:] != v[:-1] for v in values])])).tolist()
+        for x, y in zip(edges, edges[1:], strict=False):
+            yield table.slice(x, y - x)
+        held = table.slice(edges[-1])  # the last group may go on
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _block_members(group: pa.Table):
+    """Block, set ids, roots, sizes and bitmaps (of one width) of a group of two blocks, or of one with itself."""
+    block, ids, roots, n = (group.column(c).to_numpy() for c in range(3, 7))
+    bitmaps = _words(group.column(7).combine_chunks())
+    words = min(map(len, bitmaps))
+    return block, ids, roots, n, np.stack([_folded(m, words) for m in bitmaps])
+
 
+def _meets(block: np.ndarray):
+    """For each member of the first block, those it is compared with."""
+    one = block == block.min()
+    left, right = np.flatnonzero(one), np.flatnonzero(one if one.all() else ~one)
+    for i in left.tolist():
+        yield i, right[right > i] if one.all() else right
+
+
+def _near(i: int, others: np.ndarray, n: np.ndarray, bits: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Those of ``others`` that the bitmaps can't rule out as links of ``i``."""
+    only = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1)
+    other = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1)
+    return others[(a + b) * np.minimum(only, other).astype(np.int64) >= a * (n[i] + n[others])]
+
+
+def _alone(group: pa.Table) -> bool:
+    """Whether only one of the two blocks of a group is there, or one component."""
+    i, j, block, roots = (group.column(c).to_numpy() for c in (1, 2, 3, 5))
+    return (roots == roots[0]).all() or (i[0] != j[0] and (block == block[0]).all())
+
+
+def _suspects(a: int, b: int):
+    """Members of a group that the bitmaps can't rule out as links to another component."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(table: pa.Table):
-            tile, i, j, block, ids, roots, n = (table.column(c).to_numpy() for c in range(7))
-            bitmaps = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(7).combine_chunks()]
-            edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-            for x, y in zip(edges, edges[1:], strict=False):
-                if i[x] == j[x] or (block[x:y] != block[x]).any():
-                    words = min(map(len, bitmaps[x:y]))
-                    bits = np.stack([_folded(m, words) for m in bitmaps[x:y]])
-                    yield from pairs(ids[x:y], roots[x:y], n[x:y], bits, block[x:y])
-
-        def out(found) -> Iterator[pa.RecordBatch]:
-            found = [f for f in found if len(f[0])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
-
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            last = [table.column(c)[-1].as_py() for c in range(3)]
-            same = np.logical_and.reduce([table.column(c).to_numpy() == last[c] for c in range(3)])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
-            held = table.slice(cut)
-            if cut:
-                yield from out(of(table.slice(0, cut)))
-        if held is not None and held.num_rows:
-            yield from out(of(held))
+        release_memory()
+        for group in _groups(batches, 3):
+            if _alone(group):
+                continue
+            block, _, roots, n, bits = _block_members(group)
+            met = np.zeros(len(roots), bool)
+            for i, others in _meets(block):
+                near = _near(i, others[roots[others] != roots[i]], n, bits, a, b)
+                met[near] = True
+                met[i] |= len(near) > 0
+            if met.any():
+                found = group.select([0, 1, 2, 3, 4, 5]).filter(pa.array(met))
+                yield from found.combine_chunks().to_batches()
+    return run
 
+
+def _block_links(a: int, b: int):
+    """Exact links between the components of a group, fewer than it has members."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        for group in _groups(batches, 3):
+            if _alone(group):
+                continue
+            block, ids, roots, n, bits = _block_members(group)
+            elements = _words(group.column(8).combine_chunks())
+            now, links = roots.copy(), []
+            for i, others in _meets(block):
+                for j in _near(i, others[now[others] != now[i]], n, bits, a, b).tolist():
+                    if now[j] != now[i] and (a + b) * _common(elements[i], elements[j]) >= a * (n[i] + n[j]):
+                        links.append((roots[i], roots[j], ids[i], ids[j]))
+                        now[now == max(now[i], now[j])] = min(now[i], now[j])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["ra", "rb", "a", "b"])
     return run
 
 
-def _rest_pairs(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
-    """Pairs (a, b) to compare among all rows of ``left(tile, set_id, root, place, held)``: tiles as pairs of blocks of bounded size."""
-    block = F.floor((F.col("place") - 1) / BLOCK).cast("int")
-    blocks = F.floor((F.col("held") - 1) / BLOCK).cast("int")
+def _rest_links(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """Links (ra, rb, a, b) between components among all rows of ``left(tile, set_id, root, place, held, most)``: tiles as pairs of blocks."""
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_ELEMENTS) / F.col("most"))))
+    block = F.floor((F.col("place") - 1) / size).cast("int")
+    blocks = F.floor((F.col("held") - 1) / size).cast("int")
     # A set meets the blocks of its tile; a tile of one block is one group.
     dealt = left.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), blocks)))
     keyed = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    rows = keyed.join(sets.select("set_id", "n", "bits"), "set_id").select("tile", "i", "j", "block", "set_id", "root", "n", "bits")
-    grouped = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    return grouped.mapInArrow(_near_pairs(a, b), "a bigint, b bigint").distinct()
+    keys = "tile", "i", "j"
+    rows = keyed.join(sets.select("set_id", "n", "bits"), "set_id").select(*keys, "block", "set_id", "root", "n", "bits")
+    suspects = written(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _suspects(a, b), "tile bigint, i int, j int, block int, set_id bigint, root bigint"), "jaccard-suspects")
+    met = suspects.join(sets, "set_id").select(*keys, "block", "set_id", "root", "n", "bits", "elements")
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_links(a, b), PAIR)
+
+
+def _open_tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (tile, set_id, root, held, most, place) of the tiles that hold several components: how many sets, the largest one's size, and the set's place."""
+    named = members.select("tile", "set_id").join(roots, "set_id")
+    several = (named.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held"), F.max("n").alias("most"))
+               .where("r0 <> r1").select("tile", "held", "most"))
+    place = F.row_number().over(Window.partitionBy("tile").orderBy("set_id"))
+    return named.join(several, "tile").select("tile", "set_id", "root", "held", "most", place.alias("place"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(set_id, n, root)`` after the links (ra, rb) between roots."""
+    joined = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node"), F.col("root").alias("new"))
+    moved = roots.join(joined, roots["root"] == joined["node"], "left")
+    return written(moved.select("set_id", "n", F.coalesce("new", "root").alias("root")), "jaccard-roots")
 
 
 def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -345,36 +434,33 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     arrays = rows.select("text_key", "text").mapInArrow(_second_pass(n, wanted), "set_id bigint, n bigint, bits binary, elements binary")
     sets = written(arrays.join(leaders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-arrays")
 
-    ordered = F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    first = leaders.select(F.col("set_id").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y").select(*ordered).distinct()
-    links = written(_linked(first, sets, a, b), "jaccard-links")
-    roots = components(links)
-    left = members.select("tile", "set_id")
+    roots = sets.select("set_id", "n", F.col("set_id").alias("root"))
+    sided = leaders.select(F.col("set_id").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y")
+    first = sided.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().select(F.col("a").alias("ra"), F.col("b").alias("rb"), "a", "b")
+    roots = _merged(roots, written(_linked(first, sets, a, b), "jaccard-links"))
+    left = members
     while True:
-        # Tiles that still hold several components, without the sets that were compared with all the others.
-        named = left.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("tile", "set_id", F.coalesce("root", "set_id").alias("root"))
-        several = named.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held")).where("r0 <> r1").select("tile", "held")
-        place = F.row_number().over(Window.partitionBy("tile").orderBy("set_id"))
-        left = written(named.join(several, "tile").withColumn("place", place), "jaccard-left")
+        left = written(_open_tiles(left, roots), "jaccard-left")
         rows = left.count()
+        if not rows:
+            break
         lead = left.where(F.col("place") <= LEADERS).select("tile", F.col("set_id").alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
-        pairs = left.join(lead, "tile").where("place > place_y and root <> root_y").select(F.col("set_id").alias("x"), "y").select(*ordered).distinct()
+        met = left.join(lead, "tile").where("place > place_y and root <> root_y").groupBy("set_id", "root", "root_y").agg(F.min("y").alias("y"))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("y"))).where(F.col("rank") <= PARTNERS)
+        pairs = ranked.select(F.col("root").alias("ra"), F.col("root_y").alias("rb"), F.col("set_id").alias("a"), F.col("y").alias("b"))
         fresh = written(_linked(pairs, sets, a, b), "jaccard-links")
-        found_now = fresh.count() if rows else 0
+        found_now = fresh.count()
         if found_now:
-            links = links.unionByName(fresh)
-            roots = components(links)
+            roots = _merged(roots, fresh)
         if found_now <= rows // FEW:
             break
-        left = left.where(F.col("place") > LEADERS).select("tile", "set_id")
     if rows:
-        named = left.where(F.col("place") > LEADERS).drop("root").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-        rest = written(_linked(_rest_pairs(named.withColumn("root", F.coalesce("root", "set_id")), sets, a, b), sets, a, b), "jaccard-links")
+        rest = written(_rest_links(_open_tiles(left, roots), sets, a, b), "jaccard-links")
         if not rest.isEmpty():
-            roots = components(links.unionByName(rest))
+            roots = _merged(roots, rest)
 
     classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = classes.join(roots.select("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("set_id", "component")
     out = found.select("id", "text_key", "n", "set_id").join(named, "set_id", "left")
     return out.select(F.col("id").alias(id), "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -29,15 +29,28 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-# Rows of an Arrow batch that a Python task gets: texts can be long, and a batch is held several times over.
-BATCH_ROWS = 1000
+# Rows and bytes of an Arrow batch that a Python task gets: texts can be long, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` if it is larger (or unlimited); operators on texts call this."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's Arrow batch sizes to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are larger (or unlimited); operators on texts call this."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name)).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+def release_memory() -> None:
+    """Give memory that this process has freed back to the system: workers live on from task to task, and keep what they once held."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
