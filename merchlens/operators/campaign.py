@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import lit_ts
+from .bitmaps import bitmap_counts, dictionary, merged_bitmaps, value_bitmaps
 from ..sources.constants import LOST_STAGE, OPEN_STAGES, WON_STAGE
 
 
@@ -47,15 +48,10 @@ def net_new_history(leads: DataFrame, history: DataFrame) -> DataFrame:
     return leads.join(first.withColumnRenamed("lead_id", "id"), "id", "left")
 
 
-def campaign_members_mql(campaigns: DataFrame, members: DataFrame, leads: DataFrame, history: DataFrame,
-                         *, domain_suffix: str = "platform.example", qualified: str = "Qualified") -> DataFrame:
-    """Per (created day, campaign id, name): members, MQL and net-new MQL.
-
-    * members: distinct ``lead_or_contact_id``;
-    * MQL: distinct companies of qualified leads;
-    * net-new MQL: distinct companies of qualified leads with no history
-      row before the campaign was created (S11: a company counts if any of
-      its qualified leads qualifies).
+def member_rows(campaigns: DataFrame, members: DataFrame, leads: DataFrame, history: DataFrame,
+                *, domain_suffix: str = "platform.example", qualified: str = "Qualified") -> DataFrame:
+    """O21's tagged values: (created day, campaign id, name, kind, value, nn), one row a member ("member", id) and a qualified
+    lead's company ("company", its name); ``nn``: net-new. Values of a campaign may repeat.
 
     Members whose lead's domain ends in ``domain_suffix`` are excluded;
     members without a lead are kept.
@@ -75,24 +71,65 @@ def campaign_members_mql(campaigns: DataFrame, members: DataFrame, leads: DataFr
             .filter(~F.coalesce(F.col("domain_name").endswith(domain_suffix), F.lit(False))))
     is_qualified = F.col("status") == qualified
     net_new = is_qualified & ~F.coalesce(F.col("first_history_at") < F.col("created_at"), F.lit(False))
-    keys = ["created_date", "campaign_id", "name"]
-    # Three COUNT(DISTINCT ...) would be planned as an Expand that triples every
-    # member row. Instead every row becomes one or two tagged values, a member
-    # and the company of a qualified lead; (campaign, tag, value) is reduced to
-    # one row, which spreads a hot campaign, and both counts come from it.
     kinds = F.array(F.struct(F.lit("member").alias("kind"), F.col("lead_or_contact_id").alias("value"), F.lit(False).alias("nn")),
                     F.when(is_qualified & F.col("company").isNotNull(),
                            F.struct(F.lit("company").alias("kind"), F.col("company").alias("value"), net_new.alias("nn"))))
-    tagged = rows.select(F.to_date("created_at").alias("created_date"), "campaign_id", "name",
-                         F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select(*keys, "k.*")
-    values = tagged.groupBy(*keys, "kind", "value").agg(F.max("nn").alias("nn"))
+    return rows.select(F.to_date("created_at").alias("created_date"), "campaign_id", "name",
+                       F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select(*MEMBER_KEYS, "k.*")
+
+
+MEMBER_KEYS = ["created_date", "campaign_id", "name"]
+
+
+def campaign_members_mql(campaigns: DataFrame, members: DataFrame, leads: DataFrame, history: DataFrame,
+                         *, domain_suffix: str = "platform.example", qualified: str = "Qualified") -> DataFrame:
+    """Per (created day, campaign id, name): members, MQL and net-new MQL.
+
+    * members: distinct ``lead_or_contact_id``;
+    * MQL: distinct companies of qualified leads;
+    * net-new MQL: distinct companies of qualified leads with no history
+      row before the campaign was created (S11: a company counts if any of
+      its qualified leads qualifies).
+
+    Three COUNT(DISTINCT ...) would be planned as an Expand that triples every
+    member row. Instead every row becomes one or two tagged values
+    (``member_rows``); (campaign, tag, value) is reduced to one row, which
+    spreads a hot campaign, and both counts come from it.
+    """
+    tagged = member_rows(campaigns, members, leads, history, domain_suffix=domain_suffix, qualified=qualified)
+    values = tagged.groupBy(*MEMBER_KEYS, "kind", "value").agg(F.max("nn").alias("nn"))
     company = F.col("kind") == "company"
-    return values.groupBy(*keys).agg(
+    return values.groupBy(*MEMBER_KEYS).agg(
         F.count(F.when(~company, F.col("value"))).alias("members"),
         F.count(F.when(company, F.col("value"))).alias("MQL"),
         F.count(F.when(company & F.col("nn"), F.col("value"))).alias("net_new_mql"))
 
 
+def member_counts_rollup(rows: DataFrame) -> DataFrame:
+    """O21's counts at three levels (campaign, day, all), coarser levels merged from the campaigns' bitmaps.
+
+    A member or company of several campaigns counts once a day and once over all. Columns: level, created_date, campaign_id
+    (null above their level), members, MQL, net_new_mql.
+    """
+    tagged = F.concat_ws("\0", "kind", "value")  # members and companies share one dictionary
+    marked = rows.withColumn("_tagged", tagged)
+    numbered = marked.join(dictionary(marked, "_tagged"), "_tagged")
+    measures = F.filter(F.array(F.when(F.col("kind") == "member", "members"), F.when(F.col("kind") == "company", "MQL"),
+                                F.when((F.col("kind") == "company") & F.col("nn"), "net_new_mql")), lambda m: m.isNotNull())
+    keys = ["created_date", "campaign_id"]
+    maps = value_bitmaps(numbered.select(*keys, "value_id", F.explode(measures).alias("measure")), [*keys, "measure"], "value_id")
+    day = merged_bitmaps(maps, ["created_date", "measure"])
+    whole = merged_bitmaps(day, ["measure"])
+    levels = []
+    for level, of, held in (("campaign", maps, keys), ("day", day, keys[:1]), ("all", whole, [])):
+        counts = bitmap_counts(of, [*held, "measure"], "n")
+        pivoted = counts.groupBy(*held).agg(*[F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("n"))), F.lit(0)).cast("bigint").alias(m)
+                                              for m in ("members", "MQL", "net_new_mql")])
+        nulls = {"created_date": F.lit(None).cast("date"), "campaign_id": F.lit(None).cast(maps.schema["campaign_id"].dataType)}
+        levels.append(pivoted.withColumns({"level": F.lit(level), **{k: v for k, v in nulls.items() if k not in held}}))
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
 def stage_pivot(opportunities: DataFrame, *, campaign_ids: DataFrame | None = None,
                 won: str = WON_STAGE, lost: str = LOST_STAGE,
                 open_stages: Sequence[str] = tuple(OPEN_STAGES)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import lit_ts, period_flags
+from ..sources.stored import CLOSED_MONTH
 from .enrich import label_unknown
 from .rollup import (ALL_MEASURES, FUNNEL_DIMS, FUNNEL_MEASURES, MART_DECIMAL, ROW_COUNT, ROW_DEALS,
                      ROW_VALUE, VALUE_MEASURES, funnel_rows, regrain)
@@ -18,6 +19,12 @@ from .rollup import (ALL_MEASURES, FUNNEL_DIMS, FUNNEL_MEASURES, MART_DECIMAL, R
 DEALS_PER_VALUE = "0.0005"
 
 
+def opportunity_keys(opps: DataFrame, attribution: DataFrame) -> list[str]:
+    """Columns to join the two on: the opportunity's key, and the month of its closing if both are stored by it."""
+    stored = CLOSED_MONTH in opps.columns and CLOSED_MONTH in attribution.columns
+    return ["_plus_opportunity_key", CLOSED_MONTH] if stored else ["_plus_opportunity_key"]
+
+
 def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame, channels: DataFrame,
                *, since: str | dt.datetime = "2019-02-01") -> DataFrame:
     """Closed opportunities from ``since`` on, joined to attribution rows and
@@ -27,7 +34,12 @@ def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
     Touchpoint and channel strings are never shuffled at line grain.
 
     S5: the value is taken as DECIMAL(25,7) and the weight as DECIMAL(12,10);
-    their product keeps every digit in 38."""
+    their product keeps every digit in 38.
+
+    If both tables are stored by the month of the opportunity's closing
+    (``CLOSED_MONTH``), they are joined on it as well: then the bound on
+    opportunities, and whatever else selects them, prunes partitions of the
+    attribution facts."""
     if isinstance(since, str):
         since = dt.datetime.fromisoformat(since)
     pod = opps.filter(F.col("is_closed") & (F.col("opportunity_closed_date") >= lit_ts(since)))
@@ -35,9 +47,10 @@ def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
     tp_key, ch_key = "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key"
     dims = ["cost_center", "cost_center_track", "market_segment", "inferred_region", "inferred_country_code",
             "deal_type_category", "sales_region", "upgrade_type", "attributed_source"]
-    narrow = (pod.select("_plus_opportunity_key", "is_won", "monthly_contract_value", *dims,
+    on = opportunity_keys(opps, attribution)
+    narrow = (pod.select(*on, "is_won", "monthly_contract_value", *dims,
                          F.date_trunc("day", "opportunity_closed_date").cast("timestamp_ntz").alias("event_date"))
-              .join(attribution, "_plus_opportunity_key")
+              .join(attribution, on)
               .groupBy("event_date", tp_key, ch_key, *dims)
               .agg(F.sum(F.when(F.col("is_won"), value).otherwise(F.lit(0)).cast(ROW_VALUE)).cast(ROW_VALUE).alias("value")))
     joined = narrow.join(touchpoints, tp_key).join(channels, ch_key)
@@ -114,12 +127,26 @@ def kpi_mart(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
     The date filter is on a grouping column, so Catalyst pushes it below the
     re-grain and into both stacked inputs.
     """
-    if isinstance(since, str):
-        since = dt.datetime.fromisoformat(since)
+    mart = mart_rows(opps=opps, attribution=attribution, touchpoints=touchpoints, channels=channels, rollup=rollup,
+                     sources=sources, countries=countries, since=since, value_since=value_since)
+    return with_flags(mart, as_of)
+
+
+def with_flags(mart: DataFrame, as_of: str | dt.date | dt.datetime) -> DataFrame:
+    """The mart's period flags at a reporting date: the only columns that change as it moves."""
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
     elif isinstance(as_of, dt.date) and not isinstance(as_of, dt.datetime):
         as_of = dt.datetime.combine(as_of, dt.time())
+    return mart.withColumns(period_flags("event_date", as_of))
+
+
+def mart_rows(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame, channels: DataFrame,
+              rollup: DataFrame, sources: DataFrame, countries: DataFrame, since: str | dt.datetime = "2019-07-01",
+              value_since: str | dt.datetime = "2019-02-01") -> DataFrame:
+    """The mart without its period flags, which alone depend on the reporting date."""
+    if isinstance(since, str):
+        since = dt.datetime.fromisoformat(since)
     # Both inputs arrive summed on their narrow keys; stacked (S7: no distinct
     # is needed) they are summed once to the mart's dimensions.
     funnel = funnel_rows(rollup, sources, touchpoints, channels)
@@ -129,7 +156,6 @@ def kpi_mart(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
     dims = FUNNEL_DIMS[:6] + ["country"] + FUNNEL_DIMS[6:]
     mart = regrain(labelled, dims, ALL_MEASURES)
     mart = non_conversion_columns(mart)
-    mart = mart.withColumns(period_flags("event_date", as_of))
     return mart.filter(F.col("event_date") >= lit_ts(since))
 
 
@@ -168,9 +194,9 @@ def kpi_campaign_names(*, opps: DataFrame, attribution: DataFrame, touchpoints:
     pod = (opps.filter(F.col("is_closed") & (F.col("sales_region") == sales_region)
                        & (F.col("opportunity_closed_date") >= lit_ts(value_since))
                        & (F.date_trunc("day", "opportunity_closed_date") >= lit_ts(start)))
-           .select("_plus_opportunity_key"))
-    value_keys = (attribution.select("_plus_opportunity_key", tp_key, ch_key)
-                  .join(pod, "_plus_opportunity_key", "left_semi")
+           .select(*opportunity_keys(opps, attribution)))
+    value_keys = (attribution.select(*pod.columns, tp_key, ch_key)
+                  .join(pod, pod.columns, "left_semi")
                   .join(ch, ch_key, "left_semi")
                   .select(tp_key))
     keys = funnel_keys.unionByName(value_keys).distinct()

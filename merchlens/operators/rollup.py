@@ -12,7 +12,7 @@ on its raw columns.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +72,8 @@ def month_spine(dates: DataFrame, years: Sequence[str], date_col: str = "date",
 def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, fulfillments: DataFrame,
                         *, country_codes: Sequence[str], gateway_names: Sequence[str],
                         since: str | dt.date, as_of: str | dt.date, cap: int = 1_000_000,
-                        status: str = "Included in Reported GMV", transaction_index: str = "1") -> DataFrame:
+                        status: str = "Included in Reported GMV", transaction_index: str = "1",
+                        key_filter: Callable[[DataFrame, DataFrame, str], DataFrame] = cohort_semi_join) -> DataFrame:
     """Monthly sum of first-transaction amounts through the given gateways.
 
     Rows must be included in reported GMV, reported after ``since``, be the
@@ -83,7 +84,8 @@ def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, f
     The reference writes the gateway and shop lookups as left joins filtered
     in WHERE, i.e. inner joins; they are inner joins on key-only projections
     here. Join strategies are left to Spark's size check: the filtered gateway
-    list is a handful of rows and is broadcast on that evidence.
+    list is a handful of rows and is broadcast on that evidence. The fulfilled
+    orders are a set as large as a fact: ``key_filter`` may be ``bloom_semi_join``.
     """
     after = lit_ts(dt.datetime.combine(_date(since) + dt.timedelta(days=1), dt.time()))
     facts = gmv.filter(
@@ -94,9 +96,8 @@ def gateway_gmv_monthly(gmv: DataFrame, gateways: DataFrame, shops: DataFrame, f
         & (F.col("reported_at") < lit_ts(dt.datetime.combine(_date(as_of).replace(day=1), dt.time()))))
     gw = gateways.filter(F.col("payment_gateway_name").isin(list(gateway_names))).select("_payment_gateway_key")
     shop_keys = shops.filter(F.col("shop_country_code").isin(list(country_codes))).select("_shop_key")
-    facts = (facts.join(gw, "_payment_gateway_key")
-             .join(shop_keys, "_shop_key")
-             .join(fulfillments.select("order_id"), "order_id", "left_semi"))
+    facts = facts.join(gw, "_payment_gateway_key").join(shop_keys, "_shop_key")
+    facts = key_filter(facts, fulfillments.select("order_id"), "order_id")
     return (facts.groupBy(month_start("reported_at").alias("reported_date"))
             .agg(sum_like(facts, "transaction_amount_usd").alias("transaction_amount_usd")))
 

@@ -40,13 +40,15 @@ TEST_PARAMS = {
 APP_SINCE, PLAN_SINCE, TRACKER_SINCE = dt.date(2021, 1, 1), dt.date(2022, 1, 1), dt.date(2022, 3, 30)
 PLAN_YEARS = dict(since=dt.date(2022, 1, 1), until=dt.date(2023, 12, 31))
 YEAR_2022 = dict(since=dt.date(2022, 1, 1), until=dt.date(2022, 12, 31))
+MART_SINCE, VALUE_SINCE = dt.date(2019, 7, 1), dt.date(2019, 2, 1)
 COMPLETE = DEFAULT_AS_OF.replace(day=1) - dt.timedelta(days=1)  # last day of the last complete month
 LAST_YEAR = DEFAULT_AS_OF - dt.timedelta(days=366)
 
 
 def _mart_inputs(w: Warehouse) -> dict:
-    return dict(opps=w.opportunity_dim(), attribution=w.attribution_facts(), touchpoints=w.touchpoints(),
-                channels=w.marketing_channels(), rollup=w.funnel_rollup_daily(), sources=w.sources())
+    """Inputs of the mart and its name set: events before ``MART_SINCE`` are in neither."""
+    return dict(opps=w.opportunity_dim(MART_SINCE), attribution=w.attribution_facts(), touchpoints=w.touchpoints(),
+                channels=w.marketing_channels(), rollup=w.funnel_rollup_daily(MART_SINCE), sources=w.sources())
 
 
 def _kpi_names(w: Warehouse) -> DataFrame:
@@ -123,7 +125,7 @@ def q_kpi_campaign_names(w: Warehouse):
 
 
 def q_attributed_value_split(w: Warehouse):
-    return funnel.attributed_value_split(w.opportunity_dim(), w.attribution_facts(), w.touchpoints(),
+    return funnel.attributed_value_split(w.opportunity_dim(VALUE_SINCE), w.attribution_facts(), w.touchpoints(),
                                          w.marketing_channels())
 
 
@@ -220,7 +222,7 @@ def q_party_fallback(w: Warehouse):
 
 def _stacked(w: Warehouse) -> DataFrame:
     funnel_part = rollup.funnel_rollup(w.funnel_rollup_daily(), w.sources(), w.touchpoints(), w.marketing_channels())
-    value_part = funnel.attributed_value_split(w.opportunity_dim(), w.attribution_facts(), w.touchpoints(),
+    value_part = funnel.attributed_value_split(w.opportunity_dim(VALUE_SINCE), w.attribution_facts(), w.touchpoints(),
                                               w.marketing_channels())
     return funnel_part, value_part
 

@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.warehouse import Warehouse
@@ -53,11 +54,13 @@ class WrittenWarehouse(Warehouse):
     def shops(self) -> DataFrame:
         return self._shared("shops", super().shops)
 
-    def opportunity_dim(self) -> DataFrame:
-        return self._shared("opportunity_dim", super().opportunity_dim)
+    def opportunity_dim(self, since: dt.date | None = None) -> DataFrame:
+        written = self._shared("opportunity_dim", super().opportunity_dim)
+        return written if since is None else written.filter(F.col("opportunity_closed_date") >= F.lit(dt.datetime.combine(since, dt.time())).cast("timestamp_ntz"))
 
-    def funnel_rollup_daily(self) -> DataFrame:
-        return self._shared("funnel_rollup_daily", super().funnel_rollup_daily)
+    def funnel_rollup_daily(self, since: dt.date | None = None) -> DataFrame:
+        written = self._shared("funnel_rollup_daily", super().funnel_rollup_daily)
+        return written if since is None else written.filter(F.col("date") >= F.lit(since))
 
 
 def refresh_reports(spark: SparkSession, sf_dir: str, out_dir: str | None = None,

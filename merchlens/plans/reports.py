@@ -10,7 +10,7 @@ under that assumption a left join to a dimension never multiplies rows.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,16 +82,15 @@ def regional_app_gmv_monthly(daily_gmv: DataFrame, shops: DataFrame, merchants:
     ])
     managers = merchants.select(F.col("merchant_id").alias("current_merchant_id"),
                            "current_merchant_success_manager")
-    partner = partners.select(F.col("platform_partner_id").alias("partner_id"),
+    partner = partners.select(F.col("platform_partner_id").cast("string").alias("_partner_key"),
                               F.col("platform_partner_id"), "partner_company_name", "partner_url",
                               "partner_name")
     developers = shops.select(F.col("shop_id").alias("application_developer_shop_id"),
                           F.col("current_merchant_name").alias("developer_merchant_name"))
-    # Apps without a partner don't enter the join: their null key would be one partition.
-    bare = enriched.filter(F.col("partner_id").isNull()).withColumns(
-        {f.name: F.lit(None).cast(f.dataType) for f in partner.schema.fields if f.name != "partner_id"})
-    enriched = enriched.filter(F.col("partner_id").isNotNull()).join(partner, "partner_id", "left").unionByName(bare)
-    enriched = (enriched.join(managers, "current_merchant_id", "left")
+    # Apps without a partner match nothing; keys of their own keep them out of one partition.
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("api_client_id", "_shop_key"), F.lit(4096)).cast("string"))
+    enriched = enriched.withColumn("_partner_key", F.coalesce(F.col("partner_id").cast("string"), spread))
+    enriched = (enriched.join(partner, "_partner_key", "left").join(managers, "current_merchant_id", "left")
                 .join(developers, "application_developer_shop_id", "left"))
     enriched = party_fallback(enriched, "platform_partner_id", "application_developer_shop_id",
                               "partner_name", "developer_merchant_name")
@@ -323,13 +322,16 @@ def partner_outbound_list(state_facts: DataFrame, merchants: DataFrame, region_m
         "partner_name", "partner_country_name", "current_partner_manager")
     payment_flags = shops.select(F.col("shop_id").alias("current_merchant_primary_shop_id"),
                       "eligible_for_platform_payments", "using_platform_payments")
-    window_totals = (shop_daily.filter(F.col("datetime") >= lit_ts(dt.datetime.combine(as_of - dt.timedelta(days=window_days), dt.time())))
-           .groupBy(F.col("shop_id").alias("current_merchant_primary_shop_id"))
+    selected = (transitions.join(referred, "_merchant_key").join(region_keys, "_commercial_region_mapping_key")
+                .join(local_partners, "currently_associated_platform_partner_id"))
+    # Few merchants are left: only their primary shops' days are summed.
+    chosen_days = cohort_semi_join(
+        shop_daily.filter(F.col("datetime") >= lit_ts(dt.datetime.combine(as_of - dt.timedelta(days=window_days), dt.time()))),
+        selected.select(F.col("current_merchant_primary_shop_id").alias("shop_id")).distinct(), "shop_id")
+    window_totals = (chosen_days.groupBy(F.col("shop_id").alias("current_merchant_primary_shop_id"))
            .agg(F.sum("daily_gmv_usd").alias("gmv_window"),
                 F.sum("daily_gross_platform_payments_revenue_amount_usd").alias("revenue_window")))
-    joined = (transitions.join(referred, "_merchant_key").join(region_keys, "_commercial_region_mapping_key")
-              .join(local_partners, "currently_associated_platform_partner_id")
-              .join(payment_flags, "current_merchant_primary_shop_id")
+    joined = (selected.join(payment_flags, "current_merchant_primary_shop_id")
               .join(window_totals, "current_merchant_primary_shop_id"))
     summed = (joined.groupBy("merchant_id", "merchant_name", "merchant_country_name", "partner_name",
                           "partner_country_name", "current_partner_manager", "eligible_for_platform_payments",
@@ -362,7 +364,8 @@ def churn_risk_list(merchants: DataFrame, shops: DataFrame, *, country_name: str
 
 # ----------------------------------------------------------------------------- Q12
 def vendor_line_items(line_items: DataFrame, gmv_facts: DataFrame, products: DataFrame, installs: DataFrame,
-                      gateways: DataFrame, *, vendor: str, api_client_id: str, after_year: int = 2021) -> DataFrame:
+                      gateways: DataFrame, *, vendor: str, api_client_id: str, after_year: int = 2021,
+                      key_filter: Callable[[DataFrame, DataFrame, str], DataFrame] = cohort_semi_join) -> DataFrame:
     """Q12: line items of one vendor's products sold in shops that have install
     facts for one app, with the order's GMV and smallest gateway key after a
     year, and that gateway's category.
@@ -370,15 +373,17 @@ def vendor_line_items(line_items: DataFrame, gmv_facts: DataFrame, products: Dat
     The order roll-up is only needed for the selected line items' orders, so
     the GMV facts are semi-joined to those order ids before aggregating.
     ``price``, which the reference outputs twice, is output once (S10).
+    ``key_filter`` keeps the facts' rows whose key is in a set (products, orders):
+    ``bloom_semi_join`` for sets too large to broadcast. Line items stored with
+    an ``order_key`` (the order's id as a string) are joined on it as it is.
     """
     shops_with_app = app_install_shops(installs, api_client_id).select("shop_id")
     product_ids = cohort_semi_join(products.filter(F.col("product_vendor") == vendor),
                                    shops_with_app, "shop_id").select("product_id")
-    items = (line_items.withColumn("product_id", F.col("product_id").cast("string"))
-             .join(product_ids, "product_id", "left_semi")
-             .withColumn("order_key", F.col("order_id").cast("string")))
-    orders = order_rollup(gmv_facts.join(items.select(F.col("order_key").alias("order_id")),
-                                         "order_id", "left_semi"), after_year=after_year)
+    if "order_key" not in line_items.columns:
+        line_items = line_items.withColumn("order_key", F.col("order_id").cast("string"))
+    items = key_filter(line_items.withColumn("product_id", F.col("product_id").cast("string")), product_ids, "product_id")
+    orders = order_rollup(key_filter(gmv_facts, items.select(F.col("order_key").alias("order_id")), "order_id"), after_year=after_year)
     priced = items.join(orders.withColumnRenamed("order_id", "order_key"), "order_key", "left").select(
         "created_at", "order_id", "shop_id", "title", "quantity", "price", "order_gmv",
         "payment_gateway_key", "fulfillment_status")

@@ -514,9 +514,11 @@ class Warehouse:
             money("l_extendedprice").alias("amount"))
 
     # ------------------------------------------------------------------ funnel mart
-    def opportunity_dim(self) -> DataFrame:
-        """Opportunities: one per order, closed at some hour of a quarter's first day."""
-        o = self.raw("orders")
+    def opportunity_dim(self, since: dt.date | None = None) -> DataFrame:
+        """Opportunities: one per order, closed at some hour of a quarter's first day (not after the order's).
+
+        ``since``: opportunities closed before that day aren't needed."""
+        o = self.dated("orders", "o_orderdate", since and since - dt.timedelta(days=1), None)
         c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         n = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
         r = self.raw("region")
@@ -581,13 +583,14 @@ class Warehouse:
             F.lower("r_name").alias("lead_acquisition_sub_path"),
             F.concat(F.lit("source "), F.lower("r_name")).alias("cleaned_source"))
 
-    def funnel_rollup_daily(self) -> DataFrame:
+    def funnel_rollup_daily(self, since: dt.date | None = None) -> DataFrame:
+        """Rollup rows, dated with their quarter's first day (not after the ship date); rows dated before ``since`` aren't needed."""
         s = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         n = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
         region = country_of("s_nationkey", "region")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
         one = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
-        return (self.raw("lineitem").join(s, "l_suppkey").join(n, "s_nationkey")
+        return (self.dated("lineitem", "l_shipdate", since, None).join(s, "l_suppkey").join(n, "s_nationkey")
                 .select(
                     F.trunc(shifted("l_shipdate"), "quarter").alias("date"),
                     F.col("n_regionkey").alias("_source_key"),

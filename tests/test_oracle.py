@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import SF_ORACLE, compare
-from merchlens.plans import catalog, oracle
+from merchlens.plans import catalog, maintained, oracle
 
-QUERIES = {name: entry.queries()[name] for name in catalog.QUERIES}
+QUERIES = {name: entry.queries()[name] for name in catalog.QUERIES | maintained.QUERIES}
 ORACLE = oracle.oracle_sql()
 
 
