@@ -27,22 +27,26 @@ def _rows(docs: DataFrame, of: DataFrame, how: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without recognisable languages; words may be of several."""
+    """Drop texts without recognisable languages (null and empty texts among them); words may be of several. If no row has a language
+    to learn from, nothing can be recognised or rejected, and all rows stay."""
+    model = language_crf.fit(docs)
+    if model is None:
+        return docs
     made = tuple(unused(docs, c) for c in ("_lang_pred", "_lang_score", "_lang_shares"))
     sure = unused(docs, "_lang_certainty")
-    marked = language_crf.identify(docs, language_crf.fit(docs), columns=made, certainty=sure)
+    marked = language_crf.identify(docs, model, columns=made, certainty=sure)
     return marked.where((F.col(made[0]) != language_crf.UND) & (F.col(sure) >= LANGUAGE_SCORE)).drop(*made, sure)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop toxic texts."""
+    """Drop toxic texts; null and empty texts score as texts without words and stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = unused(docs, "_toxicity")
     return toxicity.score(docs, model, column=name).where(F.col(name) < TOXIC_SCORE).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the one with the least id."""
+    """Keep one document of each group of near duplicates: the one with the least id. Null and empty texts are near nothing: all their rows stay."""
     classes = written(jaccard_join.jaccard_classes(docs, n=SHINGLE, threshold=SIMILARITY), "pipeline-classes")
     rows = classes.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
     # A component's id is null only if all its ids are: then its least text hash stays.
@@ -57,13 +61,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents contaminated by benchmark items."""
+    """Drop documents contaminated by benchmark items; null and empty texts hold none and stay."""
     found = winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _rows(docs, found.where("contaminated"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs`` with the text's ids, their number, and whether they decode to the text."""
+    """The columns of ``docs`` with the text's ids, their number, and whether they decode to the text: a null text has null ids
+    and ``n_tokens``, an empty one no ids; both are lossless."""
     name = unused(docs, "_decoded")
     made = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, column="piece_ids"), column=name)
     return made.withColumns({"n_tokens": F.size("piece_ids").cast("bigint"), "lossless": F.col(name).eqNullSafe(F.col("text"))}).drop(name)
