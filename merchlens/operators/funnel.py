@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import lit_ts, period_flags
 from ..sources.stored import CLOSED_MONTH
 from .enrich import label_unknown
-from .rollup import (ALL_MEASURES, FUNNEL_DIMS, FUNNEL_MEASURES, MART_DECIMAL, ROW_COUNT, ROW_DEALS,
-                     ROW_VALUE, VALUE_MEASURES, funnel_rows, regrain)
-
-# Scale factor applied to attributed contract value to count "deals won".
-# ``x / 2000`` is written as ``x * 0.0005``: the same value, and a product
-# keeps every decimal digit where a decimal quotient would be rounded.
-DEALS_PER_VALUE = "0.0005"
-
+from .rollup import (ALL_MEASURES, CHANNEL_KEY, FUNNEL_DIMS, FUNNEL_MEASURES, MART_DECIMAL, NARROW_DIMS, ROW_COUNT,
+                     ROW_VALUE, TOUCHPOINT_KEY, VALUE_MEASURES, described, funnel_rows, narrow_sums, with_standing_keys)
 
 def opportunity_keys(opps: DataFrame, attribution: DataFrame) -> list[str]:
     """Columns to join the two on: the opportunity's key, and the month of its closing if both are stored by it."""
@@ -29,9 +23,9 @@ def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
                *, since: str | dt.datetime = "2019-02-01") -> DataFrame:
     """Closed opportunities from ``since`` on, joined to attribution rows and
     summed on (day, opportunity dimensions, touchpoint key, channel key), then
-    joined to touchpoints and channels: the 20 reporting columns and the ten
-    measures (attributed value of won rows; the eight counts are zero).
-    Touchpoint and channel strings are never shuffled at line grain.
+    joined to touchpoints and channels by key: rows at ``NARROW_DIMS`` with the
+    attributed value of won rows and no counts. Nothing but keys and the
+    opportunity's own short columns is shuffled at line grain.
 
     S5: the value is taken as DECIMAL(25,7) and the weight as DECIMAL(12,10);
     their product keeps every digit in 38.
@@ -44,41 +38,17 @@ def value_rows(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
         since = dt.datetime.fromisoformat(since)
     pod = opps.filter(F.col("is_closed") & (F.col("opportunity_closed_date") >= lit_ts(since)))
     value = F.col("monthly_contract_value").cast("decimal(25,7)") * F.col("count_w_shaped").cast("decimal(12,10)")
-    tp_key, ch_key = "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key"
-    dims = ["cost_center", "cost_center_track", "market_segment", "inferred_region", "inferred_country_code",
-            "deal_type_category", "sales_region", "upgrade_type", "attributed_source"]
+    dims = {"cost_center": "cost_center", "cost_center_track": "cost_center_track", "segment": "market_segment", "region": "inferred_region",
+            "country_code": "inferred_country_code", "deal_type": "deal_type_category", "sales_region": "sales_region",
+            "upgrade_type": "upgrade_type", "source": "attributed_source"}
     on = opportunity_keys(opps, attribution)
-    narrow = (pod.select(*on, "is_won", "monthly_contract_value", *dims,
-                         F.date_trunc("day", "opportunity_closed_date").cast("timestamp_ntz").alias("event_date"))
-              .join(attribution, on)
-              .groupBy("event_date", tp_key, ch_key, *dims)
-              .agg(F.sum(F.when(F.col("is_won"), value).otherwise(F.lit(0)).cast(ROW_VALUE)).cast(ROW_VALUE).alias("value")))
-    joined = narrow.join(touchpoints, tp_key).join(channels, ch_key)
-    return joined.select(
-        F.col("event_date"),
-        F.col("cost_center"),
-        F.col("cost_center_track"),
-        F.col("market_segment").alias("segment"),
-        F.col("inferred_region").alias("region"),
-        F.col("inferred_country_code").alias("country_code"),
-        F.col("deal_type_category").alias("deal_type"),
-        F.col("sales_region"),
-        F.col("upgrade_type"),
-        F.col("attributed_source").alias("source"),
-        F.col("ad_campaign_name"),
-        F.col("ad_content"),
-        F.col("keyword_text"),
-        F.lower("medium").alias("MEDIUM"),
-        F.col("touchpoint_source"),
-        F.col("marketing_channel"),
-        F.col("adjusted_marketing_channel_path"),
-        F.col("marketing_channel_path"),
-        F.col("cost_center").alias("lead_acquisition_path"),
-        F.col("cost_center_track").alias("lead_acquisition_sub_path"),
-        *[F.lit(0).cast(ROW_COUNT).alias(m) for m in FUNNEL_MEASURES],
-        F.col("value").alias("net_new_monthly_contract_value"),
-        (F.col("value") * F.lit(DEALS_PER_VALUE).cast("decimal(5,4)")).cast(ROW_DEALS).alias("net_new_deals_won"),
-    )
+    keyed = (pod.select(*on, "is_won", "monthly_contract_value", *[F.col(c).alias(n) for n, c in dims.items()],
+                        F.date_trunc("day", "opportunity_closed_date").cast("timestamp_ntz").alias("event_date"))
+             .join(attribution, on)
+             .groupBy("event_date", TOUCHPOINT_KEY, CHANNEL_KEY, *dims)
+             .agg(F.sum(F.when(F.col("is_won"), value).otherwise(F.lit(0)).cast(ROW_VALUE)).cast(ROW_VALUE).alias("net_new_monthly_contract_value")))
+    return with_standing_keys(keyed, touchpoints, channels).select(
+        *NARROW_DIMS, *[F.lit(0).cast(ROW_COUNT).alias(m) for m in FUNNEL_MEASURES], "net_new_monthly_contract_value")
 
 
 def attributed_value_split(opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,
@@ -93,7 +63,7 @@ def attributed_value_split(opps: DataFrame, attribution: DataFrame, touchpoints:
     Decimal rule (S5): see ``value_rows``; totals are cast to DECIMAL(38,7).
     """
     rows = value_rows(opps, attribution, touchpoints, channels, since=since)
-    return regrain(rows, FUNNEL_DIMS, ALL_MEASURES)
+    return described(narrow_sums(rows), touchpoints, channels)
 
 
 # (output, minuend, subtrahend), in the reference's order.
@@ -147,16 +117,14 @@ def mart_rows(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame
     """The mart without its period flags, which alone depend on the reporting date."""
     if isinstance(since, str):
         since = dt.datetime.fromisoformat(since)
-    # Both inputs arrive summed on their narrow keys; stacked (S7: no distinct
-    # is needed) they are summed once to the mart's dimensions.
+    # Stacked (S7: no distinct is needed) and summed once, in short columns; names of
+    # touchpoints, channels and countries are joined to the sums.
     funnel = funnel_rows(rollup, sources, touchpoints, channels)
     value = value_rows(opps, attribution, touchpoints, channels, since=value_since)
-    stacked = funnel.unionByName(value)
-    labelled = label_unknown(stacked, countries)
-    dims = FUNNEL_DIMS[:6] + ["country"] + FUNNEL_DIMS[6:]
-    mart = regrain(labelled, dims, ALL_MEASURES)
-    mart = non_conversion_columns(mart)
-    return mart.filter(F.col("event_date") >= lit_ts(since))
+    stacked = funnel.unionByName(value).filter(F.col("event_date") >= lit_ts(since))
+    labelled = label_unknown(described(narrow_sums(stacked), touchpoints, channels), countries)
+    mart = labelled.select(*FUNNEL_DIMS[:6], "country", *FUNNEL_DIMS[6:], *ALL_MEASURES)
+    return non_conversion_columns(mart)
 
 
 def kpi_campaign_names(*, opps: DataFrame, attribution: DataFrame, touchpoints: DataFrame,

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.dates import complete_months, lit_date, lit_ts, month_start
 from ..sources.warehouse import literal_table
@@ -180,15 +181,15 @@ ALL_MEASURES = FUNNEL_MEASURES + VALUE_MEASURES
 MART_DECIMAL = "decimal(38,7)"
 
 
-# Row-level measure types: counts are BIGINT; attributed value is an exact
-# product of DECIMAL(25,7) and DECIMAL(12,10); deals add a factor.
+# Measure types before the last sum: counts are BIGINT; attributed value is an
+# exact product of DECIMAL(25,7) and DECIMAL(12,10).
 ROW_COUNT = "bigint"
 ROW_VALUE = "decimal(38,17)"
-ROW_DEALS = "decimal(38,15)"
+# Scale factor applied to attributed contract value to count "deals won".
+# ``x / 2000`` is written as ``x * 0.0005``: the same value, and a product
+# keeps the decimal digits where a decimal quotient would be rounded.
+DEALS_PER_VALUE = "0.0005"
 
-# Fact-level columns of the rollup that are reporting dimensions as they are.
-ROLLUP_KEYS = ["date", "_source_key", "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key", "segment_for_quota",
-               "merchant_region", "country_code", "deal_type", "sales_region", "upgrade_type"]
 ROLLUP_MEASURES = {
     "net_new_sessions": "total_sessions",
     "net_new_leads": "net_new_leads",
@@ -200,41 +201,58 @@ ROLLUP_MEASURES = {
     "net_new_created_opportunities": "created_opportunities",
 }
 
+# The mart's grain in short columns: eight of its dimensions are attributes of the
+# touchpoint and the channel, and the acquisition path repeats the cost centre.
+TOUCHPOINT, CHANNEL = "_touchpoint", "_channel"
+NARROW_DIMS = FUNNEL_DIMS[:10] + [TOUCHPOINT, CHANNEL]
+TOUCHPOINT_KEY, CHANNEL_KEY = "_revenue_touchpoint_attribution_key", "_plus_marketing_channel_key"
+_TOUCHPOINT_NAMES = {"ad_campaign_name": "ad_campaign_name", "ad_content": "ad_content", "keyword_text": "keyword_text", "MEDIUM": F.lower, "touchpoint_source": "touchpoint_source"}
+_CHANNEL_NAMES = {n: n for n in ("marketing_channel", "adjusted_marketing_channel_path", "marketing_channel_path")}
 
-def funnel_rows(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
-                channels: DataFrame) -> DataFrame:
-    """Rollup measures summed on their narrow keys, then joined to their
-    reporting dimensions: the 20 reporting columns and the ten measures (the
-    two value measures are zero). Only keys and short codes are shuffled."""
-    narrow = rollup.groupBy(*ROLLUP_KEYS).agg(*[F.sum(src).cast(ROW_COUNT).alias(f"_{name}") for name, src in ROLLUP_MEASURES.items()])
-    joined = (narrow.join(sources, "_source_key")
-              .join(touchpoints, "_revenue_touchpoint_attribution_key")
-              .join(channels, "_plus_marketing_channel_key"))
+
+def _named(dim: DataFrame, key: str, names: Mapping) -> DataFrame:
+    return dim.select(key, *[(of("medium") if callable(of) else F.col(of)).alias(out) for out, of in names.items()])
+
+
+def with_standing_keys(facts: DataFrame, touchpoints: DataFrame, channels: DataFrame) -> DataFrame:
+    """Inner joins to touchpoints and channels by key alone: each key is replaced by the least one with equal
+    reporting attributes, so that the grain of the mart can be summed without its strings."""
+    for dim, key, names, out in ((touchpoints, TOUCHPOINT_KEY, _TOUCHPOINT_NAMES, TOUCHPOINT), (channels, CHANNEL_KEY, _CHANNEL_NAMES, CHANNEL)):
+        standing = _named(dim, key, names).select(key, F.min(key).over(Window.partitionBy(*names)).alias(out))
+        facts = facts.join(standing, key).drop(key)
+    return facts
+
+
+def described(narrow: DataFrame, touchpoints: DataFrame, channels: DataFrame) -> DataFrame:
+    """Sums at ``NARROW_DIMS`` with the 20 reporting columns and ten measures of the mart."""
+    tp = _named(touchpoints, TOUCHPOINT_KEY, _TOUCHPOINT_NAMES).withColumnRenamed(TOUCHPOINT_KEY, TOUCHPOINT)
+    ch = _named(channels, CHANNEL_KEY, _CHANNEL_NAMES).withColumnRenamed(CHANNEL_KEY, CHANNEL)
+    value = F.col("net_new_monthly_contract_value")
+    out = narrow.join(tp, TOUCHPOINT).join(ch, CHANNEL).withColumns({
+        "lead_acquisition_path": F.col("cost_center"), "lead_acquisition_sub_path": F.col("cost_center_track"),
+        "net_new_deals_won": value * F.lit(DEALS_PER_VALUE).cast("decimal(5,4)")})
+    return out.select(*FUNNEL_DIMS, *[F.col(m).cast(MART_DECIMAL).alias(m) for m in ALL_MEASURES])
+
+
+def narrow_sums(rows: DataFrame) -> DataFrame:
+    """Rows summed to ``NARROW_DIMS``: counts and the attributed value, uncut."""
+    value = F.sum("net_new_monthly_contract_value").cast(ROW_VALUE).alias("net_new_monthly_contract_value")
+    return rows.groupBy(*NARROW_DIMS).agg(*[F.sum(m).alias(m) for m in FUNNEL_MEASURES], value)
+
+
+def funnel_rows(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame, channels: DataFrame) -> DataFrame:
+    """Rollup rows (inner joins to the three dimensions) at ``NARROW_DIMS`` with the eight counts and no value."""
+    joined = with_standing_keys(rollup.join(sources, "_source_key"), touchpoints, channels)
     return joined.select(
         F.col("date").cast("timestamp_ntz").alias("event_date"),
         F.col("lead_acquisition_path").alias("cost_center"),
         F.col("lead_acquisition_sub_path").alias("cost_center_track"),
         F.col("segment_for_quota").alias("segment"),
         F.col("merchant_region").alias("region"),
-        F.col("country_code"),
-        F.col("deal_type"),
-        F.col("sales_region"),
-        F.col("upgrade_type"),
-        F.col("cleaned_source").alias("source"),
-        F.col("ad_campaign_name"),
-        F.col("ad_content"),
-        F.col("keyword_text"),
-        F.lower("medium").alias("MEDIUM"),
-        F.col("touchpoint_source"),
-        F.col("marketing_channel"),
-        F.col("adjusted_marketing_channel_path"),
-        F.col("marketing_channel_path"),
-        F.col("lead_acquisition_path"),
-        F.col("lead_acquisition_sub_path"),
-        *[F.col(f"_{name}").alias(name) for name in ROLLUP_MEASURES],
-        F.lit(0).cast(ROW_VALUE).alias("net_new_monthly_contract_value"),
-        F.lit(0).cast(ROW_DEALS).alias("net_new_deals_won"),
-    )
+        "country_code", "deal_type", "sales_region", "upgrade_type",
+        F.col("cleaned_source").alias("source"), TOUCHPOINT, CHANNEL,
+        *[F.col(src).cast(ROW_COUNT).alias(name) for name, src in ROLLUP_MEASURES.items()],
+        F.lit(0).cast(ROW_VALUE).alias("net_new_monthly_contract_value"))
 
 
 def funnel_rollup(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
@@ -242,9 +260,10 @@ def funnel_rollup(rollup: DataFrame, sources: DataFrame, touchpoints: DataFrame,
     """Re-aggregate the daily funnel rollup to the 20 reporting columns.
 
     Eight measures come from the rollup; the two value measures are zero.
-    Measures are DECIMAL(38,7) so that the result stacks with O14's.
+    Measures are DECIMAL(38,7) so that the result stacks with O14's. Keys and
+    short codes are shuffled; touchpoint and channel names are joined to the sums.
     """
-    return regrain(funnel_rows(rollup, sources, touchpoints, channels), FUNNEL_DIMS, ALL_MEASURES)
+    return described(narrow_sums(funnel_rows(rollup, sources, touchpoints, channels)), touchpoints, channels)
 
 
 def union_measures(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
