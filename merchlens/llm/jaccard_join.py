@@ -13,15 +13,14 @@ and the few others of a band have one tile more, which is common to them. So
 no link is missed, and a passage that many texts share makes few tiles,
 because other elements fall into the same parts.
 
-Links. Every set is compared with the first and the last set of its tiles;
-components are formed; in tiles that still hold several components the first
-sets are compared with the others, a few partners for each set, as long as that finds many links.
-So a group of copies costs rows in proportion to its size. What is left of
-tiles with several components is compared whole, in pairs of blocks of bounded
-bytes: first by bitmaps, which leave the sets that may link with one of another
-component; then these meet again with their arrays, and a union-find of the block
+Links. Every set is compared with the first and the last set of its tiles, and
+components are formed. Tiles that still hold several components are compared whole, in pairs of blocks of bounded
+bytes, by bitmaps alone: each set gets its nearest one of another component that the bitmaps can't rule out, at
+most one row a set and block. Of these the nearest over all tiles is compared exactly, and components join, as long as that finds many links.
+Sets that still have someone near meet again in their blocks, with their arrays, where a union-find
 decides exactly which components join. So all pairs of a tile that could join two components are
-compared, in the task that holds them; only links between components, fewer than the block has sets, become
+compared, in the task that holds them; a group of copies costs rows in proportion to its size, and only
+links between components, fewer than a block has sets, become
 rows. A comparison bounds the overlap from above by bit counts of two
 bitmaps (each bit that only one set has stands for an element that only it
 has) and intersects the arrays of the pairs left. Fresh links join roots, and only those are given to the next stars.
@@ -55,9 +54,7 @@ from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, w
 # beyond, rounded up to a power of two between 2**LEAST_BITS and 2**MOST_BITS.
 LEAST_BITS, FINE_BITS, MOST_BITS = 9, 12, 16
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
-LEADERS = 2  # sets of a tile that one round compares with its others
-PARTNERS = 4  # of these, for one set in all its tiles
-FEW = 16  # rounds end when they find fewer links than one in so many rows
+FEW = 2  # rounds end when they find fewer links than one in so many sets with someone near
 BLOCK = 1024  # sets of a tile that are compared with each other in one group, at most
 BLOCK_ELEMENTS = 1 << 19  # and their elements, roughly (4 MB)
 
@@ -241,6 +238,7 @@ def hashed_filter(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(HashedFilter({r["number"]: bytes(r["bits"]) for r in rows}))
 
 
+GROUP = "tile", "i", "j"
 PAIR = "ra bigint, rb bigint, a bigint, b bigint"
 
 
@@ -289,14 +287,15 @@ def _could_link(a: int, b: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
-    """The pairs (ra, rb, a, b: components and sets) whose sets are linked."""
+def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int, bounded: bool = False) -> DataFrame:
+    """The pairs (ra, rb, a, b: components and sets) whose sets are linked; ``bounded``: bitmaps haven't ruled them out already."""
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}{name}") for c in columns])
 
-    bitmaps = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("ra", "rb", "a", "b", "na", "nb", "bitsa", "bitsb")
-    near = bitmaps.mapInArrow(_could_link(a, b), PAIR)
-    whole = near.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("ra", "rb", "a", "b", "elementsa", "elementsb")
+    if not bounded:
+        bitmaps = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("ra", "rb", "a", "b", "na", "nb", "bitsa", "bitsb")
+        pairs = bitmaps.mapInArrow(_could_link(a, b), PAIR)
+    whole = pairs.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("ra", "rb", "a", "b", "elementsa", "elementsb")
     return whole.mapInArrow(_overlap(a, b), PAIR)
 
 
@@ -331,11 +330,11 @@ def _meets(block: np.ndarray):
         yield i, right[right > i] if one.all() else right
 
 
-def _near(i: int, others: np.ndarray, n: np.ndarray, bits: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Those of ``others`` that the bitmaps can't rule out as links of ``i``."""
-    only = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1)
-    other = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1)
-    return others[(a + b) * np.minimum(only, other).astype(np.int64) >= a * (n[i] + n[others])]
+def _bounds(i: int, others: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of ``i`` with ``others``, by bitmaps."""
+    only = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1, dtype=np.int64)
+    other = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1, dtype=np.int64)
+    return np.minimum(only, other)
 
 
 def _alone(group: pa.Table) -> bool:
@@ -344,22 +343,36 @@ def _alone(group: pa.Table) -> bool:
     return (roots == roots[0]).all() or (i[0] != j[0] and (block == block[0]).all())
 
 
-def _suspects(a: int, b: int):
-    """Members of a group that the bitmaps can't rule out as links to another component."""
+NEAREST = "tile bigint, i int, j int, block int, set_id bigint, root bigint, partner bigint, partner_root bigint, nearness double"
+
+
+def _nearest(a: int, b: int):
+    """Members of a group that the bitmaps can't rule out as links to another component, with the nearest one of these."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for group in _groups(batches, 3):
             if _alone(group):
                 continue
-            block, _, roots, n, bits = _block_members(group)
-            met = np.zeros(len(roots), bool)
+            block, ids, roots, n, bits = _block_members(group)
+            best, partner = np.zeros(len(roots)), np.full(len(roots), -1)
             for i, others in _meets(block):
-                near = _near(i, others[roots[others] != roots[i]], n, bits, a, b)
-                met[near] = True
-                met[i] |= len(near) > 0
-            if met.any():
-                found = group.select([0, 1, 2, 3, 4, 5]).filter(pa.array(met))
-                yield from found.combine_chunks().to_batches()
+                others = others[roots[others] != roots[i]]
+                if not len(others):
+                    continue
+                most = _bounds(i, others, n, bits)
+                can = (a + b) * most >= a * (n[i] + n[others])
+                near, share = others[can], (most / (n[i] + n[others]))[can]
+                if len(near):
+                    closer = share > best[near]
+                    best[near[closer]], partner[near[closer]] = share[closer], i
+                    at = int(share.argmax())
+                    if share[at] > best[i]:
+                        best[i], partner[i] = share[at], near[at]
+            met = np.flatnonzero(partner >= 0)
+            if len(met):
+                out = group.select([0, 1, 2, 3, 4, 5]).take(pa.array(met)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in out.columns), pa.array(ids[partner[met]]), pa.array(roots[partner[met]]), pa.array(best[met])],
+                                                 names=["tile", "i", "j", "block", "set_id", "root", "partner", "partner_root", "nearness"])
     return run
 
 
@@ -374,7 +387,8 @@ def _block_links(a: int, b: int):
             elements = _words(group.column(8).combine_chunks())
             now, links = roots.copy(), []
             for i, others in _meets(block):
-                for j in _near(i, others[now[others] != now[i]], n, bits, a, b).tolist():
+                others = others[now[others] != now[i]]
+                for j in others[(a + b) * _bounds(i, others, n, bits) >= a * (n[i] + n[others])].tolist() if len(others) else ():
                     if now[j] != now[i] and (a + b) * _common(elements[i], elements[j]) >= a * (n[i] + n[j]):
                         links.append((roots[i], roots[j], ids[i], ids[j]))
                         now[now == max(now[i], now[j])] = min(now[i], now[j])
@@ -383,20 +397,25 @@ def _block_links(a: int, b: int):
     return run
 
 
-def _rest_links(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
-    """Links (ra, rb, a, b) between components among all rows of ``left(tile, set_id, root, place, held, most)``: tiles as pairs of blocks."""
+def _near_rows(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """``_nearest`` of all rows of ``left(tile, set_id, root, place, held, most)``: tiles as pairs of blocks."""
     size = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_ELEMENTS) / F.col("most"))))
     block = F.floor((F.col("place") - 1) / size).cast("int")
     blocks = F.floor((F.col("held") - 1) / size).cast("int")
     # A set meets the blocks of its tile; a tile of one block is one group.
     dealt = left.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), blocks)))
     keyed = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    keys = "tile", "i", "j"
-    rows = keyed.join(sets.select("set_id", "n", "bits"), "set_id").select(*keys, "block", "set_id", "root", "n", "bits")
-    suspects = written(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        _suspects(a, b), "tile bigint, i int, j int, block int, set_id bigint, root bigint"), "jaccard-suspects")
-    met = suspects.join(sets, "set_id").select(*keys, "block", "set_id", "root", "n", "bits", "elements")
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_links(a, b), PAIR)
+    rows = keyed.join(sets.select("set_id", "n", "bits"), "set_id").select(*GROUP, "block", "set_id", "root", "n", "bits")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_nearest(a, b), NEAREST)
+
+
+def _rest_links(near: DataFrame, roots: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """Links (ra, rb, a, b) between components among all the sets of each group of ``near``."""
+    met = near.select(*GROUP, "block", "set_id").join(roots.select("set_id", "root"), "set_id")
+    # Groups of one component by now are left out before their arrays are sent.
+    open_groups = met.groupBy(*GROUP).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*GROUP)
+    rows = met.join(open_groups, list(GROUP)).join(sets, "set_id").select(*GROUP, "block", "set_id", "root", "n", "bits", "elements")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_block_links(a, b), PAIR)
 
 
 def _open_tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -441,23 +460,24 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     left = members
     while True:
         left = written(_open_tiles(left, roots), "jaccard-left")
-        rows = left.count()
-        if not rows:
+        near = written(_near_rows(left, sets, a, b), "jaccard-near")
+        nearest = near.groupBy("set_id").agg(F.max(F.struct("nearness", "partner", "partner_root", "root")).alias("p"))
+        edges = nearest.select(F.greatest("p.root", "p.partner_root").alias("ra"), F.least("p.root", "p.partner_root").alias("rb"),
+                               F.greatest("set_id", "p.partner").alias("a"), F.least("set_id", "p.partner").alias("b")).distinct()
+        edges = written(edges, "jaccard-edges")
+        asked = edges.count()
+        if not asked:
             break
-        lead = left.where(F.col("place") <= LEADERS).select("tile", F.col("set_id").alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
-        met = left.join(lead, "tile").where("place > place_y and root <> root_y").groupBy("set_id", "root", "root_y").agg(F.min("y").alias("y"))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("y"))).where(F.col("rank") <= PARTNERS)
-        pairs = ranked.select(F.col("root").alias("ra"), F.col("root_y").alias("rb"), F.col("set_id").alias("a"), F.col("y").alias("b"))
-        fresh = written(_linked(pairs, sets, a, b), "jaccard-links")
+        fresh = written(_linked(edges, sets, a, b, bounded=True), "jaccard-links")
         found_now = fresh.count()
         if found_now:
             roots = _merged(roots, fresh)
-        if found_now <= rows // FEW:
+        left = near.select("tile", "set_id").distinct()  # whoever has no one near now never will: components only grow
+        if found_now <= asked // FEW:
+            rest = written(_rest_links(near, roots, sets, a, b), "jaccard-links")
+            if not rest.isEmpty():
+                roots = _merged(roots, rest)
             break
-    if rows:
-        rest = written(_rest_links(_open_tiles(left, roots), sets, a, b), "jaccard-links")
-        if not rest.isEmpty():
-            roots = _merged(roots, rest)
 
     classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("least"))
     rooted = classes.join(roots.select("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
