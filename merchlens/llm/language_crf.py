@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from merchlens.llm.shared import small_batches
 from merchlens.llm.words import ALNUM, hash_words, mix, powers, text_bytes, text_chunks, word_counts
 
 BUCKET_BITS = 16
 PREFIXES, SUFFIXES, GRAMS = (1, 2, 3), (1, 2, 3, 4), (2, 3)
-TEXTS_PER_LANGUAGE = 400
+TEXTS_PER_LANGUAGE, LANGUAGES = 400, 256
 STRETCHES, STRETCH = 6, 16
 CONFIDENCE = (0.5, 0.8, 0.95)  # steps of the lexicon's features
 BLOCK = 32
@@ -252,19 +253,27 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["lang", "text"])
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Model | None:
-    """Learn from rows with a language for which ``usable`` holds."""
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None,
+        texts_per_language: int = TEXTS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+    """Learn from at most ``texts_per_language`` rows of each language for which ``usable`` holds; of more than ``languages`` languages the commonest.
+
+    Rows are drawn by a hash of id and text, and rows equal in both are one, so neither an id nor a text that holds most rows is drawn with all of them, or leaves none to draw.
+    """
     small_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if usable is not None:
         known = known.where(usable)
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text), F.lit(13)).alias("key"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages).collect()
+    if not found:
         return None
-    chance = F.pmod(F.xxhash64(F.col(id), F.lit(13)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    part = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, texts_per_language / n))]), F.col(lang))
-    drawn = known.where(chance < part).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = sorted((r["lang"], r["text"]) for r in drawn.mapInArrow(_stretches, "lang string, text string").collect())
+    chance = F.pmod(F.col("key"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    # Somewhat more are drawn than wanted, since the counts are estimates; of these the first by their hash stay.
+    part = F.try_element_at(F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, 1.5 * texts_per_language / max(r["n"], 1)))]), F.col("lang"))
+    drawn = rows.where(chance < part).dropDuplicates(["lang", "key"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= texts_per_language).select("lang", "text")
+    got = sorted((r["lang"], r["text"]) for r in chosen.mapInArrow(_stretches, "lang string, text string").collect())
     return train([r[1] for r in got], [r[0] for r in got])
 
 

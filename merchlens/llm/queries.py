@@ -101,12 +101,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit("</s>[INST] ok [/INST]").alias("text"))
     made = chat.format_chats(rows.unionByName(probe))
-    read = made.select("conv_id", "formatted", "valid", chat.read_turns(F.col("formatted")).alias("turns"),
+    read = made.select("conv_id", "formatted", "valid", "bad_turn", chat.read_turns(F.col("formatted")).alias("turns"),
                        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "").alias("loss_text"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
                        F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
-                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+                       F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", F.col("bad_turn").cast("bigint").alias("bad_turn"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,24 +317,22 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
-def _op6_sql() -> str:
-    marks = " ".join(f"WHEN '{r}' THEN {len(t.opening) + len(t.closing)}" for r, t in chat.TEMPLATE.items())
-    other = len(chat.OTHER.opening) + len(chat.OTHER.closing) + len(chat.NAME_END)
-    known = ", ".join(f"'{r}'" for r in chat.TEMPLATE)
-    loss = ", ".join(f"'{r}'" for r, t in chat.TEMPLATE.items() if t.loss)
-
-    def escaped(x: str) -> str:
-        return f"regexp_replace({x}, '{chat._ESCAPE}', '\\1\\\\\\2\\3', 'g')"
-    return f"""
+# Lengths of what the template puts around a text, and the turn order as regular expressions over the roles' letters.
+_OP6_SQL = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (role IN ({loss})), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ({loss})), '')) AS loss_sha256,
-       (sum(length({escaped('text')}) + CASE role {marks} ELSE {other} END
-            + CASE WHEN role IN ({known}) THEN 0 ELSE length({escaped('role')}) END) + {len(chat.BEGIN)})::BIGINT AS formatted_chars
-FROM r GROUP BY conv_id
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(text, '[\[<]\\*(?:/?(?:SYS|INST|BOT|TOOL|ROLE|TEXT)\]|/?s>)')) AS escapes,
+             len(regexp_extract_all(role, '[\[<]\\*(?:/?(?:SYS|INST|BOT|TOOL|ROLE|TEXT)\]|/?s>)')) AS role_escapes,
+             CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'tool' THEN 't' ELSE 'x' END AS letter FROM r),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(letter, '' ORDER BY turn NULLS FIRST, role, text) AS letters,
+             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+             coalesce(sum(length(text)) FILTER (letter = 'a'), 0)::BIGINT AS loss_chars,
+             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (letter = 'a'), '')) AS loss_sha256,
+             (3 + sum(length(text) + escapes + CASE letter WHEN 's' THEN 13 WHEN 'u' THEN 15 WHEN 'a' THEN 11 WHEN 't' THEN 15 ELSE 21 + length(role) + role_escapes END))::BIGINT AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, regexp_full_match(letters, 's?ua(?:ua|ta)*') AS valid,
+       nullif(length(regexp_extract(letters, '^s?(?:u(?:a(?:ua|ta)*[ut]?)?)?')), n_turns) AS bad_turn
+FROM c
 """
 
 
@@ -356,5 +354,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_bundles": _OP3_SQL, "op4_quality_rules": _op4_sql(), "op6_chat_format": _op6_sql(), "op9_winnowing": _OP9_SQL,
+    return {"op3_warc_bundles": _OP3_SQL, "op4_quality_rules": _op4_sql(), "op6_chat_format": _OP6_SQL, "op9_winnowing": _OP9_SQL,
             "op11_pii": _op11_sql(), "op13_conversation_repair": _op13_sql()}

@@ -14,7 +14,8 @@ so a row that is repeated without end is still cut between shards.
    shards or tables, are sorted in one task.
 
 Collected to the driver: the boundaries and one row of sums per range (at
-most a few hundred). Null keys sort first. An empty table gives no rows.
+most a few hundred). Null keys sort first, a null size counts as no bytes (such a
+row stands where its key puts it). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,22 +47,28 @@ def _draw(rows: DataFrame, key: Column, weight: Column, seed: int, pieces: Colum
     return [r["k"] for r in drawn.withColumn("_cut", cut).where("_cut > 0").groupBy(*within, "_cut").agg(F.min("_k").alias("k")).collect()]
 
 
+OUT = ("shard", "slot", "range")
+
+
 def shard_rows(df: DataFrame, keys: list[str], size: str, shards: int = 8, ranges: int = 256, draws: int = 8192, rounds: int = 8, seed: int = 7) -> DataFrame:
-    """Rows of ``df`` (key columns, size and any others) with ``shard``, ``slot`` (gapless in a shard) and ``range``."""
-    names = df.columns
-    rest = [c for c in names if c not in keys and c != size]
-    rows = written(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "shard-rows")
-    key = F.struct(*[F.col(c) for c in [*keys, *rest, size]])
+    """Rows of ``df`` (key columns, size and any others) with ``shard``, ``slot`` (gapless in a shard) and ``range``, which replace columns of these names."""
+    names = [c for c in df.columns if c not in OUT or c in (*keys, size)]
+    # Inside, columns have names of their own, so that no column of the input can be taken for another.
+    inner = {c: f"c{i}" for i, c in enumerate(names)}
+    by = [*(inner[c] for c in keys), *(inner[c] for c in names if c not in keys and c != size), inner[size]]
+    plain = df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names]).withColumn("bytes", F.coalesce(F.col(inner[size]), F.lit(0)).cast("bigint"))
+    rows = written(plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n")), "shard-rows")
+    key = F.struct(*[F.col(c) for c in by])
     kinds = dict(rows.dtypes)
-    weight = F.col(size) * F.col("_n")
+    weight = F.col("bytes") * F.col("_n")
     total = max(1, rows.agg(F.sum(weight)).first()[0] or 1)
 
     def literal(row) -> Column:
-        return F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in [*keys, *rest, size]])
+        return F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in by])
 
     splitters = _draw(rows.withColumn("_all", F.lit(0)), key, weight, seed, F.lit(ranges), draws / total, ["_all"])
     for turn in range(rounds + 1):
-        splitters = sorted(set(splitters), key=lambda r: tuple((r[c] is not None, r[c]) for c in [*keys, *rest, size]))
+        splitters = sorted(set(splitters), key=lambda r: tuple((r[c] is not None, r[c]) for c in by))
         placed = rows.withColumn("_r", _range_of(key, [literal(r) for r in splitters]))
         sums = placed.groupBy("_r").agg(F.sum(weight).alias("b"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).orderBy("_r").collect()
         over = [s for s in sums if s["b"] > 2 * total / ranges and s["k"] > 1]
@@ -79,14 +86,15 @@ def shard_rows(df: DataFrame, keys: list[str], size: str, shards: int = 8, range
         at = (at[0] + s["b"], at[1] + s["n"])
     width = len(splitters) + 1
     starts = [F.array(*[F.lit(before.get(r, (0, 0))[i]).cast("bigint") for r in range(width)]) for i in (0, 1)]
-    earlier = Window.partitionBy("_r").orderBy(*[F.col(c).asc_nulls_first() for c in [*keys, *rest, size]]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_r").orderBy(*[F.col(c).asc_nulls_first() for c in by]).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumns({
         "_b0": F.get(starts[0], F.col("_r")) + F.coalesce(F.sum(weight).over(earlier), F.lit(0)),
         "_n0": F.get(starts[1], F.col("_r")) + F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
     single = placed.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    middle = (F.col("_b0") + F.col("_c") * F.col(size)) * 2 + F.col(size)
-    dealt = single.select(*names, F.col("_r").alias("range"), (F.col("_n0") + F.col("_c")).alias("_i"),
-                          F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * total)).cast("int")).alias("shard"))
+    middle = (F.col("_b0") + F.col("_c") * F.col("bytes")) * 2 + F.col("bytes")
+    dealt = single.select(*inner.values(), F.col("_r").alias("_range"), (F.col("_n0") + F.col("_c")).alias("_i"),
+                          F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * total)).cast("int")).alias("_shard"))
     dealt = written(dealt, "shard-dealt")
-    first = dealt.groupBy("shard").agg(F.min("_i").alias("_first"))  # one row a shard
-    return dealt.join(F.broadcast(first), "shard").select(*names, "shard", (F.col("_i") - F.col("_first")).alias("slot"), "range")
+    first = dealt.groupBy("_shard").agg(F.min("_i").alias("_first"))  # one row a shard
+    return dealt.join(F.broadcast(first), "_shard").select(*[F.col(i).alias(c) for c, i in inner.items()], F.col("_shard").alias("shard"),
+                                                          (F.col("_i") - F.col("_first")).alias("slot"), F.col("_range").alias("range"))

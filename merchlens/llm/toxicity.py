@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from merchlens.llm.shared import small_batches
 from merchlens.llm.words import ALNUM, hash_words, mix, powers, text_bytes, text_chunks, word_counts
@@ -42,6 +43,7 @@ WINDOW = 2
 TOXIC = 0.3  # texts that score at least this are toxic
 SAMPLE = {0: 2000, 1: 1200}
 WINDOWS_PER_TEXT = 500
+SCALE_L2 = 0.1
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,11 +192,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
     z = np.concatenate([model.scores(d, b) for _, _, d, b in text_chunks(pa.array(texts, pa.large_string()), 1 << 18)])
     z = np.log(z / (1 - z)).clip(-12, 12)
     a, b = 1.0, 0.0
-    for _ in range(200):
-        q = 1 / (1 + np.exp(-(a * z + b)))
+    for _ in range(200):  # regularised, so that a sample whose labels separate has a bounded scale too
+        q = 1 / (1 + np.exp(-(a * z + b).clip(-30, 30)))
         h = q * (1 - q) + 1e-6
-        grad = np.array([((q - y) * z).sum(), (q - y).sum()])
-        hess = np.array([[(h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]]) + 1e-3 * np.eye(2)
+        grad = np.array([((q - y) * z).sum() + SCALE_L2 * (a - 1), (q - y).sum() + SCALE_L2 * b])
+        hess = np.array([[(h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]]) + SCALE_L2 * np.eye(2)
         a, b = np.array([a, b]) - 0.5 * np.linalg.solve(hess, grad)
     model.scale = (float(max(a, 1e-3)), float(b))
     return model
@@ -219,22 +221,27 @@ def _spread(limit: int):
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None,
         sample: dict[int, int] = SAMPLE, windows_per_text: int = WINDOWS_PER_TEXT) -> Model:
-    """Train on the labelled rows for which ``usable`` (a column of ids) holds."""
+    """Train on labelled rows for which ``usable`` (a column of ids) holds: of each label at most as many as ``sample`` says.
+
+    Rows are drawn by a hash of id and text, and rows equal in both are one, so an id that holds most rows isn't drawn with all of them.
+    """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(list(sample)) & F.col("id").isNotNull()).distinct()
     if usable is not None:
         known = known.where(usable)
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text), F.lit(11)).alias("key"))
+    counts = {r["label"]: max(r["n"], 1) for r in rows.select("id", "key").join(known, "id").groupBy("label").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not counts:
         return train([], [])
-    chance = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    drawn = None
-    for value, most in sample.items():
-        part = known.where((F.col("label") == value) & (chance < most / max(counts.get(value, 0), 1)))
-        drawn = part if drawn is None else drawn.unionByName(part)
-    # Bounded by ``sample`` (in expectation), whatever the size of the labels.
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id").select("label", "text")
-    got = sorted(tuple(r) for r in rows.mapInArrow(_spread(windows_per_text), "label int, text string").collect())
+    chance = F.pmod(F.col("key"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    # Somewhat more are drawn than wanted, since the counts are estimates; of these the first by their hash stay.
+    parts = {value: min(1.0, 1.5 * sample[value] / n) for value, n in counts.items()}
+    of_label = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("label"))
+    most = F.element_at(F.create_map(*[F.lit(x) for value in counts for x in (value, sample[value])]), F.col("label"))
+    drawn = rows.where(chance < max(parts.values())).join(known, "id").where(chance < of_label).dropDuplicates(["label", "key"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key"))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= most).select("label", "text")
+    got = sorted(tuple(r) for r in chosen.mapInArrow(_spread(windows_per_text), "label int, text string").collect())
     return train([r[1] for r in got], [r[0] for r in got])
 
 

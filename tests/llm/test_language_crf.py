@@ -86,3 +86,22 @@ def test_odd_rows(odd, none, model):
 
 def test_non_ascii_letters_count_as_letters(model):
     assert model.shares(*text_bytes(pa.array(["日本 語", "… — 🙂", "éé"]))).sum(1).round(6).tolist() == [1, 0, 1]
+
+
+def test_sample_is_bounded_and_reaches_every_language(spark, monkeypatch):
+    """One id on 40,000 rows, one text on 40,000 rows, and junk in the language column."""
+    import merchlens.llm.language_crf as L
+    seen = {}
+
+    def train(texts, labels):
+        from collections import Counter
+        seen.update(Counter(labels))
+        seen["all"] = len(texts)
+
+    monkeypatch.setattr(L, "train", train)
+    one = spark.range(40_000).selectExpr("7L AS doc_id", "concat('eins zwei drei ', id) AS text", "'de' AS lang")
+    same = spark.range(40_000).selectExpr("8L AS doc_id", "'un deux trois' AS text", "'fr' AS lang")
+    many = spark.range(3000).selectExpr("id + 100 AS doc_id", "concat('one two three ', id) AS text", "'en' AS lang")
+    junk = spark.range(600).selectExpr("id + 9000 AS doc_id", "'word' AS text", "concat('junk', id) AS lang")
+    L.fit(one.union(same).union(many).union(junk), languages=20)
+    assert seen["fr"] == 1 and seen["de"] == seen["en"] == L.TEXTS_PER_LANGUAGE and len(seen) == 21

@@ -96,6 +96,55 @@ def test_shard_query(spark, sf, texts):
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts.items()}
 
 
+def test_shard_query_against_brute_force(spark, sf, texts):
+    """Shard, slot and balance of every document, from one sorted list."""
+    import xxhash
+
+    def key(i):
+        t = texts[i]
+        h = xxhash.xxh64_intdigest(t.encode(), seed=42) if t is not None else 42
+        return h - (1 << 64) if h >= 1 << 63 else h, i
+
+    size = {i: len((t or "").encode()) + 1 for i, t in texts.items()}
+    total, at, slots, want = sum(size.values()), 0, Counter(), {}
+    for i in sorted(texts, key=key):
+        shard = min(7, (2 * at + size[i]) * 8 // (2 * total))
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+        at += size[i]
+    rows = queries.op5_sharding(spark, sf).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in rows} == want
+    assert all(r["law"] == "bytes" and r["grown_shard"] is None for r in rows)
+    per_shard = Counter()
+    for r in rows:
+        per_shard[r["shard"]] += r["size"]
+    assert max(per_shard.values()) - min(per_shard.values()) <= 2 * max(size.values())
+
+
+def test_shards_keep_every_column(spark):
+    """Columns named as the operator's own ones, and a third of the sizes null."""
+    rows = [(i % 40, None if i % 3 == 0 else i % 50, i, i + 1, i + 2, i + 3, i + 4, i + 5, i + 6, i + 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, size bigint, _n int, _r int, _c int, c0 int, bytes int, shard int, slot int, `range` int")
+    out = sharding.shard_rows(df, ["k"], "size", shards=4)
+    assert sorted(out.columns) == sorted(df.columns)
+    kept = ["k", "size", "_n", "_r", "_c", "c0", "bytes"]
+    assert sorted(map(tuple, out.select(*kept).collect()), key=repr) == sorted((r[:7] for r in rows), key=repr)
+    sums = Counter()
+    for r in out.collect():
+        sums[r["shard"]] += r["size"] or 0
+    assert max(sums.values()) - min(sums.values()) <= 100
+    assert sharding.shard_rows(df.withColumn("size", F.lit(None).cast("bigint")), ["k"], "size").count() == 300
+
+
+def test_turn_order_stands_in_the_query(spark, sf):
+    """The state machine's transitions are part of the query's plan, and of its result."""
+    df = queries.op6_chat_format(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "user>assistant" in plan and "assistant>user" in plan
+    got = {r["conv_id"]: (r["valid"], r["bad_turn"]) for r in df.collect()}
+    assert got[-7] == (True, None) and len({v for v, _ in got.values()}) == 2
+
+
 def test_odd_shards(odd, none):
     for df in (odd, none):
         rows = df.select("doc_id", "lang", F.col("source").alias("bytes"), F.lit(3).cast("bigint").alias("size"))

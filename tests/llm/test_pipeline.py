@@ -119,3 +119,8 @@ def test_misspelt_toxic_words_go_as_op7_predicts(spark, tmp_path):
     score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert any(0.3 <= score[i] < 0.5 for i, _ in made)
     assert {r["doc_id"] for r in P.toxicity_filter(spark, docs, str(tmp_path)).collect()} == {i for i, s in score.items() if s < 0.3}
+
+
+def test_without_languages_all_rows_stay(spark, sf, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language_id(spark, bare, sf).count() == docs.count()

@@ -88,3 +88,24 @@ def test_odd_rows(spark, odd, none):
     assert T.score(none, model).collect() == []
     empty = T.fit(odd, labels.limit(0))
     assert {round(r["score"], 6) for r in T.score(odd, empty).collect()} == {0.0}
+
+
+def test_sample_is_bounded_if_an_id_repeats(spark, monkeypatch):
+    import merchlens.llm.toxicity as T
+    seen = []
+    monkeypatch.setattr(T, "train", lambda texts, labels: seen.extend(labels))
+    docs = spark.range(30_000).selectExpr("1L AS doc_id", "concat('word ', id) AS text").union(spark.range(30_000).selectExpr("2L AS doc_id", "'same text' AS text")).union(
+        spark.range(5000).selectExpr("id + 10 AS doc_id", "concat('other ', id) AS text"))
+    labels = spark.range(5010).selectExpr("id AS doc_id", "CAST(id < 3 OR id % 5 = 0 AS int) AS toxic")
+    T.fit(docs, labels)
+    assert seen.count(1) == T.SAMPLE[1] and 0.9 * T.SAMPLE[0] <= seen.count(0) <= T.SAMPLE[0]
+
+
+def test_separable_sample_has_a_bounded_scale():
+    import warnings
+
+    import merchlens.llm.toxicity as T
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        model = T.train(["good fine nice words"] * 300 + ["vile scum words"] * 300, [0] * 300 + [1] * 300)
+    assert 0 < model.scale[0] < 100

@@ -61,3 +61,20 @@ def test_damage_is_noticed(tmp_path):
 
 def test_empty(spark, pages):
     assert W.read_bundles(W.write_bundles(pages.limit(0))).collect() == []
+
+
+def test_a_task_a_bundle(spark):
+    rows = [(i, f"u{i}", f"{i} " * 3000) for i in range(400)]
+    index = W.write_bundles(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2), frame_bytes=20_000, bundle_bytes=200_000)
+    bundles = index.select("bundle").distinct().count()
+    read = W.read_bundles(index, with_payload=False)
+    tasks = {(r["p"], r["bundle"]) for r in index.select("bundle").repartitionByRange(bundles, "bundle").selectExpr("spark_partition_id() AS p", "bundle").distinct().collect()}
+    assert bundles > 4 and len({p for p, _ in tasks}) >= 0.8 * bundles and len(tasks) == bundles
+    assert read.rdd.getNumPartitions() >= 0.8 * bundles and read.count() == 400
+
+
+def test_long_payload_and_other_columns(spark):
+    rows = [(1, "u", "x y " * 1_500_000, "a", 1), (2, "u", "x y " * 1_500_000, "b", 2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, record string, bundle int").withColumnRenamed("record", "digest")
+    out = {r["record"]: r for r in W.read_bundles(W.write_bundles(df)).collect()}
+    assert out["1"]["payload_bytes"] == 6_000_000 and out["2"]["refers_to"] == "1" and out["2"]["record_type"] == "revisit"
