@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.llm.shared import written
+from merchlens.llm.shared import Scratch
 
 
 def _state(links: DataFrame):
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node``, ``root`` (least node of its component, itself included) of every node in ``links(a, b)`` (bigint).
 
-    Each round writes the shrunken links to the shared folder, so lineage stays
+    Each round writes the shrunken links to ``scratch``, from which the result reads, so lineage stays
     short; the rounds end when every node hangs on its root. Null ends are ignored.
     """
-    links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = scratch.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(links)
     while state[0]:
         both = links.union(links.select("b", "a"))
@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a")
-        links = written(step.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(step.select("a", F.col("m").alias("b"))).distinct(), "links")
+        links = scratch.written(step.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(step.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = _state(links)
         if now == state:
             break

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from merchlens.llm.components import components
-from merchlens.llm.shared import release_memory, small_batches, written
+from merchlens.llm.shared import Scratch, release_memory, small_batches, written
 from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, word_counts
 
 # A set's bitmap has 16 bits an element up to 2**FINE_BITS bits and two bits an element
@@ -427,11 +427,12 @@ def _open_tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(several, "tile").select("tile", "set_id", "root", "held", "most", place.alias("place"))
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``roots(set_id, n, root)`` after the links (ra, rb) between roots."""
-    joined = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node"), F.col("root").alias("new"))
-    moved = roots.join(joined, roots["root"] == joined["node"], "left")
-    return written(moved.select("set_id", "n", F.coalesce("new", "root").alias("root")), "jaccard-roots")
+    with Scratch(roots.sparkSession, "components") as inner:
+        joined = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), inner).select(F.col("node"), F.col("root").alias("new"))
+        moved = roots.join(joined, roots["root"] == joined["node"], "left")
+        return scratch.written(moved.select("set_id", "n", F.coalesce("new", "root").alias("root")), "roots")
 
 
 def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -442,45 +443,50 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     kind = dict(rows.dtypes)["id"]
     # Texts are hashed again for each pass: that costs less than keeping the tiles of all sets.
     found = written(rows.mapInArrow(_set_pass(n), f"id {kind}, text_key bigint, n bigint, set_id bigint"), "jaccard-sets")
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        roots = written(_roots(rows, found, n, a, b, scratch).select("set_id", "root"), "jaccard-roots")
+    classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("least"))
+    rooted = classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("set_id", "component")
+    out = found.select("id", "text_key", "n", "set_id").join(named, "set_id", "left")
+    return out.select(F.col("id").alias(id), "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def _roots(rows: DataFrame, found: DataFrame, n: int, a: int, b: int, scratch: Scratch) -> DataFrame:
+    """Component (``root``) of every set that shares a tile with another one."""
     tiles = "tile bigint, set_id bigint"
-    shared = written(rows.select("text").mapInArrow(_tile_pass(n, a, b), tiles).groupBy("tile").agg(
-        F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high"), "jaccard-tiles")
+    shared = scratch.written(rows.select("text").mapInArrow(_tile_pass(n, a, b), tiles).groupBy("tile").agg(
+        F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high"), "tiles")
     members = rows.select("text").mapInArrow(_tile_pass(n, a, b, hashed_filter(shared, "tile")), tiles).join(shared, "tile").groupBy("tile", "set_id").agg(
         F.first("low").alias("low"), F.first("high").alias("high"))
-    members = written(members, "jaccard-members")
-    leaders = members.groupBy("set_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    members = scratch.written(members, "members")
+    scratch.forget("tiles")
+    leaders = scratch.written(members.groupBy("set_id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "leaders")
     wanted = hashed_filter(found.join(leaders.select("set_id"), "set_id", "left_semi").select("text_key"), "text_key")
     arrays = rows.select("text_key", "text").mapInArrow(_second_pass(n, wanted), "set_id bigint, n bigint, bits binary, elements binary")
-    sets = written(arrays.join(leaders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-arrays")
+    sets = scratch.written(arrays.join(leaders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "arrays")
 
     roots = sets.select("set_id", "n", F.col("set_id").alias("root"))
     sided = leaders.select(F.col("set_id").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y")
     first = sided.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().select(F.col("a").alias("ra"), F.col("b").alias("rb"), "a", "b")
-    roots = _merged(roots, written(_linked(first, sets, a, b), "jaccard-links"))
+    roots = _merged(roots, scratch.written(_linked(first, sets, a, b), "links"), scratch)
     left = members
     while True:
-        left = written(_open_tiles(left, roots), "jaccard-left")
-        near = written(_near_rows(left, sets, a, b), "jaccard-near")
+        left = scratch.written(_open_tiles(left, roots), "left")
+        near = scratch.written(_near_rows(left, sets, a, b), "near")
         nearest = near.groupBy("set_id").agg(F.max(F.struct("nearness", "partner", "partner_root", "root")).alias("p"))
         edges = nearest.select(F.greatest("p.root", "p.partner_root").alias("ra"), F.least("p.root", "p.partner_root").alias("rb"),
                                F.greatest("set_id", "p.partner").alias("a"), F.least("set_id", "p.partner").alias("b")).distinct()
-        edges = written(edges, "jaccard-edges")
+        edges = scratch.written(edges, "edges")
         asked = edges.count()
         if not asked:
-            break
-        fresh = written(_linked(edges, sets, a, b, bounded=True), "jaccard-links")
+            return roots
+        fresh = scratch.written(_linked(edges, sets, a, b, bounded=True), "links")
         found_now = fresh.count()
         if found_now:
-            roots = _merged(roots, fresh)
-        left = near.select("tile", "set_id").distinct()  # whoever has no one near now never will: components only grow
+            roots = _merged(roots, fresh, scratch)
         if found_now <= asked // FEW:
-            rest = written(_rest_links(near, roots, sets, a, b), "jaccard-links")
-            if not rest.isEmpty():
-                roots = _merged(roots, rest)
-            break
-
-    classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("least"))
-    rooted = classes.join(roots.select("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("set_id", "component")
-    out = found.select("id", "text_key", "n", "set_id").join(named, "set_id", "left")
-    return out.select(F.col("id").alias(id), "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+            rest = scratch.written(_rest_links(near, roots, sets, a, b), "links")
+            return roots if rest.isEmpty() else _merged(roots, rest, scratch)
+        # Whoever has no one near now never will: components only grow.
+        left = near.select("tile", "set_id").distinct()

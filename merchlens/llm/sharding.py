@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from merchlens.llm.shared import written
+from merchlens.llm.shared import Scratch, written
 
 
 def _range_of(key: Column, splitters: list[Column]) -> Column:
@@ -57,7 +57,16 @@ def shard_rows(df: DataFrame, keys: list[str], size: str, shards: int = 8, range
     inner = {c: f"c{i}" for i, c in enumerate(names)}
     by = [*(inner[c] for c in keys), *(inner[c] for c in names if c not in keys and c != size), inner[size]]
     plain = df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names]).withColumn("bytes", F.coalesce(F.col(inner[size]), F.lit(0)).cast("bigint"))
-    rows = written(plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n")), "shard-rows")
+    with Scratch(df.sparkSession, "sharding") as scratch:
+        dealt = _dealt(plain, by, inner, size, shards, ranges, draws, rounds, seed, scratch)
+    first = dealt.groupBy("_shard").agg(F.min("_i").alias("_first"))  # one row a shard
+    return dealt.join(F.broadcast(first), "_shard").select(*[F.col(i).alias(c) for c, i in inner.items()], F.col("_shard").alias("shard"),
+                                                          (F.col("_i") - F.col("_first")).alias("slot"), F.col("_range").alias("range"))
+
+
+def _dealt(plain: DataFrame, by: list[str], inner: dict[str, str], size: str, shards: int, ranges: int, draws: int, rounds: int, seed: int, scratch: Scratch) -> DataFrame:
+    """Rows with their range, their place in the whole order and their shard."""
+    rows = scratch.written(plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n")), "rows")
     key = F.struct(*[F.col(c) for c in by])
     kinds = dict(rows.dtypes)
     weight = F.col("bytes") * F.col("_n")
@@ -94,7 +103,4 @@ def shard_rows(df: DataFrame, keys: list[str], size: str, shards: int = 8, range
     middle = (F.col("_b0") + F.col("_c") * F.col("bytes")) * 2 + F.col("bytes")
     dealt = single.select(*inner.values(), F.col("_r").alias("_range"), (F.col("_n0") + F.col("_c")).alias("_i"),
                           F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * total)).cast("int")).alias("_shard"))
-    dealt = written(dealt, "shard-dealt")
-    first = dealt.groupBy("_shard").agg(F.min("_i").alias("_first"))  # one row a shard
-    return dealt.join(F.broadcast(first), "_shard").select(*[F.col(i).alias(c) for c, i in inner.items()], F.col("_shard").alias("shard"),
-                                                          (F.col("_i") - F.col("_first")).alias("slot"), F.col("_range").alias("range"))
+    return written(dealt, "shard-dealt")

@@ -22,13 +22,38 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``new_folder``."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables that a computation writes on its way: nothing that outlives it reads from them, so they are deleted with it."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.folder, self.paths = spark, new_folder(spark, purpose), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``written`` into this scratch; an earlier table of the same name goes once the new one is there."""
+        before, path = self.paths.get(name), f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths[name] = path
+        if before:
+            delete_folder(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, name: str) -> None:
+        """Delete one table."""
+        delete_folder(self.spark, self.paths.pop(name))
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_folder(self.spark, self.folder)
+
+
 # Rows and bytes of an Arrow batch that a Python task gets: texts can be long, and a batch is held several times over.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

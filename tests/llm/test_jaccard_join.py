@@ -7,6 +7,7 @@ import pytest
 from merchlens.llm import jaccard_join as J
 from merchlens.llm import queries
 from merchlens.llm.components import components
+from merchlens.llm.shared import Scratch
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -147,4 +148,15 @@ def test_components(spark):
             if x not in want:
                 want[x] = start
                 todo += near[x]
-    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == want
+    with Scratch(spark, "test") as scratch:
+        assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()} == want
+
+
+def test_nothing_is_left_but_what_the_result_reads(spark, texts):
+    """Intermediate tables are deleted: two tables of a row a document or set stay."""
+    import os
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    out = J.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    left = {d.rsplit("-", 1)[0] for d in set(os.listdir(base)) - before}
+    assert left == {"jaccard-sets", "jaccard-roots"} and out.count() == len(texts)
