@@ -22,7 +22,7 @@ from ..operators.checks import KeyChecks
 from ..operators.skew import salted_join
 from ..operators.trailing import TrailingTotals
 from ..sources.constants import APAC_APP_COUNTRIES, DEFAULT_AS_OF
-from ..sources.stored import BucketedWarehouse, MonthlyFunnel
+from ..sources.stored import AnalyzedWarehouse, BucketedWarehouse, MonthlyFunnel
 from ..sources.warehouse import Warehouse
 from . import catalog, reports
 from .mart_store import MartStore, touched_days
@@ -176,6 +176,11 @@ def q_star_enrich_checked(w: Warehouse) -> DataFrame:
         "migration": (w.migration(), "shop_id", ["is_on_c1", "migration_experience_type"])})
 
 
+def q_partner_outbound_list_analyzed(w: Warehouse) -> DataFrame:
+    """Q10 over tables with column statistics."""
+    return catalog.q_partner_outbound_list(AnalyzedWarehouse(w.spark, w.sf_dir, ["state_facts", "merchants", "partners", "shops", "shop_state_daily", "outbound_list"]).store())
+
+
 def q_recent_lead_history(w: Warehouse) -> DataFrame:
     """O22's kind of join with a range that no minimum replaces: rows of a lead's history in the 60 days before a campaign of his was created."""
     created = w.campaigns().select(F.col("id").alias("campaign_id"), F.col("created_date").alias("campaign_created"))
@@ -206,6 +211,7 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "regional_merchant_list_bucketed": q_regional_merchant_list_bucketed,
     "vendor_line_items_bucketed": q_vendor_line_items_bucketed,
     "campaign_members_rollup": q_campaign_members_rollup,
+    "partner_outbound_list_analyzed": q_partner_outbound_list_analyzed,
     "star_enrich_checked": q_star_enrich_checked,
     "recent_lead_history": q_recent_lead_history,
     "label_unknown_salted": q_label_unknown_salted,

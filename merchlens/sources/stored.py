@@ -127,35 +127,69 @@ class MonthlyFunnel(Warehouse):
         delete_folder(self.spark, self.folder)
 
 
-class BucketedWarehouse(Warehouse):
+class StoredTables(Warehouse):
+    """Some of the adapter's tables, written as catalog tables into one folder. Their dated methods' bounds are dropped: the
+    report's own date filters remain and reach the stored columns."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None = None):
+        super().__init__(spark, sf_dir)
+        self.folder = (folder or shared_folder(spark, "tables")).rstrip("/")
+        self._names: dict[str, str] = {}
+
+    def _save(self, table: str, write) -> str:
+        """Save a table through the given writer and answer for the adapter's method of its name from now on."""
+        name = self._names[table] = f"{table}_{uuid.uuid4().hex[:12]}"
+        write.option("path", f"{self.folder}/{table}").format("parquet").saveAsTable(name)
+        return name
+
+    def _serve(self) -> None:
+        for table in self._names:
+            setattr(self, table, lambda *_, t=table, **__: self.spark.table(self._names[t]))
+
+    def drop(self) -> None:
+        for name in self._names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_folder(self.spark, self.folder)
+
+
+class BucketedWarehouse(StoredTables):
     """Tables stored in ``buckets`` buckets of a join key each: ``keys`` maps a table (a method of the adapter) to its key.
 
     Choose buckets so that one fits a task: a hot key stays in one bucket, and
-    adaptive execution can't split what isn't shuffled. The dated methods'
-    bounds are dropped; the report's own date filters remain and reach the stored columns.
+    adaptive execution can't split what isn't shuffled.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, keys: Mapping[str, str], buckets: int = 16, folder: str | None = None):
-        super().__init__(spark, sf_dir)
+        super().__init__(spark, sf_dir, folder)
         self.keys, self.buckets = dict(keys), buckets
-        self.folder = (folder or shared_folder(spark, "buckets")).rstrip("/")
-        self._names: dict[str, str] = {}
 
     def store(self) -> "BucketedWarehouse":
         for table, key in self.keys.items():
             df = getattr(Warehouse, table)(self)
             if key == "order_key":  # the order's number as the reports compare it
                 df = df.withColumn(key, F.col("order_id").cast("string"))
-            name = f"{table}_{uuid.uuid4().hex[:12]}"
             # The same hash that bucketing uses: a task writes one bucket, in one file.
-            (df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key)
-             .option("path", f"{self.folder}/{table}").format("parquet").saveAsTable(name))
-            self._names[table] = name
-        for table in self.keys:
-            setattr(self, table, lambda *_, t=table, **__: self.spark.table(self._names[t]))
+            self._save(table, df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key))
+        self._serve()
         return self
 
-    def drop(self) -> None:
-        for name in self._names.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete_folder(self.spark, self.folder)
+
+class AnalyzedWarehouse(StoredTables):
+    """Tables stored with row counts and column statistics, so that cost-based planning sees how small a filtered side is.
+
+    Without them the size of a filtered table is taken to be that of the whole.
+    ``store`` turns cost-based planning and join reordering on for the session; tables without statistics are planned as before.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Sequence[str], folder: str | None = None):
+        super().__init__(spark, sf_dir, folder)
+        self.tables = list(tables)
+
+    def store(self) -> "AnalyzedWarehouse":
+        for table in self.tables:
+            name = self._save(table, getattr(Warehouse, table)(self).write)
+            self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+        for setting in ("spark.sql.cbo.enabled", "spark.sql.cbo.joinReorder.enabled"):
+            self.spark.conf.set(setting, "true")
+        self._serve()
+        return self

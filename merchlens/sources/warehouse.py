@@ -584,12 +584,16 @@ class Warehouse:
             F.concat(F.lit("source "), F.lower("r_name")).alias("cleaned_source"))
 
     def funnel_rollup_daily(self, since: dt.date | None = None) -> DataFrame:
-        """Rollup rows, dated with their quarter's first day (not after the ship date); rows dated before ``since`` aren't needed."""
+        """Rollup rows, dated with their quarter's first day (not after the ship date); rows dated before ``since`` aren't needed.
+
+        Lines with hardly a discount are days without activity: their measures are zero, as those of lost opportunities'
+        attributed value are, so the stacked inputs of the mart share whole rows."""
         s = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         n = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
         region = country_of("s_nationkey", "region")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
-        one = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
+        active = F.col("l_discount") >= 0.015
+        one = lambda cond: F.when(active & cond, 1).otherwise(0).cast("bigint")
         return (self.dated("lineitem", "l_shipdate", since, None).join(s, "l_suppkey").join(n, "s_nationkey")
                 .select(
                     F.trunc(shifted("l_shipdate"), "quarter").alias("date"),
@@ -603,8 +607,8 @@ class Warehouse:
                     F.when(F.col("l_quantity") >= 25, "Large").otherwise("Core").alias("deal_type"),
                     region.alias("sales_region"),
                     F.when(ls == "F", "New").otherwise("Upgrade").alias("upgrade_type"),
-                    F.col("l_quantity").cast("bigint").alias("total_sessions"),
-                    F.lit(1).cast("bigint").alias("net_new_leads"),
+                    F.when(active, F.col("l_quantity")).otherwise(0).cast("bigint").alias("total_sessions"),
+                    one(F.lit(True)).alias("net_new_leads"),
                     one(rf != "R").alias("qualified_leads"),
                     one(ls == "F").alias("prequalified_opportunity_transitions"),
                     one(F.col("l_discount") >= 0.05).alias("total_interested_opportunity_transitions"),

@@ -280,6 +280,31 @@ def test_no_exchange_on_the_bucket_key(spark, conf, build, tables, keys):
         w.drop()
 
 
+# -------------------------------------------------------------------- column statistics
+def test_statistics_show_the_small_filtered_side(spark, conf):
+    """Q10's filtered merchants: taken for the whole table without statistics, broadcast with them."""
+    conf(spark__sql__autoBroadcastJoinThreshold="2KB", spark__sql__adaptive__enabled="false", spark__sql__cbo__enabled="false", spark__sql__cbo__joinReorder__enabled="false")
+    w = stored.AnalyzedWarehouse(spark, SF_SMALL, ["state_facts", "merchants", "partners", "shops", "shop_state_daily"]).store()
+    try:
+        def referred():
+            m = w.merchants().filter((F.col("merchant_country_name") == "Japan") & (F.col("merchant_type") == "Standard")).select("_merchant_key", "merchant_id", "merchant_name")
+            return m, w.state_facts().join(m, "_merchant_key")
+
+        def size(df):
+            return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+        side, joined = referred()
+        with_statistics, text = size(side), joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text
+        conf(spark__sql__cbo__enabled="false", spark__sql__cbo__joinReorder__enabled="false")
+        side, joined = referred()
+        assert size(side) > 4 * with_statistics and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        conf(spark__sql__cbo__enabled="true", spark__sql__cbo__joinReorder__enabled="true")
+        equal(catalog.q_partner_outbound_list(w), catalog.q_partner_outbound_list(Warehouse(spark, SF_SMALL)))
+    finally:
+        w.drop()
+
+
 # ---------------------------------------------------------------------------- bitmaps
 def test_bitmap_counts_roll_up(spark):
     rng = random.Random(6)

@@ -27,3 +27,10 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[:3] == ["created_date", "name", "Members"]
+
+
+def test_stacked_inputs_share_rows(spark, duck_oracle):
+    """The distinct has rows to drop."""
+    parts = [duck_oracle.sql(ORACLE[n]).fetchall() for n in ("attributed_value_split", "funnel_rollup")]
+    union = duck_oracle.sql(f"SELECT count(*) FROM ({ORACLE['union_measures']})").fetchall()[0][0]
+    assert union < sum(map(len, parts))
