@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from merchlens.llm import components as C
 from merchlens.llm import jaccard_join as J
 from merchlens.llm import queries
 from merchlens.llm.components import components
@@ -133,7 +134,9 @@ def test_odd_rows(odd, none):
     assert J.jaccard_classes(none).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(C, "SMALL", small)
     rng, edges = random.Random(1), [(i, i + 1) for i in range(40)]
     edges += [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (None, 3)]
     near = defaultdict(set)
