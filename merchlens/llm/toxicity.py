@@ -36,13 +36,13 @@ from pyspark.sql.window import Window
 from merchlens.llm.shared import small_batches
 from merchlens.llm.words import ALNUM, hash_words, mix, powers, text_bytes, text_chunks, word_counts
 
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4)
 BUCKET_BITS = 18
 DIM = 8
-WINDOW = 2
+WINDOW = 1  # words of a window: with more, a misspelt word is averaged with its neighbours
 TOXIC = 0.3  # texts that score at least this are toxic
 SAMPLE = {0: 2000, 1: 1200}
-WINDOWS_PER_TEXT = 500
+WINDOWS_PER_TEXT = 1000
 SCALE_L2 = 0.1
 _R = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,7 +135,7 @@ def _grams_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_o
     return np.concatenate(grams), np.concatenate(counts)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.4, keep_windows: float = 0.29, seed: int = 5) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.25, noise: float = 0.03, keep: float = 0.25, keep_windows: float = 0.6, seed: int = 5) -> Model:
     """Fit embeddings and softmax together by AdaGrad on batches of texts."""
     rng = np.random.default_rng(seed)
     buckets_n = 1 << BUCKET_BITS
@@ -191,17 +191,32 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
     # Scale of the most toxic window's logit, by a logistic fit on the sample.
     z = np.concatenate([model.scores(d, b) for _, _, d, b in text_chunks(pa.array(texts, pa.large_string()), 1 << 18)])
     z = np.log(z / (1 - z)).clip(-12, 12)
-    a, b = 1.0, 0.0
-    for _ in range(200):  # regularised, so that a sample whose labels separate has a bounded scale too
-        q = 1 / (1 + np.exp(-(a * z + b).clip(-30, 30)))
-        h = q * (1 - q) + 1e-6
-        grad = np.array([((q - y) * z).sum() + SCALE_L2 * (a - 1), (q - y).sum() + SCALE_L2 * b])
-        hess = np.array([[(h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]]) + SCALE_L2 * np.eye(2)
-        a, b = np.array([a, b]) - 0.5 * np.linalg.solve(hess, grad)
+    a, b = _logistic_scale(z, y)
     model.scale = (float(max(a, 1e-3)), float(b))
     return model
 
 
+def _logistic_scale(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of logits by regularised logistic regression: Newton steps, halved until the loss falls, so a sample whose labels separate has a bounded scale too."""
+    def loss(at: np.ndarray) -> float:
+        t = at[0] * z + at[1]
+        return float((np.logaddexp(0, t) - y * t).sum() + SCALE_L2 / 2 * ((at[0] - 1) ** 2 + at[1] ** 2))
+
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-(at[0] * z + at[1]).clip(-30, 30)))
+        h = q * (1 - q)
+        grad = np.array([((q - y) * z).sum() + SCALE_L2 * (at[0] - 1), (q - y).sum() + SCALE_L2 * at[1]])
+        step = np.linalg.solve(np.array([[(h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]]) + SCALE_L2 * np.eye(2), grad)
+        before = loss(at)
+        while np.abs(step).max() > 1e-9 and loss(at - step) > before:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() <= 1e-9:
+            break
+    return float(at[0]), float(at[1])
+
+
 def _spread(limit: int):
     """Texts as at most ``limit`` windows of words spread over the whole text."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

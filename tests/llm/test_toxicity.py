@@ -53,7 +53,7 @@ def test_one_more_word_at_the_start_changes_nothing():
     for pair in ("scumbaggs dimwitt", "scumbag dimwit", "blockhead scumbagg"):
         a, b = scores(model, [f"{plain} {pair} {plain}", f"{CLEAN[0]} {plain} {pair} {plain}"])
         assert abs(a - b) < 1e-9
-    assert model.window_logits(*text_bytes(pa.array(["", "bread", "the river", "the river house"])))[1].tolist() == [0, 1, 1, 2]
+    assert model.window_logits(*text_bytes(pa.array(["", "bread", "the river", "the river house"])))[1].tolist() == [0, 1, 2, 3]
 
 
 def test_word_grams_against_slices():
