@@ -17,11 +17,10 @@ Links. Every set is compared with the first and the last set of its tiles, and
 components are formed. Tiles that still hold several components are compared whole, in pairs of blocks of bounded
 bytes, by bitmaps alone: each set gets its nearest one of another component that the bitmaps can't rule out, at
 most one row a set and block. Of these the nearest over all tiles is compared exactly, and components join, as long as that finds many links.
-Sets that still have someone near meet again in their blocks, with their arrays, where a union-find
-decides exactly which components join. So all pairs of a tile that could join two components are
-compared, in the task that holds them; a group of copies costs rows in proportion to its size, and only
-links between components, fewer than a block has sets, become
-rows. A comparison bounds the overlap from above by bit counts of two
+Sets that still have someone near meet again in their blocks: the pairs that bitmaps can't rule out are compared
+exactly if a block has few for its size; in a block with many, a union-find over the arrays of all its sets
+decides which components join, and its links, fewer than it has sets, become rows. So all pairs of a tile that could join
+two components are compared exactly, and a group of copies costs rows in proportion to its size. A comparison bounds the overlap from above by bit counts of two
 bitmaps (each bit that only one set has stands for an element that only it
 has) and intersects the arrays of the pairs left. Fresh links join roots, and only those are given to the next stars.
 
@@ -55,6 +54,7 @@ from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, w
 LEAST_BITS, FINE_BITS, MOST_BITS = 9, 12, 16
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
 FEW = 2  # rounds end when they find fewer links than one in so many sets with someone near
+PAIRS = 4  # for each set of a block that become rows, at most; else its arrays meet
 BLOCK = 1024  # sets of a tile that are compared with each other in one group, at most
 BLOCK_ELEMENTS = 1 << 19  # and their elements, roughly (4 MB)
 
@@ -376,6 +376,35 @@ def _nearest(a: int, b: int):
     return run
 
 
+def _pairs_or_members(a: int, b: int):
+    """Pairs of different components that the bitmaps can't rule out, or the members (without a partner) of a group with many."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        for group in _groups(batches, 3):
+            if _alone(group):
+                continue
+            block, ids, roots, n, bits = _block_members(group)
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, others in _meets(block):
+                others = others[roots[others] != roots[i]]
+                if len(others):
+                    near = others[(a + b) * _bounds(i, others, n, bits) >= a * (n[i] + n[others])]
+                    one.append(np.full(len(near), i))
+                    two.append(near)
+                    if sum(map(len, two)) > PAIRS * len(ids):
+                        break
+            x, y = np.concatenate(one), np.concatenate(two)
+            if len(x) > PAIRS * len(ids):
+                x, y = np.arange(len(ids)), None
+            if len(x):
+                keys = group.select([0, 1, 2, 3]).take(pa.array(x)).combine_chunks()
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in keys.columns), pa.array(ids[x]), pa.array(roots[x]),
+                                                  none if y is None else pa.array(ids[y]), none if y is None else pa.array(roots[y])],
+                                                 names=["tile", "i", "j", "block", "set_id", "root", "partner", "partner_root"])
+    return run
+
+
 def _block_links(a: int, b: int):
     """Exact links between the components of a group, fewer than it has members."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,13 +438,20 @@ def _near_rows(left: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_nearest(a, b), NEAREST)
 
 
-def _rest_links(near: DataFrame, roots: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+def _rest_links(near: DataFrame, roots: DataFrame, sets: DataFrame, a: int, b: int, scratch: Scratch) -> DataFrame:
     """Links (ra, rb, a, b) between components among all the sets of each group of ``near``."""
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
     met = near.select(*GROUP, "block", "set_id").join(roots.select("set_id", "root"), "set_id")
-    # Groups of one component by now are left out before their arrays are sent.
     open_groups = met.groupBy(*GROUP).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*GROUP)
-    rows = met.join(open_groups, list(GROUP)).join(sets, "set_id").select(*GROUP, "block", "set_id", "root", "n", "bits", "elements")
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_block_links(a, b), PAIR)
+    rows = met.join(open_groups, list(GROUP)).join(sets.select("set_id", "n", "bits"), "set_id").select(*GROUP, "block", "set_id", "root", "n", "bits")
+    found = scratch.written(grouped(rows).mapInArrow(_pairs_or_members(a, b), NEAREST.rsplit(",", 1)[0]), "pairs")
+    pairs = found.where("partner IS NOT NULL").select(F.greatest("root", "partner_root").alias("ra"), F.least("root", "partner_root").alias("rb"),
+                                                      F.greatest("set_id", "partner").alias("a"), F.least("set_id", "partner").alias("b")).distinct()
+    members = found.where("partner IS NULL").select(*GROUP, "block", "set_id", "root").join(sets, "set_id")
+    whole = members.select(*GROUP, "block", "set_id", "root", "n", "bits", "elements")
+    return _linked(pairs, sets, a, b, bounded=True).unionByName(grouped(whole).mapInArrow(_block_links(a, b), PAIR))
 
 
 def _open_tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -486,7 +522,7 @@ def _roots(rows: DataFrame, found: DataFrame, n: int, a: int, b: int, scratch: S
         if found_now:
             roots = _merged(roots, fresh, scratch)
         if found_now <= asked // FEW:
-            rest = scratch.written(_rest_links(near, roots, sets, a, b), "links")
+            rest = scratch.written(_rest_links(near, roots, sets, a, b, scratch), "links")
             return roots if rest.isEmpty() else _merged(roots, rest, scratch)
         # Whoever has no one near now never will: components only grow.
         left = near.select("tile", "set_id").distinct()

@@ -55,10 +55,10 @@ def near_copies(rng, base, copies, step):
             words[rng.randrange(base)] = f"n{rng.randrange(10**6)}"
 
 
-@pytest.mark.parametrize("block, elements, few", [(1024, 1 << 19, 8), (16, 1 << 19, 1), (1024, 3000, 10**9)])
-def test_chains_and_groups(spark, monkeypatch, block, elements, few):
-    """Also with blocks so small that a tile has many, with few rounds before the arrays are sent, and with rounds to the end."""
-    for name, value in (("BLOCK", block), ("BLOCK_ELEMENTS", elements), ("FEW", few)):
+@pytest.mark.parametrize("block, elements, few, pairs", [(1024, 1 << 19, 2, 4), (16, 1 << 19, 1, 0), (1024, 3000, 1, 10**9)])
+def test_chains_and_groups(spark, monkeypatch, block, elements, few, pairs):
+    """Also with blocks so small that a tile has many, with one round, and then by arrays or by pairs alone."""
+    for name, value in (("BLOCK", block), ("BLOCK_ELEMENTS", elements), ("FEW", few), ("PAIRS", pairs)):
         monkeypatch.setattr(J, name, value)
     rng, texts = random.Random(4), {}
     for base, copies, step in ((12, 8, 1), (30, 10, 1), (200, 60, 2), (200, 40, 4), (900, 15, 9), (10, 6, 1), (11, 6, 1)):
