@@ -102,7 +102,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", low)
 
 
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # also without a point, so that a long run of digits is passed at once
 
 
 def addresses(text: str) -> Iterator[tuple[int, int]]:
