@@ -48,11 +48,13 @@ from pyspark.sql.window import Window
 from merchlens.llm.components import components
 from merchlens.llm.shared import Scratch, release_memory, small_batches, written
 from merchlens.llm.words import SPACED, hash_words, mix, rolling, text_chunks, word_counts
+from merchlens.operators.bloom import bloom_filter, bloom_probe, words_for
 
 # A set's bitmap has 16 bits an element up to 2**FINE_BITS bits and two bits an element
 # beyond, rounded up to a power of two between 2**LEAST_BITS and 2**MOST_BITS.
 LEAST_BITS, FINE_BITS, MOST_BITS = 9, 12, 16
 FILTER_BITS = 1 << 26  # of each hashed filter: 8 MB
+ASKED_WORDS = 1 << 19  # of the filter of sets whose arrays are sent, at most (8 MB)
 FEW = 2  # rounds end when they find fewer links than one in so many sets with someone near
 PAIRS = 4  # for each set of a block that become rows, at most; else its arrays meet
 BLOCK = 1024  # sets of a tile that are compared with each other in one group, at most
@@ -287,15 +289,22 @@ def _could_link(a: int, b: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int, bounded: bool = False) -> DataFrame:
-    """The pairs (ra, rb, a, b: components and sets) whose sets are linked; ``bounded``: bitmaps haven't ruled them out already."""
-    def side(name: str, *columns: str) -> DataFrame:
+def _asked(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``sets``, without most of those that aren't in ``ids(set_id)``, a stored table: their arrays needn't be sent to the join that follows."""
+    words = min(ASKED_WORDS, words_for(ids.count()))
+    return bloom_probe(sets, bloom_filter(ids, "set_id", words), "set_id", words)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, a: int, b: int, scratch: Scratch, bounded: bool = False) -> DataFrame:
+    """The pairs (ra, rb, a, b: components and sets) whose sets are linked; ``bounded``: ``pairs`` is stored, without those that bitmaps rule out."""
+    def side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}{name}") for c in columns])
 
     if not bounded:
-        bitmaps = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("ra", "rb", "a", "b", "na", "nb", "bitsa", "bitsb")
-        pairs = bitmaps.mapInArrow(_could_link(a, b), PAIR)
-    whole = pairs.join(side("a", "elements"), "a").join(side("b", "elements"), "b").select("ra", "rb", "a", "b", "elementsa", "elementsb")
+        bitmaps = pairs.join(side(sets, "a", "n", "bits"), "a").join(side(sets, "b", "n", "bits"), "b").select("ra", "rb", "a", "b", "na", "nb", "bitsa", "bitsb")
+        pairs = scratch.written(bitmaps.mapInArrow(_could_link(a, b), PAIR), "could")
+    few = _asked(sets, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")))
+    whole = pairs.join(side(few, "a", "elements"), "a").join(side(few, "b", "elements"), "b").select("ra", "rb", "a", "b", "elementsa", "elementsb")
     return whole.mapInArrow(_overlap(a, b), PAIR)
 
 
@@ -449,16 +458,21 @@ def _rest_links(near: DataFrame, roots: DataFrame, sets: DataFrame, a: int, b: i
     found = scratch.written(grouped(rows).mapInArrow(_pairs_or_members(a, b), NEAREST.rsplit(",", 1)[0]), "pairs")
     pairs = found.where("partner IS NOT NULL").select(F.greatest("root", "partner_root").alias("ra"), F.least("root", "partner_root").alias("rb"),
                                                       F.greatest("set_id", "partner").alias("a"), F.least("set_id", "partner").alias("b")).distinct()
-    members = found.where("partner IS NULL").select(*GROUP, "block", "set_id", "root").join(sets, "set_id")
+    pairs = scratch.written(pairs, "open")
+    members = found.where("partner IS NULL").select(*GROUP, "block", "set_id", "root")
+    members = members.join(_asked(sets, members.select("set_id")), "set_id")
     whole = members.select(*GROUP, "block", "set_id", "root", "n", "bits", "elements")
-    return _linked(pairs, sets, a, b, bounded=True).unionByName(grouped(whole).mapInArrow(_block_links(a, b), PAIR))
+    return _linked(pairs, sets, a, b, scratch, bounded=True).unionByName(grouped(whole).mapInArrow(_block_links(a, b), PAIR))
 
 
 def _open_tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (tile, set_id, root, held, most, place) of the tiles that hold several components: how many sets, the largest one's size, and the set's place."""
+    """Rows (tile, set_id, root, held, most, place) of the tiles that hold several components: how many sets, the largest one's size, and the set's place.
+
+    Sets that are alike share many tiles: of tiles with the same members (told by their number and two 64-bit hashes) one stays, in which they all meet."""
     named = members.select("tile", "set_id").join(roots, "set_id")
-    several = (named.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held"), F.max("n").alias("most"))
-               .where("r0 <> r1").select("tile", "held", "most"))
+    several = (named.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held"), F.max("n").alias("most"),
+                                         *[F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)])
+               .where("r0 <> r1").groupBy("held", "most", "x0", "x1").agg(F.min("tile").alias("tile")).select("tile", "held", "most"))
     place = F.row_number().over(Window.partitionBy("tile").orderBy("set_id"))
     return named.join(several, "tile").select("tile", "set_id", "root", "held", "most", place.alias("place"))
 
@@ -505,7 +519,7 @@ def _roots(rows: DataFrame, found: DataFrame, n: int, a: int, b: int, scratch: S
     roots = sets.select("set_id", "n", F.col("set_id").alias("root"))
     sided = leaders.select(F.col("set_id").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y")
     first = sided.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().select(F.col("a").alias("ra"), F.col("b").alias("rb"), "a", "b")
-    roots = _merged(roots, scratch.written(_linked(first, sets, a, b), "links"), scratch)
+    roots = _merged(roots, scratch.written(_linked(first, sets, a, b, scratch), "links"), scratch)
     left = members
     while True:
         left = scratch.written(_open_tiles(left, roots), "left")
@@ -517,7 +531,7 @@ def _roots(rows: DataFrame, found: DataFrame, n: int, a: int, b: int, scratch: S
         asked = edges.count()
         if not asked:
             return roots
-        fresh = scratch.written(_linked(edges, sets, a, b, bounded=True), "links")
+        fresh = scratch.written(_linked(edges, sets, a, b, scratch, bounded=True), "links")
         found_now = fresh.count()
         if found_now:
             roots = _merged(roots, fresh, scratch)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from merchlens.llm import components as C
 from merchlens.llm import jaccard_join as J
@@ -163,3 +164,22 @@ def test_nothing_is_left_but_what_the_result_reads(spark, texts):
     out = J.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
     left = {d.rsplit("-", 1)[0] for d in set(os.listdir(base)) - before}
     assert left == {"jaccard-sets", "jaccard-roots"} and out.count() == len(texts)
+
+
+def test_tiles_with_equal_members_are_compared_once(spark):
+    """A pair meets in one of the tiles that hold the same sets, and in every tile that holds others as well."""
+    tiles = {1: (10, 20), 2: (10, 20), 3: (10, 20, 30), 4: (10, 30), 5: (40, 50), 6: (20, 30)}
+    members = spark.createDataFrame([(t, s) for t, sets in tiles.items() for s in sets], "tile bigint, set_id bigint")
+    roots = spark.createDataFrame([(s, 100 + s, 40 if s >= 40 else s) for s in (10, 20, 30, 40, 50)], "set_id bigint, n bigint, root bigint")
+    left = {}
+    for r in J._open_tiles(members, roots).collect():
+        left.setdefault(r["tile"], set()).add((r["set_id"], r["held"], r["most"]))
+    assert sorted(sorted(s for s, *_ in v) for v in left.values()) == [[10, 20], [10, 20, 30], [10, 30], [20, 30]]
+    assert all(held == len(v) and most == 100 + max(s for s, *_ in v) for v in left.values() for _, held, most in v)
+
+
+def test_only_asked_arrays_are_sent(spark):
+    sets = spark.range(5000).select(F.col("id").alias("set_id"), F.lit("x").alias("elements"))
+    ids = spark.createDataFrame([(i * 100,) for i in range(20)], "set_id bigint")
+    kept = {r[0] for r in J._asked(sets, ids).select("set_id").collect()}
+    assert kept >= {i * 100 for i in range(20)} and len(kept) < 500
