@@ -52,13 +52,20 @@ def partition_values(spark: SparkSession, folder: str, column: str) -> list[str]
     return sorted(n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}="))
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what reads it several times computes it once."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_partitions(df: DataFrame, folder: str, column: str, sort: Sequence[str], *, mode: str = "errorifexists") -> None:
     """Write ``df`` partitioned by ``column``; the mode "replace" overwrites the partitions that occur in ``df`` and leaves the others.
 
-    Rows are range-partitioned by the partition column and ``sort`` first: a
-    task writes few partitions, and a large partition is written by several tasks.
+    Rows are rebalanced by the partition column first: a task writes few partitions, and a large partition is written by several
+    tasks. (Ranges would be drawn from a sample, for which all of ``df`` is computed once more.)
     """
-    write = df.repartitionByRange(column, *sort).sortWithinPartitions(column, *sort).write.partitionBy(column)
+    write = df.hint("rebalance", column).sortWithinPartitions(column, *sort).write.partitionBy(column)
     if mode == "replace":
         write = write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:

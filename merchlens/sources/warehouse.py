@@ -522,11 +522,14 @@ class Warehouse:
         c = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         n = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
         r = self.raw("region")
-        region = country_of("c_nationkey", "region")
+        # Looked up for a customer, not for each of its orders.
+        c = c.join(n, "c_nationkey").join(r, "r_regionkey").select("o_custkey", "r_regionkey", "r_name", country_of("c_nationkey", "region").alias("_region"),
+                                                                  country_of("c_nationkey", "code").alias("_code"))
+        region = F.col("_region")
         path = F.when(F.col("r_regionkey") % 2 == 0, "Inbound").otherwise("Outbound")
         closed = (F.date_trunc("quarter", shifted("o_orderdate")).cast("timestamp_ntz")
                   + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int")))
-        return o.join(c, "o_custkey").join(n, "c_nationkey").join(r, "r_regionkey").select(
+        return o.join(c, "o_custkey").select(
             F.col("o_orderkey").alias("_plus_opportunity_key"),
             closed.alias("opportunity_closed_date"),
             (F.col("o_orderstatus") != "O").alias("is_closed"),
@@ -538,7 +541,7 @@ class Warehouse:
             F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Enterprise")
              .when(F.col("o_orderpriority") == "3-MEDIUM", "Mid-Market").otherwise("SMB").alias("market_segment"),
             region.alias("inferred_region"),
-            country_of("c_nationkey", "code").alias("inferred_country_code"),
+            F.col("_code").alias("inferred_country_code"),
             F.when(F.col("o_totalprice") >= 250000, "Large").otherwise("Core").alias("deal_type_category"),
             region.alias("sales_region"),
             F.when(F.col("o_orderstatus") == "F", "New").otherwise("Upgrade").alias("upgrade_type"),
@@ -590,11 +593,14 @@ class Warehouse:
         attributed value are, so the stacked inputs of the mart share whole rows."""
         s = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         n = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-        region = country_of("s_nationkey", "region")
+        # Looked up for a supplier, not for each of its lines.
+        s = s.join(n, "s_nationkey").select("l_suppkey", "n_regionkey", country_of("s_nationkey", "region").alias("_region"),
+                                            country_of("s_nationkey", "code").alias("_code"))
+        region = F.col("_region")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
         active = F.col("l_discount") >= 0.015
         one = lambda cond: F.when(active & cond, 1).otherwise(0).cast("bigint")
-        return (self.dated("lineitem", "l_shipdate", since, None).join(s, "l_suppkey").join(n, "s_nationkey")
+        return (self.dated("lineitem", "l_shipdate", since, None).join(s, "l_suppkey")
                 .select(
                     F.trunc(shifted("l_shipdate"), "quarter").alias("date"),
                     F.col("n_regionkey").alias("_source_key"),
@@ -603,7 +609,7 @@ class Warehouse:
                     F.when(rf == "A", "Enterprise").when(rf == "R", "Mid-Market")
                      .otherwise("SMB").alias("segment_for_quota"),
                     region.alias("merchant_region"),
-                    country_of("s_nationkey", "code").alias("country_code"),
+                    F.col("_code").alias("country_code"),
                     F.when(F.col("l_quantity") >= 25, "Large").otherwise("Core").alias("deal_type"),
                     region.alias("sales_region"),
                     F.when(ls == "F", "New").otherwise("Upgrade").alias("upgrade_type"),
