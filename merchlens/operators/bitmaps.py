@@ -5,7 +5,7 @@ of members can be merged: every value gets a dense number once (the
 dictionary), a group's values become bitmaps of 32,768 numbers each (4 KB, only those that
 hold any), merging is a bitwise OR and counting a bit count. So counts
 of any coarser level come from the finer level's bitmaps without the members,
-and are exact.
+and are exact. Groups that hold few of many values have bitmaps of 64 numbers instead: else each value would cost 4 KB.
 
 The dictionary is numbered without a global sort: values are dealt to
 ``SLOTS`` by their hash, numbered within each, and shifted by the sizes of the
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SLOTS = 4096
@@ -36,19 +37,29 @@ def dictionary(values: DataFrame, value: str, id: str = "value_id") -> DataFrame
     return numbered.select(value, (F.col("_before") + F.col("_place") - 1).alias(id))
 
 
-def value_bitmaps(df: DataFrame, groups: Sequence[str], id: str, condition: Column | None = None) -> DataFrame:
-    """Bitmaps of the ids of each group: (groups, bucket, bitmap)."""
-    rows = df if condition is None else df.where(condition)
+def value_bitmaps(df: DataFrame, groups: Sequence[str], id: str, condition: Column | None = None, *, sparse: bool = False) -> DataFrame:
+    """Bitmaps of the ids of each group: (groups, bucket, bitmap). ``sparse``: bitmaps of 64 numbers, one BIGINT each, for groups that hold
+    few of many values: a group then never has more bytes than its rows."""
+    rows = (df if condition is None else df.where(condition)).where(F.col(id).isNotNull())
+    if sparse:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(id).bitwiseAND(F.lit(63)).cast("int"))
+        return rows.groupBy(*groups, F.shiftright(F.col(id).cast("bigint"), 6).alias(BUCKET)).agg(F.bit_or(bit).alias(BITMAP))
     at = F.col(id) + 1  # Spark numbers positions from 1
-    return (rows.where(F.col(id).isNotNull()).groupBy(*groups, F.bitmap_bucket_number(at).alias(BUCKET))
+    return (rows.groupBy(*groups, F.bitmap_bucket_number(at).alias(BUCKET))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(BITMAP)))
 
 
+def _is_sparse(bitmaps: DataFrame) -> bool:
+    return bitmaps.schema[BITMAP].dataType == T.LongType()
+
+
 def merged_bitmaps(bitmaps: DataFrame, groups: Sequence[str]) -> DataFrame:
     """The bitmaps of a coarser level: each group's union."""
-    return bitmaps.groupBy(*groups, BUCKET).agg(F.bitmap_or_agg(BITMAP).alias(BITMAP))
+    union = F.bit_or if _is_sparse(bitmaps) else F.bitmap_or_agg
+    return bitmaps.groupBy(*groups, BUCKET).agg(union(BITMAP).alias(BITMAP))
 
 
 def bitmap_counts(bitmaps: DataFrame, groups: Sequence[str], out: str) -> DataFrame:
     """Distinct values of each group, from bitmaps at its own level (one row a group and bucket)."""
-    return bitmaps.groupBy(*groups).agg(F.sum(F.bitmap_count(BITMAP)).alias(out))
+    bits = F.bit_count(BITMAP).cast("bigint") if _is_sparse(bitmaps) else F.bitmap_count(BITMAP)
+    return bitmaps.groupBy(*groups).agg(F.sum(bits).alias(out))

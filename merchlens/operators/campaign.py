@@ -117,7 +117,7 @@ def member_counts_rollup(rows: DataFrame) -> DataFrame:
     measures = F.filter(F.array(F.when(F.col("kind") == "member", "members"), F.when(F.col("kind") == "company", "MQL"),
                                 F.when((F.col("kind") == "company") & F.col("nn"), "net_new_mql")), lambda m: m.isNotNull())
     keys = ["created_date", "campaign_id"]
-    maps = value_bitmaps(numbered.select(*keys, "value_id", F.explode(measures).alias("measure")), [*keys, "measure"], "value_id")
+    maps = value_bitmaps(numbered.select(*keys, "value_id", F.explode(measures).alias("measure")), [*keys, "measure"], "value_id", sparse=True)
     day = merged_bitmaps(maps, ["created_date", "measure"])
     whole = merged_bitmaps(day, ["measure"])
     levels = []

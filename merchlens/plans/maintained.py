@@ -22,7 +22,7 @@ from ..operators.checks import KeyChecks
 from ..operators.skew import salted_join
 from ..operators.trailing import TrailingTotals
 from ..sources.constants import APAC_APP_COUNTRIES, DEFAULT_AS_OF
-from ..sources.stored import AnalyzedWarehouse, BucketedWarehouse, MonthlyFunnel
+from ..sources.stored import AnalyzedWarehouse, BucketedWarehouse, MonthlyFunnel, stored
 from ..sources.warehouse import Warehouse
 from . import catalog, reports
 from .mart_store import MartStore, touched_days
@@ -164,7 +164,7 @@ def q_campaign_members_rollup(w: Warehouse) -> DataFrame:
     """O21's three distinct counts for campaigns, for days and over all, from bitmaps of the campaigns."""
     selected = campaign.campaign_selector(w.campaigns(), catalog._kpi_names(w))
     rows = campaign.member_rows(selected, w.campaign_members(), w.leads(), w.leads_history(), domain_suffix=catalog.TEST_PARAMS["domain_suffix"])
-    return campaign.member_counts_rollup(rows)
+    return campaign.member_counts_rollup(stored(rows, "member-rows"))  # read for the dictionary and for the bitmaps
 
 
 # ---------------------------------------------------------------------------- the others

@@ -427,3 +427,32 @@ def test_partitions_are_written_without_a_sample(spark, tmp_path):
     assert seen.value == 3000
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.count() == 3000 and back.select("part").distinct().count() == 3
+
+
+def test_sparse_bitmaps_cost_a_word_a_value(spark):
+    """Groups that hold few of many values: same counts at all levels, eight bytes a bitmap."""
+    ids = spark.range(20_000).select((F.col("id") * 1_000 + F.col("id") % 70).alias("value_id"), (F.col("id") % 9).alias("day"), (F.col("id") % 4_500).alias("campaign"))
+    df = ids.union(ids.withColumn("campaign", F.lit(1).cast("bigint"))).union(ids.limit(50)).union(spark.range(64 * 40).select("id", F.lit(3).cast("bigint"), F.lit(7).cast("bigint")))
+    fine = bitmaps.value_bitmaps(df, ["day", "campaign"], "value_id", sparse=True)
+    assert dict(fine.dtypes)[bitmaps.BITMAP] == "bigint"
+    for groups in (["day", "campaign"], ["day"], ["campaign"], []):
+        maps = fine if len(groups) == 2 else bitmaps.merged_bitmaps(fine, groups)
+        equal(bitmaps.bitmap_counts(maps, groups, "n"), df.groupBy(*groups).agg(F.countDistinct("value_id").alias("n")))
+
+
+def test_campaigns_bitmaps_are_sparse(spark, monkeypatch):
+    kinds = []
+    plain = bitmaps.value_bitmaps
+    from merchlens.operators import campaign
+    monkeypatch.setattr(campaign, "value_bitmaps", lambda *a, **k: kinds.append(dict(plain(*a, **k).dtypes)[bitmaps.BITMAP]) or plain(*a, **k))
+    rows = spark.createDataFrame([(dt.date(2022, 1, 1 + i % 2), f"c{i % 3}", "member", f"m{i % 5}", False) for i in range(30)], "created_date date, campaign_id string, kind string, value string, nn boolean")
+    out = {(r["level"], str(r["created_date"]), r["campaign_id"]): r["members"] for r in campaign.member_counts_rollup(rows).collect()}
+    assert kinds == ["bigint"] and out["all", "None", None] == 5 and len(out) == 9 and set(out.values()) == {5}, (kinds, out)
+
+
+def test_member_rows_are_computed_once(spark, monkeypatch):
+    made = []
+    plain = stored.stored
+    monkeypatch.setattr(maintained, "stored", lambda df, purpose: made.append(purpose) or plain(df, purpose))
+    df = maintained.QUERIES["campaign_members_rollup"](spark, SF_SMALL)
+    assert made == ["member-rows"] and "lineitem.parquet" not in " ".join(df.inputFiles())
