@@ -456,3 +456,13 @@ def test_member_rows_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(maintained, "stored", lambda df, purpose: made.append(purpose) or plain(df, purpose))
     df = maintained.QUERIES["campaign_members_rollup"](spark, SF_SMALL)
     assert made == ["member-rows"] and "lineitem.parquet" not in " ".join(df.inputFiles())
+
+
+def test_selected_items_are_computed_once(spark, monkeypatch):
+    """The items are stored; what follows reads them from there: line items' products are probed in no later plan."""
+    made = []
+    plain = stored.stored
+    monkeypatch.setattr(maintained, "stored", lambda df, purpose: made.append(purpose) or plain(df, purpose))
+    df = maintained.QUERIES["vendor_line_items_bloom"](spark, SF_SMALL)
+    assert made == ["line-items"]
+    assert "product_id#" not in " ".join(t for t, _ in shuffled(executed(df)))
